@@ -7,10 +7,10 @@ more than half of its word characters is rejected. A line fails if
   ``|`` or ``>``, or it is a short list of links without an end of sentence;
 * it is boilerplate: a notice about cookies, scripts, sign-in, sharing, rights or licences;
 * it is decorated: at least 30 % of its words end in runs of symbols or exclamation marks;
-* it does not end like a sentence although it has at least LONG_LINE words, or is short and
-  stands between others of its kind (see ``unfinished``);
+* it does not end like a sentence although it has at least LONG_LINE words and is not the
+  last, or is short and stands beside others of its kind (see ``unfinished``);
 * it repeats an earlier line of the document that has at least REPEAT_WORDS words;
-* it is one word again and again (fewer than a tenth of its words are distinct).
+* it is one word again and again (at least 30 % of its words equal the one before).
 
 Defined cases: a null text has no words, so the base rule rejects it, as it does an empty
 one; repeated rows are judged alike.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from itertools import pairwise
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -54,8 +55,8 @@ def unfinished(words: list[bytes]) -> bool:
     return len(words) < SHORT_LINE and not _END.search(words[-1])
 
 
-def line_fails(words: list[bytes]) -> str:
-    """The rule that a line with these words breaks, or the empty text."""
+def line_fails(words: list[bytes], last: bool = False) -> str:
+    """The rule that a line with these words breaks, or the empty text; the last line of a text may break off."""
     line = b" ".join(words)
     if not re.search(rb"[A-Za-z\x80-\xff]", line):
         return "no_letter"
@@ -66,9 +67,9 @@ def line_fails(words: list[bytes]) -> str:
         return "boilerplate"
     if 10 * sum(_DECOR.search(w) is not None for w in words) >= 3 * n:
         return "decorated"
-    if n >= LONG_LINE and not _END.search(words[-1]):
+    if n >= LONG_LINE and not last and not _END.search(words[-1]):
         return "no_end"
-    if n >= 20 and 10 * len(set(words)) < n:
+    if n >= 10 and 10 * sum(map(eq, words, words[1:])) >= 3 * n:
         return "one_word"
     return ""
 
@@ -82,6 +83,7 @@ def cleaned(text: bytes) -> tuple[bytes, int, int, int]:
     near = [False, *(a and b for a, b in pairwise(open_)), False]
     seen: set[bytes] = set()
     kept, before, after, removed = [], 0, 0, 0
+    final = max((k for k, ws in enumerate(words) if ws), default=-1)
     for k, (line, ws) in enumerate(zip(lines, words, strict=True)):
         if not ws:
             kept.append(line)
@@ -91,7 +93,7 @@ def cleaned(text: bytes) -> tuple[bytes, int, int, int]:
         again = len(ws) >= REPEAT_WORDS and (key := b" ".join(ws)) in seen
         if len(ws) >= REPEAT_WORDS and not again:
             seen.add(key)
-        if again or near[k] or near[k + 1] or line_fails(ws):
+        if again or near[k] or near[k + 1] or line_fails(ws, k == final):
             removed += 1
         else:
             after += n
