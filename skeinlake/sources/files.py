@@ -38,7 +38,7 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text, content_hash: whole files, folders recursively."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    read = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return read.select(F.input_file_name().alias("path"), F.col("value").alias("text"), content_hash(F.col("value")).alias("content_hash"))
 
 
