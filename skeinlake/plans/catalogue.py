@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinlake.functions import ids, moments, text, vector, weights
-from skeinlake.operators import chunking, consolidation, evaluation, graph, lexical, nearest, sessions, traversal
+from skeinlake.operators import chunking, consolidation, evaluation, graph, ingest, lexical, nearest, sessions, traversal
 from skeinlake.plans import retrieval, router, stages
 from skeinlake.plans.derived import feedback_uses, node_vectors, sql_graph, table
 from skeinlake.plans.derived import graph as derived_graph
@@ -837,3 +837,94 @@ def preference_decay(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return triplet_topk(spark, sf)
+
+
+# ---------------------------------------------------------------- ingestion
+
+
+@query("SELECT 'part_name' AS collection, 'part:' || p_partkey AS id, p_name AS text FROM part UNION ALL SELECT 'part_node_set', 'part:' || p_partkey, p_brand FROM part UNION ALL SELECT 'nation_name', 'nation:' || n_nationkey, n_name FROM nation")
+def index_collections(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.collections(derived_graph(spark, sf).nodes, {"part": ["name", "node_set"], "nation": ["name"]})
+
+
+@query(f"WITH {sql_graph()} SELECT e.*, trim(a.name) || '-›' || relationship_name || '-›' || trim(b.name) AS text FROM edges e JOIN nodes a ON a.id = source_id JOIN nodes b ON b.id = target_id")
+def triplet_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.triplet_texts(derived_graph(spark, sf).triplets())
+
+
+@query("""
+WITH f AS (SELECT p_partkey AS id, p_name || ' ' || p_size % 7 AS name, p_brand AS repo FROM part), r AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, CASE WHEN l_linenumber = 1 THEN l_partkey ELSE -1 END AS target_id, name AS target_name, repo FROM lineitem JOIN f ON id = l_partkey),
+n AS (SELECT name, count(*) AS n, min(id) AS i FROM f GROUP BY 1), m AS (SELECT name, repo, count(*) AS m, min(id) AS j FROM f GROUP BY 1, 2)
+SELECT ref_id, CASE WHEN f.id IS NOT NULL THEN f.id WHEN n = 1 THEN i WHEN m = 1 THEN j END AS fact_id, CASE WHEN f.id IS NOT NULL THEN 'id' WHEN n = 1 THEN 'name' WHEN m = 1 THEN 'repo' WHEN n > 1 THEN 'ambiguous' ELSE 'unknown' END AS told_by
+FROM r LEFT JOIN f ON f.id = r.target_id LEFT JOIN n ON n.name = target_name LEFT JOIN m ON m.name = target_name AND m.repo = r.repo""")
+def resolved_references(spark: SparkSession, sf: str) -> DataFrame:
+    facts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", (F.col("p_size") % 7).cast("string")).alias("name"), F.col("p_brand").alias("repo"))
+    li = table(spark, sf, "lineitem").join(facts, F.col("l_partkey") == F.col("id"))
+    refs = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), F.when(F.col("l_linenumber") == 1, F.col("l_partkey")).otherwise(F.lit(-1)).alias("target_id"), F.col("name").alias("target_name"), "repo")
+    return ingest.resolved(refs, facts)
+
+
+@query("""
+WITH g AS (SELECT 'nation:' || s_nationkey AS principal, s_suppkey AS dataset FROM supplier UNION SELECT 'role:' || p_brand, p_partkey FROM part WHERE p_size = 1),
+m AS (SELECT c_custkey AS u, 'nation:' || c_nationkey AS principal FROM customer UNION SELECT c_custkey, 'role:Brand#' || c_custkey % 25 FROM customer)
+SELECT DISTINCT 'user:' || u AS user, dataset FROM m JOIN g USING (principal)""")
+def readable_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    user = F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("user")
+    grants = table(spark, sf, "supplier").select(F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")).alias("principal"), F.col("s_suppkey").alias("dataset")).unionByName(table(spark, sf, "part").where("p_size = 1").select(F.concat(F.lit("role:"), "p_brand").alias("principal"), F.col("p_partkey").alias("dataset")))
+    membership = c.select(user, F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("principal")).unionByName(c.select(user, F.concat(F.lit("role:Brand#"), (F.col("c_custkey") % 25).cast("string")).alias("principal")))
+    return ingest.readable(grants, membership)
+
+
+@query("SELECT min(o_custkey) AS document, l_partkey AS entity FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_partkey HAVING count(DISTINCT o_custkey) = 1")
+def owned_entities(spark: SparkSession, sf: str) -> DataFrame:
+    contains = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity"))
+    return ingest.owned_subgraph(contains, table(spark, sf, "orders").select(F.col("o_orderkey").alias("chunk"), F.col("o_custkey").alias("document")))
+
+
+@query("""
+WITH r AS (SELECT l_suppkey AS edge_id, l_orderkey * 10 + l_linenumber AS evidence_id, l_extendedprice AS score FROM lineitem)
+SELECT edge_id, evidence_id, score FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY score DESC, evidence_id) AS k FROM r) WHERE k <= 3 ORDER BY score DESC, edge_id, evidence_id LIMIT 50""")
+def edge_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("edge_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), F.col("l_extendedprice").alias("score"))
+    return ingest.evidence(rows, 3, 50)
+
+
+@query("""
+WITH l AS (SELECT p_partkey AS id, 'size' AS source, p_size::DOUBLE AS score FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part WHERE p_size > 10), t AS (SELECT source, max(score) AS top FROM l GROUP BY 1),
+b AS (SELECT id, max(score / top) AS score, list_sort(list(DISTINCT source)) AS sources FROM l JOIN t USING (source) GROUP BY 1)
+SELECT id, round(score, 6) AS score, array_to_string(sources, '+') AS sources FROM b ORDER BY round(score, 9) DESC, id LIMIT 30""")
+def merged_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    lists = p.select(F.col("p_partkey").alias("id"), F.lit("size").alias("source"), F.col("p_size").cast("double").alias("score")).unionByName(p.where("p_size > 10").select(F.col("p_partkey").alias("id"), F.lit("price").alias("source"), F.col("p_retailprice").alias("score")))
+    return ingest.candidates(lists, 30).select("id", F.round("score", 6).alias("score"), F.array_join("sources", "+").alias("sources"))
+
+
+@query("""
+SELECT c.o_orderkey AS order_a, d.o_orderkey AS order_b, c.o_orderstatus || '/' || d.o_orderstatus AS sets, c.o_orderstatus <> d.o_orderstatus AS disjoint
+FROM orders c JOIN orders d ON d.o_orderkey = c.o_orderkey + 1 WHERE c.o_orderstatus <> d.o_orderstatus""")
+def cross_set_edges(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderstatus").alias("node_set"))
+    edges = o.select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"), F.lit("next").alias("relationship_name"))
+    found = ingest.across_sets(edges, ingest.set_membership(o, edges))
+    return found.select(F.col("source_id").alias("order_a"), F.col("target_id").alias("order_b"), F.concat_ws("/", F.array_join("source_sets", ","), F.array_join("target_sets", ",")).alias("sets"), "disjoint")
+
+
+@query("""
+SELECT CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN x IS NOT DISTINCT FROM y THEN 'unchanged' ELSE 'updated' END AS status, count(*) AS n
+FROM (SELECT o_orderkey AS a, o_orderstatus AS x FROM orders WHERE o_orderkey % 5 <> 0) s FULL JOIN (SELECT o_orderkey AS b, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS y FROM orders WHERE o_orderkey % 3 <> 0) l ON a = b GROUP BY 1""")
+def mark_and_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    loaded = o.where("o_orderkey % 3 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "Z").otherwise(F.col("o_orderstatus")))
+    return ingest.swept(o.where("o_orderkey % 5 <> 0"), loaded, "o_orderkey", "o_orderstatus")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+$')) AS t, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+$'), 1) AS k FROM documents),
+c AS (SELECT id, k - 1 AS k, sum(length(t)) OVER w - length(t) AS s, sum(length(t)) OVER w AS e FROM l WINDOW w AS (PARTITION BY id ORDER BY k ROWS UNBOUNDED PRECEDING))
+SELECT id, k::INT AS chunk_index FROM c WHERE s < 100 + id % 300 AND e > 50 + id % 200""")
+def span_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    d = _documents(spark, sf)
+    chunks = chunking.offsets(d.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(r"([^\n]*\n|[^\n]+$)"), 1)).alias("chunk_index", "text")))
+    spans = d.select("id", (50 + F.col("id") % 200).alias("from"), (100 + F.col("id") % 300).alias("to"))
+    return chunking.overlapping_span(chunks, spans).select("id", "chunk_index")
