@@ -32,7 +32,7 @@ from skeinlake.llm.common import pieces, texts, whole_text, written
 
 CAPACITY = 4096
 END_ID = 1
-_MEMO = 1_000_000
+_MEMO = 500_000
 #: Marks at the end of a word that are one token group by themselves after a letter; an apostrophe is not.
 _TAIL = '.,!?;:#*$%&|"()[]<>'
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches are handed to Python in pieces of at most so many text bytes.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -39,7 +39,7 @@ COVER = 0.5
 CONSISTENT = 0.8
 BLOCK_BYTES = 32 << 20
 NUMBER, UNIT, NAME = (np.uint64(xxh64_intdigest(x)) for x in (b"<number>", b"<unit>", b"<name>"))
-_MEMO = 1_000_000
+_MEMO = 200_000
 _STRIP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 # fixed values: spelled numbers and unit names
 SPELLED = frozenset(b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split())
@@ -47,39 +47,38 @@ UNITS = frozenset(b"km m cm mm mi mile miles ft foot feet inch inches yard yards
 
 
 class Words:
-    """Classes of words, learnt once per word: literal hash, number, unit, capitalised, end of sentence."""
+    """Classes of words, learnt once per word: the literal's hash, and flags in a byte."""
+
+    NUMBER, UNIT, TITLE, STOP = 1, 2, 4, 8
 
     def __init__(self) -> None:
         self.memo: dict[bytes, int] = {}
-        self.rows: list[tuple[int, bool, bool, bool, bool]] = []
-        self.table: tuple[np.ndarray, ...] = ()
+        self.hash, self.flags = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
+        """A number for each word, good until the next call."""
         if len(self.memo) > _MEMO:
-            self.memo, self.rows, self.table = {}, [], ()
+            self.memo.clear()
         found = list(map(self.memo.get, words))
         if None in found:
             for k, f in enumerate(found):
                 if f is None:
-                    w = words[k]
-                    if (i := self.memo.get(w)) is None:
-                        i = self.memo[w] = len(self.rows)
-                        self.rows.append(self._classed(w))
-                    found[k] = i
-            self.table = ()
-        if not self.table:
-            columns = list(zip(*self.rows, strict=True)) or [[], [], [], [], []]
-            self.table = (np.array(columns[0], np.uint64), *(np.array(c, bool) for c in columns[1:]))
+                    found[k] = self._learnt(words[k])
         return np.array(found, np.int64)
 
-    @staticmethod
-    def _classed(word: bytes) -> tuple[int, bool, bool, bool, bool]:
+    def _learnt(self, word: bytes) -> int:
+        if (i := self.memo.get(word)) is not None:
+            return i
+        i = self.memo[word] = len(self.memo)
+        if i == len(self.hash):
+            self.hash, self.flags = np.resize(self.hash, 2 * i), np.resize(self.flags, 2 * i)
         core = word.strip(_STRIP) or word
-        low = core.lower()
-        text = core.decode("utf-8", "replace")
-        number = core[:1].isdigit() or low in SPELLED
+        low, text = core.lower(), core.decode("utf-8", "replace")
         title = len(text) > 1 and text[0].isupper() and any(c.islower() for c in text[1:])
-        return xxh64_intdigest(text.lower().encode()), number, low in UNITS, title, word.rstrip(b"\"')]}").endswith((b".", b"!", b"?", b":"))
+        stop = word.rstrip(b"\"')]}").endswith((b".", b"!", b"?", b":"))
+        self.hash[i] = xxh64_intdigest(text.lower().encode())
+        self.flags[i] = self.NUMBER * (core[:1].isdigit() or low in SPELLED) | self.UNIT * (low in UNITS) | self.TITLE * title | self.STOP * stop
+        return i
 
 
 @lru_cache(1)
@@ -93,7 +92,8 @@ def templates(batch: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndar
     sizes = np.array([len(w) for w in batch], np.int64)
     known = _words()
     ids = known.ids([w for ws in batch for w in ws])
-    h, number, unit, title, stop = (t[ids] for t in known.table)
+    h, flags = known.hash[ids], known.flags[ids]
+    number, unit, title, stop = (flags & x > 0 for x in (Words.NUMBER, Words.UNIT, Words.TITLE, Words.STOP))
     first = np.zeros(len(ids), bool)
     ends = np.cumsum(sizes)
     first[(ends - sizes)[sizes > 0]] = True
