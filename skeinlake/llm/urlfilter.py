@@ -63,13 +63,11 @@ def filtered(captures: DataFrame, entries: DataFrame, url: str = "url", time: st
     distinct = captures.select(*columns).groupBy(*columns).agg(F.count("*").alias("_n"))
     month = lambda c: F.year(c) * 12 + F.month(c)
     last = captures.agg(F.max(time)).first()[0]
-    rules = intervals(entries)
-    if last is not None:
-        rules = rules.where(F.col("since") <= F.lit(last))
+    rules = intervals(entries).where(F.col("since") <= F.lit(last)) if last is not None else intervals(entries).limit(0)
     ends = F.least(month("until"), month(F.lit(last).cast("timestamp")))
-    cut = rules.select("key", "since", "until", F.explode(F.sequence(month("since"), F.greatest(ends, month("since")))).alias("_month"))
-    asked = distinct.select(*columns, "_n", F.explode_outer(keys_of(F.col(url))).alias("_key"))
-    hit = asked.join(cut, (asked["_key"] == cut["key"]) & (month(asked[time]) == cut["_month"]) & (cut["since"] <= asked[time]) & (asked[time] < cut["until"]), "left")
-    best = F.max(F.when(F.col("key").isNotNull(), F.struct(F.length("key").alias("size"), F.col("since"), F.col("key")))).alias("best")
+    cut = rules.select(F.col("key").alias("_rule"), F.col("since").alias("_since"), F.col("until").alias("_until"), F.explode(F.sequence(month("since"), F.greatest(ends, month("since")))).alias("_month"))
+    asked = distinct.select(*columns, "_n", F.explode_outer(keys_of(F.col(url))).alias("_key"), F.col(time).alias("_at"))
+    hit = asked.join(cut, (F.col("_key") == F.col("_rule")) & (month("_at") == F.col("_month")) & (F.col("_since") <= F.col("_at")) & (F.col("_at") < F.col("_until")), "left")
+    best = F.max(F.when(F.col("_rule").isNotNull(), F.struct(F.length("_rule").alias("size"), F.col("_since"), F.col("_rule")))).alias("_best")
     told = hit.groupBy(*columns, "_n").agg(best)
-    return told.select(*columns, host_of(F.col(url)).alias("host"), F.col("best").isNotNull().alias("blocked"), F.col("best.key").alias("rule"), F.col("best.since").alias("since"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k")).drop("_k")
+    return told.select(*columns, host_of(F.col(url)).alias("host"), F.col("_best").isNotNull().alias("blocked"), F.col("_best._rule").alias("rule"), F.col("_best._since").alias("since"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k")).drop("_k")
