@@ -129,11 +129,11 @@ def _breadth_first(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             x = queue.pop()
             near = np.bitwise_count(left ^ x) <= THRESHOLD
             if near.any():
-                a.append(np.full(int(near.sum()), x))
+                a.append(np.full(int(near.sum()), x, np.uint64))
                 b.append(left[near])
                 queue.extend(left[near])
                 left = left[~near]
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.uint64)  # of the same type: a signed one would turn all into floats
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
