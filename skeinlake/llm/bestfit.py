@@ -72,12 +72,10 @@ class WordIds:
             if len(cuts) != len(part):  # a letter that lower-cases to more than letters
                 self.cores.update((w, self._encode(w)) for w in part)
             else:
-                self.cores.update(zip(part, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+                raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+                self.cores.update((w, raw[i:j]) for w, i, j in zip(part, [0, *cuts], cuts, strict=False))
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-            self.cores.clear()
         new: dict[bytes, tuple[str, str]] = {}
         for w in words:
             text = w.decode()
@@ -89,11 +87,12 @@ class WordIds:
 
     def batch(self, rows: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text, with the end id."""
+        if len(self.memo) > _MEMO:
+            self.memo.clear()
+            self.cores.clear()
         words = [r.lower().split() for r in rows]
-        if new := {w for ws in words for w in ws if w not in self.memo}:
+        if new := set().union(*words).difference(self.memo):
             self._learn(new)
-            if any(w not in self.memo for ws in words for w in ws):  # the memory was emptied meanwhile
-                self._learn({w for ws in words for w in ws})
         end = np.array([END_ID], "<u4").tobytes()
         return [np.frombuffer(b"".join([*map(self.memo.__getitem__, ws), end]), "<u4") for ws in words]
 
