@@ -32,7 +32,7 @@ BESIDE = frozenset("nav header footer aside form menu dialog".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset(["html", "body", "tr", "tbody", "thead", "tfoot", "caption"])
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|header|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|discussion|replies|disqus|related|recommended|share|sharing|social|toolbar|widget|pagination|pager|skip)(?:$|[\s_-])", re.I)
+NAMED = re.compile(r"(?<!no-)(?<!no_)(?<!has-)(?<!with-)(?<![^\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|header|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|discussion|replies|disqus|related|recommended|share|sharing|social|toolbar|widget|pagination|pager|skip)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
