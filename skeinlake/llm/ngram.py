@@ -127,7 +127,7 @@ def _answered(table: pa.Table) -> pa.Table:
     return pa.table({k: columns[k] for k in ("block", "range", "one_total", "two_total", "types", "tokens")})
 
 
-def _walked(docs: pa.Table, answers: pa.Table, weight: float = K) -> pa.Table:
+def _walked(docs: pa.Table, answers: pa.Table, weight: float) -> pa.Table:
     """Each text's traversal: the state is the token before, so all steps of a block are looked up at once."""
     answers = answers.sort_by("range")
     tokens, sizes = _hashes(_block_rows(docs))
@@ -156,7 +156,7 @@ def _walked(docs: pa.Table, answers: pa.Table, weight: float = K) -> pa.Table:
     })
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, weight: float = K) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per row of ``docs``."""
     chosen = docs.select("doc_id", whole_text().alias("text"), (crc_fold() == HELD_OUT).alias("held_out"))
     size = chosen.agg(F.sum(F.octet_length("text")), F.count("*")).first()
@@ -165,4 +165,4 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     asked = dealt.groupBy("block").applyInArrow(_asked(blocks), "block long, range long, one_keys binary, one_n binary, two_keys binary, two_n binary")
     answered = asked.repartition(blocks, "range").groupBy("range").applyInArrow(_answered, "block long, range long, one_total binary, two_total binary, types long, tokens long")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(answered.repartition(blocks, "block").groupBy("block")).applyInArrow(_walked, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("block").cogroup(answered.repartition(blocks, "block").groupBy("block")).applyInArrow(lambda texts, answers: _walked(texts, answers, weight), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
