@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from skeinlake.functions.ids import content_hash
 from skeinlake.functions.moments import parsed
+from skeinlake.functions.shared import written
+from skeinlake.functions.text import row_text
 
 #: Delimiters in the order in which they are tried.
 DELIMITERS = (",", ";", "\t", "|")
@@ -74,11 +76,10 @@ def rendered(table: DataFrame, order: str | None = None) -> DataFrame:
     Numbers follow ``order`` or the order of the file, from counts per partition: no window
     over all rows.
     """
-    from skeinlake.functions.text import row_text
-
     columns = table.columns
     placed = table.orderBy(order) if order else table
-    kept = placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    # written, because the numbers are read twice and have to be the same both times
+    kept = written(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "rows")
     counts = kept.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     bases = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
