@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinlake.functions import ids, moments, text, vector, weights
+from skeinlake.functions.shared import written
 from skeinlake.operators import chunking, consolidation, evaluation, graph, ingest, lexical, nearest, sessions, traversal
 from skeinlake.plans import retrieval, router, stages
 from skeinlake.plans.derived import feedback_uses, node_vectors, sql_graph, table
@@ -372,7 +373,7 @@ def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query(_BM25 + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM x) WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     d, q = _documents(spark, sf), _asked(spark, sf)
-    return lexical.top_k(lexical.bm25(d, q), d, q, 10).withColumn("score", F.round("score", 6))
+    return lexical.top_k(written(lexical.bm25(d, q), "scores"), d, q, 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"""
@@ -529,10 +530,12 @@ SELECT query_id, source_id, target_id, relationship_name, round(score, 6) AS sco
 
 @query(_TRIPLET)
 def triplet_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _hits(spark, sf)
-    best = hits.groupBy("query_id", "id", "collection").agg(F.min("distance").alias("distance"))
+    # the hits of a query (100 at most) and the edges are read several times: stored tables, as in an engine that has ingested them
+    hits = written(_hits(spark, sf).groupBy("query_id", "id", "collection").agg(F.min("distance").alias("distance")), "hits")
     none = spark.createDataFrame([], "query_id long, edge_type string, distance double")
-    return retrieval.scored_triplets(derived_graph(spark, sf, ("supplier", "part")), best, none, 5).withColumn("score", F.round("score", 6))
+    g = derived_graph(spark, sf, ("supplier", "part"))
+    stored = graph.Graph(g.nodes, written(g.edges, "edges"))
+    return retrieval.scored_triplets(stored, hits, none, 5).withColumn("score", F.round("score", 6))
 
 
 @query("""

@@ -23,11 +23,23 @@ def scored_triplets(graph: Graph, node_hits: DataFrame, edge_hits: DataFrame, k:
     side = lambda p: graph.nodes.select(F.col("id").alias(f"{p}_id"), known(graph.nodes, "importance_weight", 0.5).alias(f"{p}_importance"), known(graph.nodes, "feedback_weight", 0.5).alias(f"{p}_feedback"))
     edges = graph.edges.select("source_id", "target_id", "relationship_name", known(graph.edges, "feedback_weight", 0.5).alias("edge_feedback")).join(side("source"), "source_id").join(side("target"), "target_id")
     key = ["query_id", "source_id", "target_id", "relationship_name"]
-    hit = lambda p: edges.join(nodes.select("query_id", F.col("id").alias(f"{p}_id")), f"{p}_id").select(*key)
+    at = lambda p: nodes.select("query_id", F.col("id").alias(f"{p}_id"))
+    if feedback_influence > 0:
+        of = lambda p: edges.join(at(p), f"{p}_id").select(*key)
+    else:
+        # of a node's edges of one relation whose other end is not hit, only the k with the cheapest other end
+        # can be among the best: an edge with both ends hit never costs more than it would with one
+        def of(p: str) -> DataFrame:
+            other = "target" if p == "source" else "source"
+            w = Window.partitionBy(f"{p}_id", "relationship_name").orderBy(-F.col(f"{other}_importance"), *key[1:])
+            first = edges.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
+            return first.select(*key[1:]).join(at(p), f"{p}_id").select(*key)
+
+    both_hit = edges.select(*key[1:]).join(at("source"), "source_id").join(at("target"), ["query_id", "target_id"]).select(*key)
     by_type = edges.join(types.select("query_id", F.col("edge_type").alias("relationship_name")), "relationship_name").select(*key)
     queries = node_hits.select("query_id").unionByName(edge_hits.select("query_id")).distinct()
     first = edges.orderBy(*key[1:]).limit(4 * k).select(*key[1:])
-    candidates = hit("source").unionByName(hit("target")).unionByName(by_type).unionByName(queries.crossJoin(F.broadcast(first)).select(*key)).distinct()
+    candidates = both_hit.unionByName(of("source")).unionByName(of("target")).unionByName(by_type).unionByName(queries.crossJoin(F.broadcast(first)).select(*key)).distinct()
     d = lambda p: nodes.select("query_id", F.col("id").alias(f"{p}_id"), F.col("distance").alias(f"{p}_distance"))
     full = candidates.join(edges, key[1:]).join(d("source"), ["query_id", "source_id"], "left").join(d("target"), ["query_id", "target_id"], "left").join(types.select("query_id", F.col("edge_type").alias("relationship_name"), F.col("distance").alias("edge_distance")), ["query_id", "relationship_name"], "left")
     part = lambda p: weighed_distance(F.col(f"{p}_distance"), F.col(f"{p}_importance"), F.col(f"{p}_feedback"), feedback_influence)
