@@ -7,15 +7,21 @@ of a row of thresholds, on the distance itself and on its share of the window's
 weights of these counts are calibrated on the sample by logistic regression.
 
 Two things make the distance tell anything on short windows. The toxic dictionary is trained
-on the windows that mark toxic text (in at least MIN_DOCS sampled documents, and in a share
-of the toxic ones well above that of the others), the ordinary one on those that do not;
-trained on all windows, both hold the same common words (measured on the small tables: recall
-0.6 at a false-positive rate of 0.4). And each window is framed by a carrier that both
-dictionaries hold, since zstandard starts no match in the last bytes of a block and stores a
-block raw that it shortens by a byte or two.
-
-Defined cases: a null text is empty and has no windows; without labelled toxic rows every
-score is the share of toxic labels (0 if there are none); repeated rows score alike.
+on the windows that mark toxic text (in a share of the toxic documents ahead of that of the
+others), the ordinary one on those that do not; trained on all windows, both hold the same
+common words (measured on the small tables: recall 0.6 at a false-positive rate of 0.4). And
+each window is framed by a carrier that both dictionaries hold, since zstandard starts no match
+in the last bytes of a block and stores a block raw that it shortens by a byte or two.
+
+How far ahead a window has to be depends on how many labels there are, so it is learnt: each
+of LEVELS, down to every window of a toxic document, is tried on folds of the sample with
+dictionaries trained on the other folds, and the one of least log loss is taken. At all but
+the first level the weights are calibrated on the same counts, which no document's own words
+have gone into.
+
+Defined cases: a null text is empty and has no windows; without labelled toxic rows (or
+without others, or without any window in the toxic ones) every score is the share of toxic
+labels (0 if there are none); repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -25,12 +31,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinlake.llm.common import crc_fold, map_pieces, pieces, texts, whole_text
+from skeinlake.llm.common import crc_fold, map_pieces, pieces, texts, whole_text, written
 from skeinlake.llm.labelled import SAMPLE_ROWS, labelled_sample
 
 LEVEL = 3
@@ -41,11 +48,13 @@ CARRIER = bytes(range(200, 232))
 #: Calibrated thresholds: bytes of distance, and distance as a share of the framed window.
 THRESHOLDS = np.array([3, 4, 5, 6, 7, 8])
 SHARES = np.array([0.3, 0.35, 0.4, 0.45, 0.5, 0.6])
-MIN_DOCS = 6
 #: Windows a dictionary is trained on at most, the most telling first.
 VOCABULARY = 4_000
-#: Standard errors by which a window's share of toxic documents exceeds its share of the others.
-MARKED = 5.0
+#: Toxic documents that hold a marked window, and standard errors by which its share of the toxic documents
+#: exceeds that of the others, to choose from; at the last, every window of a toxic document counts as marked.
+LEVELS = ((6, 5.0), (3, 4.0), (2, 3.0), (1, -np.inf))
+#: Parts of the sample, each scored with dictionaries of the others to choose the level and calibrate.
+FOLDS = 4
 _STRIP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _MEMO = 400_000
 COUNTS = [*(f"d{t}" for t in THRESHOLDS), *(f"s{round(100 * t)}" for t in SHARES)]
@@ -123,23 +132,30 @@ def _inputs(counts: np.ndarray) -> np.ndarray:
 
 
 def _present(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Each distinct window of each document, with the document's label."""
+    """Each distinct window of each document, with the document's label and fold as one number."""
     found: Counter = Counter()
-    for text, label in zip(texts(batch), batch.column("label").to_pylist(), strict=True):
-        found.update((w, label) for w in set(windows(text)))
+    for text, label, fold in zip(texts(batch), batch.column("label").to_pylist(), batch.column("fold").to_pylist(), strict=True):
+        found.update((w, label * FOLDS + fold) for w in set(windows(text)))
     keys = list(found)
-    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in keys], pa.binary()), pa.array([x for _, x in keys], pa.int32()), pa.array(list(found.values()), pa.int64())], ["w", "label", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in keys], pa.binary()), pa.array([x for _, x in keys], pa.int32()), pa.array(list(found.values()), pa.int64())], ["w", "part", "n"])
 
 
-def _telling(sample: DataFrame, of: dict[int, int]) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
-    """(window, documents) that mark toxic text, most telling first, and that do not, most frequent first."""
-    counted = map_pieces(sample, _present, "w binary, label int, n long").groupBy("w").agg(*(F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"n{x}") for x in (0, 1)))
-    share = lambda x: (F.col(f"n{x}") + 0.5) / (of[x] + 1.0)
-    both = (F.col("n0") + F.col("n1")) / float(of[0] + of[1])
-    ahead = (share(1) - share(0)) / F.sqrt(both * (1 - both) * (1.0 / max(1, of[0]) + 1.0 / max(1, of[1])) + 1e-12)
-    marks = counted.where((F.col("n1") >= MIN_DOCS) & (ahead >= MARKED) & (share(1) >= 3 * share(0))).select("w", F.col("n1").alias("n")).orderBy(ahead.desc(), "w")
-    plain = counted.where((F.col("n0") >= MIN_DOCS) & (ahead < 1)).select("w", F.col("n0").alias("n")).orderBy(F.desc("n"), "w")
-    return tuple([(bytes(r["w"]), r["n"]) for r in x.limit(VOCABULARY).collect()] for x in (marks, plain))
+def _telling(counted: DataFrame, of: Counter, without: int | None) -> tuple[list[tuple[bytes, int, float]], list[tuple[bytes, int]]]:
+    """(window, documents, standard errors ahead) of toxic text, most telling first, and (window, documents) that do not mark it, most frequent first.
+
+    ``without`` is a fold whose documents are not counted. A window that is not three times as
+    frequent in toxic text counts as not ahead.
+    """
+    folds = [f for f in range(FOLDS) if f != without]
+    known = counted.select("w", *(sum((F.col(f"c{x * FOLDS + f}") for f in folds), F.lit(0)).alias(f"n{x}") for x in (0, 1)))
+    n = [sum(of[x * FOLDS + f] for f in folds) for x in (0, 1)]
+    share = lambda x: (F.col(f"n{x}") + 0.5) / (n[x] + 1.0)
+    both = (F.col("n0") + F.col("n1")) / float(max(1, sum(n)))
+    ahead = (share(1) - share(0)) / F.sqrt(both * (1 - both) * (1.0 / max(1, n[0]) + 1.0 / max(1, n[1])) + 1e-12)
+    marked = F.when(share(1) >= 3 * share(0), ahead).otherwise(F.least(ahead, F.lit(0.0)))
+    marks = known.where("n1 > 0").select("w", F.col("n1").alias("n"), marked.alias("ahead")).orderBy(F.desc("ahead"), "w")
+    plain = known.where((F.col("n0") > 0) & (ahead < 1)).select("w", F.col("n0").alias("n")).orderBy(F.desc("n"), "w")
+    return tuple([(bytes(r["w"]), *r[1:]) for r in x.limit(VOCABULARY).collect()] for x in (marks, plain))
 
 
 def _regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -152,27 +168,69 @@ def _regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from at most ``rows`` labelled documents; what reaches the driver is bounded by that and VOCABULARY."""
-    sample = labelled_sample(docs, labels, "toxic", rows)
-    of = {0: 0, 1: 0} | {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    model = Model(of[1] / max(1, of[0] + of[1]))
-    toxic, ordinary = _telling(sample, of) if of[1] else ([], [])
-    if not toxic:
-        return model
-    model.toxic, model.ordinary = _dictionary(toxic, TOXIC_BYTES), _dictionary(ordinary, ORDINARY_BYTES)
+def _loss(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
+    """Log loss of all rows, each fold with the weights of the others."""
+    total = 0.0
+    for f in np.unique(fold):
+        w = _regression(x[fold != f], y[fold != f])
+        z = np.clip(x[fold == f] @ w[:-1] + w[-1], -30, 30)
+        total += float((np.log1p(np.exp(z)) - y[fold == f] * z).sum())
+    return total
 
+
+def _counts(sample: DataFrame, models: list[list[Model]]) -> pd.DataFrame:
+    """label, fold, level and counts of each document of the sample, with each of the models of its fold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = Distance(model)
+        distances = [[Distance(m) for m in of] for of in models]
         for batch in batches:
             for piece in pieces(batch) if batch.num_rows else ():
-                found = np.array([distance.counts(t) for t in texts(piece)], np.int64)
-                yield pa.RecordBatch.from_arrays([piece.column("label"), *(pa.array(c) for c in found.T)], ["label", *COUNTS, "n"])
+                label, folds = piece.column("label"), piece.column("fold")
+                for level in range(len(models[0])):
+                    found = np.array([distances[f][level].counts(t) for t, f in zip(texts(piece), folds.to_pylist(), strict=True)], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(label), level, np.int32)), label, folds, *(pa.array(c) for c in found.T)], ["level", "label", "fold", *COUNTS, "n"])
+
+    return sample.mapInArrow(run, f"level int, label int, fold int, {', '.join(f'{c} long' for c in COUNTS)}, n long").toPandas().sort_values([*COUNTS, "n", "label", "fold"])
+
 
-    found = sample.mapInArrow(run, f"label int, {', '.join(f'{c} long' for c in COUNTS)}, n long").toPandas().sort_values([*COUNTS, "n", "label"])
+def _standardised(found: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Inputs, labels, folds, and the mean and scale of the inputs."""
     x = _inputs(found[[*COUNTS, "n"]].to_numpy(np.float64))
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
-    model.weights = _regression((x - model.mean) / model.scale, found["label"].to_numpy(np.float64))
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    return (x - mean) / scale, found["label"].to_numpy(np.float64), found["fold"].to_numpy(), (mean, scale)
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    """Learns from at most ``rows`` labelled documents; what reaches the driver is bounded by that and VOCABULARY."""
+    sample = labelled_sample(docs, labels, "toxic", rows).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
+    of = Counter({r["part"]: r["n"] for r in sample.groupBy((F.col("label") * FOLDS + F.col("fold")).alias("part")).agg(F.count("*").alias("n")).collect()})
+    ordinary_rows, toxic_rows = (sum(of[x * FOLDS + f] for f in range(FOLDS)) for x in (0, 1))
+    model = Model(toxic_rows / max(1, toxic_rows + ordinary_rows))
+    if not toxic_rows or not ordinary_rows:
+        return model
+    parts = map_pieces(sample, _present, "w binary, part int, n long").groupBy("w")
+    counted = written(parts.agg(*(F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(2 * FOLDS))), "windows")
+    marks, plain = _telling(counted, of, None)
+    if not marks:
+        return model
+    chosen = lambda found, level, part=1.0: [(w, n) for w, n, ahead in found if n >= part * level[0] and ahead >= part**0.5 * level[1]]
+    trial: list[list[Model]] = []
+    for fold in range(FOLDS):
+        found, others = _telling(counted, of, fold)
+        ordinary = _dictionary(others, ORDINARY_BYTES)
+        trial.append([Model(model.prior, _dictionary(chosen(found, level, 1 - 1 / FOLDS), TOXIC_BYTES), ordinary) for level in LEVELS])
+
+    found = _counts(sample, trial)
+    best, level, weighed = np.inf, None, None
+    for k, tried in enumerate(LEVELS):
+        x, y, fold, scales = _standardised(found[found["level"] == k])
+        if chosen(marks, tried) and (loss := _loss(x, y, fold)) < best:
+            best, level, weighed = loss, tried, (x, y, scales)
+    model.toxic, model.ordinary = _dictionary(chosen(marks, level), TOXIC_BYTES), _dictionary(plain, ORDINARY_BYTES)
+    if level == LEVELS[0]:  # so many documents hold each marked window that no document's own words tell: the dictionaries in use are the better ones to calibrate
+        x, y, _, scales = _standardised(_counts(sample, [[model]] * FOLDS))
+        weighed = x, y, scales
+    x, y, (model.mean, model.scale) = weighed
+    model.weights = _regression(x, y)
     return model
 
 

@@ -316,6 +316,15 @@ def test_toxic_windows_are_nearer_to_the_toxic_dictionary(spark):
     assert sum(r.predicted == r.toxic for r in found) >= 0.95 * len(found)
 
 
+@pytest.mark.skipif(not SF.exists(), reason="the tables are not here")
+def test_a_few_toxic_labels_teach_something(spark):
+    marks = spark.read.parquet(f"{SF}/labels.parquet").where("toxic is not null")
+    found = toxicity.score(documents(spark), toxicity.fit(documents(spark), marks)).join(marks, "doc_id").collect()
+    assert len({r.score for r in found}) > 2
+    assert sum(r.predicted for r in found if r.toxic) >= 0.5 * sum(r.toxic for r in found)
+    assert sum(r.predicted for r in found if not r.toxic) <= 0.05 * len(found)
+
+
 # ---------------------------------------------------------------- packing
 
 
