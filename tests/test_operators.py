@@ -65,6 +65,21 @@ def test_walks(spark):
     assert traversal.shortest_path(g.edges, "k", "d").count() == 0
 
 
+def test_pagerank_goes_on_until_it_stands(spark):
+    pairs = [(f"n{k}", f"n{(k * k + 1) % 30}") for k in range(30)] + [("n1", "n0"), ("n2", "sink")] + [(f"n{k}", f"n{k + 1}") for k in range(29)]
+    g = made(spark, pairs)
+    names = sorted({x for p in pairs for x in p})
+    to = {a: {y for x, y in pairs if x == a} for a in names}
+    ranks = dict.fromkeys(names, 1 / len(names))
+    for _ in range(300):
+        spread = 0.5 + 0.5 * sum(r for a, r in ranks.items() if not to[a])
+        ranks = {b: spread / len(names) + 0.5 * sum(ranks[a] / len(to[a]) for a in names if b in to[a]) for b in names}
+    found = dict(values(traversal.pagerank(g, damping=0.5, tolerance=1e-9), "id", "rank"))
+    assert sum(abs(found[a] - r) for a, r in ranks.items()) < 1e-8
+    cut = dict(values(traversal.pagerank(g, 2, 0.5), "id", "rank"))
+    assert sum(abs(cut[a] - r) for a, r in ranks.items()) > 1e-3
+
+
 def test_pagerank_sums_to_one(spark):
     ranks = traversal.pagerank(made(spark, CONNECTED), 20)
     assert ranks.agg(F.sum("rank")).first()[0] == pytest.approx(1)
