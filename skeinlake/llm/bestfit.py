@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -80,7 +81,8 @@ class WordIds:
         for w in words:
             text = w.decode()
             core = text.rstrip(_TAIL)
-            new[w] = (core, text[len(core) :]) if core and core[-1].isalpha() else (text, "")
+            # the tokenizer lower-cases and composes first, which may leave a letter with a combining mark
+            new[w] = (core, text[len(core) :]) if core and core[-1].isalpha() and unicodedata.normalize("NFC", core.lower())[-1].isalpha() else (text, "")
         self._learn_cores([c for c in {x for pair in new.values() for x in pair if x} if c not in self.cores])
         for w, (core, tail) in new.items():
             self.memo[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
