@@ -3,7 +3,8 @@
 A text is searched as it is (base spans) and again after normalisation: transducers replace
 homoglyphs and full-width forms, drop invisible characters, turn spelled digits into digits
 and undo ``(at)`` / ``[dot]`` disguises. Each records where every normalised character came
-from, so a span found in the normalised text maps back to characters of the source. Base
+from, so a span found in the normalised text maps back to characters of the source. A
+transducer is left out only where a text lacks what each of its rewrites needs. Base
 spans all stay; an added span touches a base span of its kind only to hold it and more.
 
 Kinds, each leftmost and non-overlapping; failing matches are dropped without a retry:
@@ -51,22 +52,28 @@ SPELLED = {
 }
 AT = ("at", "arroba", "arobase", "chez", "ät")
 DOT = ("dot", "punto", "point", "punkt")
+BEFORE_AT = frozenset("a all an and are arrive arrived available back be been buy call came click come down found go goes hosted in is it join left live look looked looking looks me meet met more online or out page people read see shop sign site sold start stay stop store that the them there they this up us version visit was we website work working works you".split())
 ENDINGS = frozenset("com org net edu gov info biz io co de fr es it uk us ch at be nl eu ca au jp cn in br mx ar".split())
 
 _MAP = {ord(k): ord(v) for k, v in LOOKALIKES.items()} | {0xFF01 + k: 0x21 + k for k in range(94)} | {0x0660 + k: 48 + k for k in range(10)} | {0x06F0 + k: 48 + k for k in range(10)}
 _ODD = frozenset([*map(chr, _MAP), *INVISIBLE])
-#: Lower-cases ASCII letters and blanks everything else of ASCII but digits.
-_PLAIN = bytes(c if c > 127 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
-_SPELLED_BYTES = frozenset(w.encode() for w in SPELLED)
-_HINTS = frozenset(w.encode() for w in DOT)
 _HIDDEN = re.compile("[" + INVISIBLE + "]")
 _AT_MARK = re.compile(r"\s?[\[({<]\s?(?:" + "|".join(AT) + r"|@)\s?[\])}>]\s?", re.I)
 _DOT_MARK = re.compile(r"\s?[\[({<]\s?(?:" + "|".join(DOT) + r"|\.)\s?[\])}>]\s?", re.I)
-# bare "name at host dot org": only where both words stand in one chain, so that prose is left alone
-_CHAIN = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++)(\s++(?:" + "|".join(AT) + r")\s++|@|\s@\s)([A-Za-z0-9-]++(?:(?:\s++(?:" + "|".join(DOT) + r")\s++|\.)[A-Za-z0-9-]++)+)", re.I)
-_BARE_DOT = re.compile(r"\s+(?:" + "|".join(DOT) + r")\s+", re.I)
+_AT_WORD, _DOT_WORD = (rf"\s++(?:{'|'.join(x)})\s++" for x in (AT, DOT))
+# bare "first dot last at host dot org", each mark spelled or not; up to eight spelled dots before the at
+_CHAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++(?:{_DOT_WORD}(?!(?:{'|'.join(AT)})\s)[A-Za-z0-9._%+-]++){{0,8}}+)({_AT_WORD}|@|\s@\s)([A-Za-z0-9-]++(?:(?:{_DOT_WORD}|\.)[A-Za-z0-9-]++)+)", re.I)
+_BARE_DOT = re.compile(_DOT_WORD, re.I)
 _DIGIT_WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
-_SPELLED = re.compile(r"(?<!\w)(?:(?:" + _DIGIT_WORDS + r"|\d+|plus|\+)(?:[ \t,.-]{1,2}|(?=\W|$))){7,}", re.I)
+_SPELLED = re.compile(r"(?<!\w)(?:(?:" + _DIGIT_WORDS + r"|[0-9]+|plus|\+)(?:[ \t,.-]{1,2}|(?=\W|$))){7,}", re.I)
+# numbers of up to three digits with spelled dots between them, in digits or spelled digit by digit
+_NUMBER_RUN = rf"(?:{_DIGIT_WORDS}|\d++(?:\.\d++)*+)"
+_DOTTED = re.compile(rf"(?<![\w.]){_NUMBER_RUN}(?:[ \t]{_NUMBER_RUN}){{0,2}}(?:{_DOT_WORD}{_NUMBER_RUN}(?:[ \t]{_NUMBER_RUN}){{0,2}})++(?!\w)", re.I)
+#: What each match of _CHAIN ends in, as far as its first dot.
+_CHAIN_TAIL = re.compile(rf"(?:(?<!\s){_AT_WORD}|@|\s@\s)[A-Za-z0-9-]++(?:{_DOT_WORD}|\.)[A-Za-z0-9-]", re.I)
+#: Blanks all of ASCII but letters, and makes all digits 0: words in a run that _SPELLED matches are then in _COUNTED.
+_PLAIN = bytes(48 if chr(c).isdigit() and c < 128 else c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+_COUNTED = frozenset([*(w.encode() for w in SPELLED), b"plus", *(b"0" * k for k in range(1, 20))])
 _SPELLED_WORD = re.compile(r"(?<!\w)(?:" + _DIGIT_WORDS + r")(?!\w)", re.I)
 
 
@@ -131,39 +138,34 @@ class Tape:
         self.start, self.end = np.concatenate([*starts, self.start[at:]]), np.concatenate([*ends, self.end[at:]])
 
 
-def _disguised(text: str) -> bool:
-    """Whether any transducer could change the text; a few fast linear scans."""
-    if not text.isascii() and not _ODD.isdisjoint(text):
-        return True
-    if any(c in text for c in "[({<") and (_AT_MARK.search(text) or _DOT_MARK.search(text)):
-        return True
-    words = text.encode().translate(_PLAIN).split()
-    if not _HINTS.isdisjoint(words):
-        return True
-    at = [k for k, w in enumerate(words) if w in _SPELLED_BYTES]
-    return any(y - x == 1 for x, y in pairwise(at))
-
-
 def normalised(text: str) -> Tape:
     """The text after all transducers."""
     tape = Tape(text)
-    if not text.isascii():
+    if not text.isascii() and not _ODD.isdisjoint(text):
         tape.text = tape.text.translate(_MAP)  # one for one: offsets stay
         tape.rewrite([(m.start(), m.end(), "") for m in _HIDDEN.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), "@") for m in _AT_MARK.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), ".") for m in _DOT_MARK.finditer(tape.text)])
     edits = []
-    for m in _CHAIN.finditer(tape.text):
-        dots = [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in _BARE_DOT.finditer(m[3])]
-        # "at" alone is an English word, and "point" one too: both have to be spelled, before a known ending
-        if m[2].strip().lower() in AT and not dots or dots and m[3].rsplit(None, 1)[-1].rsplit(".", 1)[-1].lower() not in ENDINGS:
+    for m in _CHAIN.finditer(tape.text) if _CHAIN_TAIL.search(tape.text) else ():
+        dots = [(m.start(g) + d.start(), m.start(g) + d.end(), ".") for g in (1, 3) for d in _BARE_DOT.finditer(m[g])]
+        # "at" and "point" are words of prose too: they count before a known ending, and "at" alone after no word that prose has there
+        ending = re.split(r"[\s.]", m[3])[-1].lower() in ENDINGS
+        if (dots or m[2].strip() != "@") and not ending or not dots and m[2].strip() != "@" and m[1].lower() in BEFORE_AT:
             continue
         if m[2] != "@":
-            edits.append((m.start(2), m.end(2), "@"))
-        edits += dots
+            dots.append((m.start(2), m.end(2), "@"))
+        edits += sorted(dots)
     tape.rewrite(edits)
     edits = []
-    for m in _SPELLED.finditer(tape.text):
+    low = tape.text.lower()
+    for m in _DOTTED.finditer(tape.text) if any(w in low for w in DOT) else ():
+        for w in re.finditer(rf"({_DOT_WORD})|([ \t])|({_DIGIT_WORDS})(?!\w)", m[0], re.I):
+            edits.append((m.start() + w.start(), m.start() + w.end(), "." if w[1] else "" if w[2] else SPELLED[w[3].lower()]))
+    tape.rewrite(edits)
+    edits = []
+    run = b"\1" * 6 in bytes(map(_COUNTED.__contains__, tape.text.lower().encode().translate(_PLAIN).split()))
+    for m in _SPELLED.finditer(tape.text) if run else ():
         if _SPELLED_WORD.search(m[0]):
             last = m.start()
             for w in re.finditer(r"[^\W\d_]+|\d+|\+", m[0]):
@@ -181,8 +183,6 @@ def normalised(text: str) -> Tape:
 def all_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """Base spans, and those with what only the normalised text shows, both sorted by start."""
     base = spans(text)
-    if not _disguised(text):
-        return base, base
     tape = normalised(text)
     if tape.text == text:
         return base, base
