@@ -1,21 +1,25 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to one line per block. A line weighs its length outside links; lines in
-menus, headers, footers, sidebars, notices, adverts, forms and comment sections (told by
-element, role, class or id) weigh nothing. The weights are summed over sliding windows of
-lines; the text starts where the sum surges above the threshold and ends where it dives
-to zero, and every weighing line between the two stays. If the page names its article
-(``article``, ``main`` or an equivalent role), lines inside it weigh enough to hold the
-sum up, and lines outside it weigh nothing.
-
-Defined cases: null or empty html gives the empty text and 0; markup without an end is
-closed by the end of the page; repeated rows give repeated rows.
+Markup is stripped to one line per block. Lines in menus, headers, footers, sidebars, notices,
+adverts, forms and comment sections (told by element, role, class or id) are set apart, and so
+is what lies outside the article where a page names one (``article``, ``main`` or an equivalent
+role). Each line left weighs its length outside short links. The weights are summed over
+sliding windows of lines; the text starts where the sum surges and ends where it dives to
+zero, and every line between the two stays, linked ones too. Lists of links at the edges of
+an article weigh nothing, so they fall outside. The surge has to pass SURGE characters, or any
+at all inside a named article. A line shorter than that stays if its container holds text.
+
+Defined cases: null or empty html gives the empty text and 0; a page without any surge is all
+the text it has; markup without an end is closed by the end of the page; repeated rows give
+repeated rows. Time is linear in the page, however its elements nest.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,95 +29,147 @@ from skeinlake.llm.common import map_pieces
 
 WINDOW = 3
 SURGE = 80
+#: Links longer than this on average are sentences, not marks.
+LINK = 40
 # fixed values: element names, as the HTML standard groups them, and common class and id words
 SILENT = frozenset("script style noscript template svg math head iframe object canvas audio video select option datalist textarea button".split())
 RAW = frozenset("script style textarea title iframe noscript template svg".split())
 BESIDE = frozenset("nav header footer aside form menu dialog".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody tfoot thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text belongs together; body is none, as everything is in it.
+CONTAINERS = frozenset("article div section main td blockquote".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset(["html", "body", "tr", "tbody", "thead", "tfoot", "caption"])
 NAMED = re.compile(r"(?<!no-)(?<!no_)(?<!has-)(?<!with-)(?<![^\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|header|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|discussion|replies|disqus|related|recommended|share|sharing|social|toolbar|widget|pagination|pager|skip)(?:$|[\s_-])", re.I)
+#: Words that may stand beside those of NAMED in a class that sets something apart inside an article.
+NEUTRAL = frozenset("area article articles bar block body bottom box btn button buttons center class col container content global group header icons inline inner item items left link links list main module outer page panel post posts primary right row section site slot small tools top unit user users wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ARTICLE = re.compile(r"role\s*=\s*[\"']?(?:main|article)\b|itemprop\s*=\s*[\"']?articleBody", re.I)
 _END_RAW = {name: re.compile(rf"</{name}[^>]*>", re.I) for name in RAW}
 _SPACE = re.compile(r"\s+")
 
 
-class _Lines:
-    """Lines of a page with their weights' ingredients."""
+class Line(NamedTuple):
+    """A block of text: its characters in links, how many links, whether set apart, in the article, and its container."""
 
-    def __init__(self) -> None:
-        self.rows: list[tuple[str, int, bool, bool]] = []  # text, characters in links, beside, in the article
-        self.buffer: list[str] = []
-        self.linked = 0
+    text: str
+    linked: int
+    links: int
+    beside: bool
+    inside: bool
+    container: int
 
-    def end(self, beside: bool, article: bool) -> None:
-        if self.buffer:
-            text = _SPACE.sub(" ", unescape("".join(self.buffer))).strip()
-            if text:
-                self.rows.append((text, min(self.linked, len(text)), beside, article))
-            self.buffer, self.linked = [], 0
+
+def _named(value: str, article: bool) -> bool:
+    """Whether a class or id names something beside the text; inside an article, only if all its words do."""
+    if not NAMED.search(value):
+        return False
+    return not article or any(NAMED.search(c) and all(w in NEUTRAL or w.isdigit() or NAMED.fullmatch(w) for w in re.split(r"[_-]+", c.lower()) if w) for c in value.split())
 
 
-def _set_apart(name: str, attributes: str) -> bool:
+def _set_apart(name: str, attributes: str, article: bool) -> bool:
     if name in BESIDE:
         return True
     if not attributes or name in ("body", "html", "article", "main"):
         return False
     for m in _ATTR.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and NAMED.search(value) or key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
+        if key in ("class", "id") and _named(value, article) or key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
             return True
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
-    """The blocks of a page in order: text, characters in links, whether set apart, whether in the article."""
-    out = _Lines()
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, set apart, silent, article
-    apart = silent = article = links = 0
-    at = 0
+class _Stack:
+    """Open elements, with counts and the places of blocks and lists, so that no step has to scan them."""
+
+    def __init__(self) -> None:
+        self.rows: list[Line] = []
+        self.buffer: list[str] = []
+        self.linked = self.anchors = 0
+        self.open: list[tuple[str, bool, bool, bool, int]] = []  # name, set apart, silent, article, number
+        self.names: Counter[str] = Counter()
+        self.blocks: list[int] = []
+        self.lists: list[int] = []
+        self.containers: list[int] = []
+        self.number = self.apart = self.silent = self.article = self.headings = 0
+
+    def end_line(self) -> None:
+        if self.buffer:
+            text = _SPACE.sub(" ", unescape("".join(self.buffer))).strip()
+            if text:
+                linked = 0 if self.headings else min(self.linked, len(text))
+                self.rows.append(Line(text, linked, self.anchors, self.apart > 0, self.article > 0, self.containers[-1] if self.containers else 0))
+            self.buffer, self.linked, self.anchors = [], 0, 0
+
+    def push(self, name: str, apart: bool, silent: bool, article: bool) -> None:
+        self.number += 1
+        at = len(self.open)
+        self.open.append((name, apart, silent, article, self.number))
+        self.names[name] += 1
+        if name in BLOCKS:
+            self.blocks.append(at)
+        if name in ("li", "ul", "ol", "menu"):
+            self.lists.append(at)
+        if name in CONTAINERS:
+            self.containers.append(self.number)
+        self.apart, self.silent, self.article, self.headings = self.apart + apart, self.silent + silent, self.article + article, self.headings + (name in HEADINGS)
+
+    def pop_to(self, k: int) -> None:
+        while len(self.open) > k:
+            if self.open[-1][0] in BLOCKS:
+                self.end_line()
+            name, apart, silent, article, _ = self.open.pop()
+            self.names[name] -= 1
+            for places in (self.blocks, self.lists):
+                if places and places[-1] == len(self.open):
+                    places.pop()
+            if name in CONTAINERS:
+                self.containers.pop()
+            self.apart, self.silent, self.article, self.headings = self.apart - apart, self.silent - silent, self.article - article, self.headings - (name in HEADINGS)
+
+    def close(self, name: str) -> bool:
+        """Ends the innermost element of that name, if one is open; each step back takes an element off for good."""
+        if not self.names[name]:
+            return False
+        k = len(self.open) - 1
+        while self.open[k][0] != name:
+            k -= 1
+        self.pop_to(k)
+        return True
 
-    def pop_to(k: int) -> None:
-        nonlocal apart, silent, article, links
-        while len(stack) > k:
-            name, a, s, m = stack.pop()
-            if name in BLOCKS:
-                out.end(apart > 0, article > 0)
-            apart, silent, article, links = apart - a, silent - s, article - m, links - (name == "a")
 
+def lines_of(html: str) -> list[Line]:
+    """The blocks of a page in order."""
+    out = _Stack()
+    at = 0
     for m in _TAG.finditer(html):
         if m.start() < at:
             continue
-        if m.start() > at and not silent:
+        if m.start() > at and not out.silent:
             piece = html[at : m.start()]
             out.buffer.append(piece)
-            if links:
+            if out.names["a"]:
                 out.linked += len(piece)
         at = m.end()
         if not m[2]:
             continue
-        name, closing = m[2].lower(), m[1]
-        if name == "br" or name in ("td", "th"):
+        name = m[2].lower()
+        if name in ("br", "td", "th"):
             out.buffer.append(" ")
-        if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None:
-                pop_to(k)
-            elif name in BLOCKS:
-                out.end(apart > 0, article > 0)
+        if m[1]:
+            if not out.close(name) and name in BLOCKS:
+                out.end_line()
             continue
         if name in CLOSES_P:  # a block ends an open paragraph, with what is open inside it
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack[k][0] in BLOCKS), None)
-            if k is not None and stack[k][0] == "p":
-                pop_to(k)
-            if name == "li":
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("li", "ul", "ol", "menu")), None)
-                if k is not None and stack[k][0] == "li":
-                    pop_to(k)
+            if out.blocks and out.open[out.blocks[-1]][0] == "p":
+                out.pop_to(out.blocks[-1])
+            if name == "li" and out.lists and out.open[out.lists[-1]][0] == "li":
+                out.pop_to(out.lists[-1])
         if name in BLOCKS:
-            out.end(apart > 0, article > 0)
+            out.end_line()
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
         if name in RAW:
@@ -121,47 +177,55 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             at = end.end() if end else len(html)
             continue
         if name == "body":  # whatever the head left open ends here
-            pop_to(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
-        entry = (name, _set_apart(name, m[3]), name in SILENT, name in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?(?:main|article)\b|itemprop\s*=\s*[\"']?articleBody", m[3], re.I)))
+            out.close("head")
         # a header inside the article holds its title, and stays
-        if name == "header" and article:
-            entry = (name, False, False, False)
-        stack.append(entry)
-        apart, silent, article, links = apart + entry[1], silent + entry[2], article + entry[3], links + (name == "a")
-    if at < len(html) and not silent:
+        apart = not (name == "header" and out.article) and _set_apart(name, m[3], out.article > 0)
+        out.push(name, apart, name in SILENT, name in ("article", "main") or bool(_ARTICLE.search(m[3])))
+        out.anchors += name == "a"
+    if at < len(html) and not out.silent:
         out.buffer.append(html[at:])
-    out.end(apart > 0, article > 0)
+    out.end_line()
     return out.rows
 
 
-def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The main text of a page, one line per block."""
-    rows = lines_of(html)
-    named = any(inside and not beside for _, _, beside, inside in rows)
-    weights = []
-    for text, linked, beside, inside in rows:
-        if beside or named and not inside:
-            weights.append(0)
-        elif named:
-            weights.append(max(len(text), surge + 1))
-        else:
-            weights.append(len(text) - linked if 2 * linked <= len(text) else 0)
+def weight(line: Line) -> int:
+    """Characters of a line outside its links, or all where its links are as long as sentences."""
+    return len(line.text) if line.linked > LINK * max(1, line.links) else len(line.text) - line.linked if 2 * line.linked <= len(line.text) else 0
+
+
+def surges(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
+    """First and last line of each stretch from where the sum over the next lines passes ``surge`` to where it is zero."""
     sums = [sum(weights[k : k + window]) for k in range(len(weights))]
-    keep = [False] * len(rows)
-    k = 0
-    while k < len(rows):
+    out, k = [], 0
+    while k < len(weights):
         if sums[k] <= surge:
             k += 1
             continue
         dive = k
-        while dive < len(rows) and sums[dive] > 0:
+        while dive < len(weights) and sums[dive]:
             dive += 1
-        for j in range(k, min(dive, len(rows))):
-            keep[j] = weights[j] > 0
-        k = dive + 1
-    if not any(keep):  # no surge anywhere: a short page is all the text it has
+        weighing = [j for j in range(k, dive) if weights[j]]
+        out.append((weighing[0], weighing[-1]))
+        k = dive
+    return out
+
+
+def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The main text of a page, one line per block."""
+    lines = [x for x in lines_of(html) if not x.beside]
+    named = any(x.inside for x in lines)
+    if named:
+        lines = [x for x in lines if x.inside]
+    weights = [weight(x) for x in lines]
+    keep = [False] * len(lines)
+    for first, last in surges(weights, window, 0 if named else surge):
+        keep[first : last + 1] = [True] * (last + 1 - first)
+    holders = {x.container for x, kept in zip(lines, keep, strict=True) if kept} - {0}
+    if any(keep):
+        keep = [kept or w > 0 and x.container in holders for x, w, kept in zip(lines, weights, keep, strict=True)]
+    else:  # no surge anywhere: a short page is all the text it has
         keep = [w > 0 for w in weights]
-    return "\n".join(text for (text, *_), kept in zip(rows, keep, strict=True) if kept)
+    return "\n".join(x.text for x, kept in zip(lines, keep, strict=True) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
