@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from skeinlake.llm.common import map_pieces, texts, whole_text, written
+from skeinlake.llm.common import map_pieces, release, texts, whole_text, written
 
 SEED = 42
 SHINGLE = 3
@@ -33,6 +33,8 @@ THRESHOLD = 3
 #: Anchors with more members than this are searched breadth first.
 SMALL_GROUP = 48
 _CHUNK = 1 << 16
+#: Tasks that the neighbours of one node are dealt to.
+SALTS = 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -203,33 +205,47 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_linked, "u long, v long").distinct()
 
 
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges(u, v) with the m of their u; the neighbours of a hub are dealt to SALTS tasks."""
+    dealt = edges.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS)))
+    return dealt.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node) of the undirected edges u, v; nodes without an edge are left out.
 
     Alternates large-star and small-star until the edges stay the same; each round is a
-    written table, so a lost executor costs a round at most.
+    written table, so a lost executor costs a round at most, and the table before it goes.
+    Minima are added up before the shuffle, and the rows of a hub are dealt to several tasks.
     """
     told = lambda df: tuple(df.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")).cast("string")).first())
     now = written(edges.where("u <> v").distinct(), "edges")
-    before = None
-    while (seen := told(now)) != before:
-        before = seen
+    before, seen = None, told(now)
+    while seen != before:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _met(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        hung = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        hung = _met(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = written(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, seen = seen, told(after)
+        release(now)
+        now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _placed(found: DataFrame) -> DataFrame:
+    """fp, root of its component, and the smallest doc_id that has it, for each distinct fp."""
+    distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(distinct))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), one row per row."""
     found = written(fingerprints(docs), "fingerprints")
-    distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(found)
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(ids, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -237,7 +253,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller doc_id; one row for each id that stays."""
-    classes = near_duplicates(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each component: that with the smallest known doc_id, then fingerprint, then hash.
+
+    Rows are told apart by a hash of all their columns, so different texts that share an id, or
+    have none, each stay or go with their own component.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    row = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), {"ignoreNullFields": "false"}))
+    keyed = docs.select("doc_id", whole_text().alias("text"), row.alias("key"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), _fingerprints(batch).column("fp"), batch.column("key")], ["doc_id", "fp", "key"])
+
+    found = written(map_pieces(keyed, run, f"doc_id {kind}, fp long, key long"), "fingerprints")
+    first = found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp", "key")).alias("first"))
+    kept = _placed(found).select("fp", "root").join(first, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_kept_key"), F.col("first.doc_id").alias("_kept_id"))
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), row.alias("_row"), F.col("doc_id").alias("_id"))
+    one = plain.join(kept, (plain["_row"] == kept["_kept_key"]) & plain["_id"].eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates(["_row", "_id"])
+    return one.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
