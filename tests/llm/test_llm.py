@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -60,17 +61,79 @@ def test_leaks_are_found_and_others_are_not(spark):
     assert {(r.doc_id, r.item_id) for r in found} == {(i, i % 8) for i in range(0, 60, 3)}
 
 
+ASKED = "A farmer called Anna has 12 crates of apples and gives 5 kg to her brother Paul before Anna walks home"
+
+
+def leaked(spark, item, *docs):
+    found = decontaminate.matches(spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(0, item)], "item_id int, text string"))
+    return {r.doc_id: r for r in found.collect()}
+
+
 def test_other_numbers_and_names_are_the_same_question(spark):
-    item = "A farmer called Anna has 12 crates of apples and gives 5 kg to her brother Paul before Anna walks home"
-    asked = "Well. A farmer called Berta has 40 crates of apples and gives 7 lbs to her brother Karl before Berta walks home now"
-    mixed = "Well. A farmer called Berta has 40 crates of apples and gives 7 lbs to her brother Karl before Dora walks home now"
-    bench = decontaminate.Benchmark([(0, item)])
-    (d, _, cover, slots, changed), = bench.leaks([asked.encode()])
-    assert cover > 0.5 and slots >= 5 and changed >= 4
-    assert bench.leaks([mixed.encode()])[0][2] >= 0  # one of five values differs: within the share allowed
-    clash = asked.replace("brother Karl", "brother Berta").replace("before Berta", "before Emil").replace("7 lbs", "40 lbs")
-    assert not decontaminate.Benchmark([(0, "Anna sees Anna and Paul greets Paul then Anna meets Paul at noon with Anna and Paul")]).leaks([b"x y. Berta sees Karl and Emil greets Dora then Hans meets Ida at noon with Lena and Otto"])
-    assert clash
+    same = [
+        "Well. A farmer called Berta has 40 crates of apples and gives 7 lbs to her brother Karl before Berta walks home now",
+        "Well. A farmer called Mary Jane has twenty one crates of apples and gives seven to her brother Karl Heinz before Mary Jane walks home now",
+    ]
+    found = leaked(spark, ASKED, *same)
+    assert found.keys() == {0, 1} and all(r.cover > 0.9 and r.n_slots >= 5 and r.n_changed >= 4 for r in found.values())
+
+
+def test_one_value_stands_for_one_value(spark):
+    item = "then Anna sees Anna and Paul greets Paul then Anna meets Paul at noon with Anna and Paul"
+    assert leaked(spark, item, "x y. then Berta sees Berta and Karl greets Karl then Berta meets Karl at noon with Berta and Karl", "x y. then Berta sees Karl and Emil greets Dora then Hans meets Ida at noon with Lena and Otto").keys() == {0}
+
+
+def test_a_verbatim_copy_is_a_leak_whatever_its_words_are(spark):
+    numbers = " ".join(str(7 * k) for k in range(30))
+    short = "Anna pays 3 euros"
+    long = " ".join(f"word{k}" for k in range(59))
+    assert leaked(spark, numbers, f"so {numbers} it is").keys() == {0}
+    assert leaked(spark, short, f"we say that {short.lower()} in all", "nobody pays anything").keys() == {0}
+    assert leaked(spark, long, "and " + " ".join(f"word{k}" for k in range(25)), "and " + " ".join(f"word{k}" for k in range(15))).keys() == {0}
+
+
+def brute_leaks(docs, items):
+    """Cover by template and word windows of every document by every item, without hashes, joins or bitmaps."""
+    def tokens(text):
+        t = decontaminate.Templates([text.encode()])
+        words = [(w.encode().strip(decontaminate._STRIP) or w.encode()).decode().lower() for w in text.split()]
+        return words, [(None if lit else kind, words[lo] if lit else int(v), int(lo), int(hi)) for lit, kind, v, lo, hi in zip(t.literal, t.token.tolist(), t.value, t.low, t.high, strict=True)]
+
+    out = {}
+    sides = [{k: tokens(v) for k, v in x.items()} for x in (docs, items)]
+    for i, (iw, it) in sides[1].items():
+        if len(iw) < decontaminate.MIN_ITEM:
+            continue
+        for d, (dw, dt) in sides[0].items():
+            rows = []
+            n = min(8, len(iw))
+            for p in range(len(dw) - n + 1):
+                rows += [(p, q, q, q + n, 0, False, [], []) for q in range(len(iw) - n + 1) if dw[p : p + n] == iw[q : q + n]]
+            n = min(8, len(it))
+            shape = lambda x: [k if k is not None else v for k, v, *_ in x]
+            for q in range(len(it) - n + 1):
+                mine = it[q : q + n]
+                if 8 * sum(k is None for k, *_ in mine) < 4 * n:
+                    continue
+                for p in range(len(dt) - n + 1):
+                    if shape(dt[p : p + n]) == shape(mine):
+                        bits = sum((k is not None) << j for j, (k, *_) in enumerate(mine))
+                        rows.append((p, q, mine[0][2], mine[-1][3], bits, True, [v for _, v, *_ in mine], [v for _, v, *_ in dt[p : p + n]]))
+            if rows:
+                cover, _, _, longest = decontaminate.judged(rows, len(iw))
+                if cover >= 0.5 or longest >= 20:
+                    out[d, i] = cover
+    return out
+
+
+def test_the_join_finds_what_comparing_all_finds(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(["Anna", "Paul", "7", "nine", "kg", "walks", "to", "the", "house.", "with", "red", "apples", "and", "goes", "home", "Berlin"]) for _ in range(n))
+    items = {k: say(rng.randint(3, 20)) for k in range(25)}
+    docs = {k: say(rng.randint(0, 15)) + " " + (items[k % 25] if k % 2 else say(12)) + " " + say(rng.randint(0, 15)) for k in range(60)}
+    found = decontaminate.matches(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id int, text string")).collect()
+    expected = brute_leaks(docs, items)
+    assert len(expected) > 20 and {(r.doc_id, r.item_id): round(r.cover, 9) for r in found} == {k: round(v, 9) for k, v in expected.items()}
 
 
 def test_decontamination_of_odd_rows(spark):
@@ -111,6 +174,12 @@ def test_base_spans_are_those_of_the_patterns():
     ("text", "kind", "source"),
     [
         ("mail john.doe [at] example (dot) com now", "email", "john.doe [at] example (dot) com"),
+        ("mail jane at example.com", "email", "jane at example.com"),
+        ("mail john @ example.com", "email", "john @ example.com"),
+        ("john dot doe at example dot com now", "email", "john dot doe at example dot com"),
+        ("from 10 dot 0 dot 0 dot 1 on", "ip", "10 dot 0 dot 0 dot 1"),
+        ("is one nine two dot one six eight dot one dot seven", "ip", "one nine two dot one six eight dot one dot seven"),
+        ("plus 4 four 1 one 2 two 3 three 4 four", "phone", "plus 4 four 1 one 2 two 3 three 4 four"),
         ("write to bob at example dot org please", "email", "bob at example dot org"),
         ("jоhn@exаmple.com", "email", "jоhn@exаmple.com"),
         ("jo​hn@example.com", "email", "jo​hn@example.com"),
@@ -130,7 +199,7 @@ def test_prose_is_left_alone(text):
 
 
 def test_long_runs_are_linear():
-    for t in ("a" * 400_000, "1" * 400_000, "a." * 200_000, "a@" * 100_000, "at " * 100_000):
+    for t in ("a" * 400_000, "1" * 400_000, "a." * 200_000, "a@" * 100_000, "at " * 100_000, "a dot " * 60_000, "1 dot 1 x " * 40_000, " \t" * 200_000, "1 1 " * 100_000):
         pii.all_spans(t)
 
 
@@ -195,6 +264,42 @@ def test_without_an_article_the_distribution_decides():
     assert found.count("\n") == 3 and "Link" not in found
 
 
+def test_the_distribution_trims_an_article_and_keeps_what_lies_between():
+    links = "<ul>" + "".join(f"<li><a href={k}>Entry {k}</a>" for k in range(4)) + "</ul>"
+    text = f"<article>{links}<h1><a href=/>Title</a></h1><p class='share-price'>Prices rose.</p><p><a href=x>Most of this paragraph is one link</a> here</p><div class='ad-box'>Buy</div><p>End.</p>{links}</article>"
+    assert htmltext.main_text(text) == "Title\nPrices rose.\nMost of this paragraph is one link here\nEnd."
+
+
+def test_a_short_tail_of_the_same_container_stays():
+    body = "".join(f"<p>{'Some words of a paragraph. ' * 6}{i}</p>" for i in range(3))
+    advert = "".join(f"<div><a href={k}>Offer {k}</a></div>" for k in range(4))
+    assert htmltext.main_text(f"<body><div>{body}{advert}<p>So it ends.</p></div></body>").endswith("\nSo it ends.")
+
+
+def test_hostile_nesting_takes_linear_time():
+    began = time.perf_counter()
+    for n in (20_000,):
+        for page in ("<b>" * n + "</i>" * n, "<b>" * n + "<div></div>" * n, "<li><b>" * n, "<i>" * n + "<b></i>" * n, "<p><b>" * n):
+            htmltext.main_text(page)
+    assert time.perf_counter() - began < 20
+
+
+def test_surge_and_dive_are_brute_force(spark):
+    for (html,) in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
+        lines = [x for x in htmltext.lines_of(html or "") if not x.beside]
+        lines = [x for x in lines if x.inside] or lines
+        w = [htmltext.weight(x) for x in lines]
+        for surge in (0, 80, 400):
+            kept, on = set(), False
+            for k in range(len(w)):
+                ahead = w[k] + (w[k + 1] if k + 1 < len(w) else 0) + (w[k + 2] if k + 2 < len(w) else 0)
+                on = ahead > 0 and (on or ahead > surge)
+                if on:
+                    kept.add(k)
+            found = {k for a, b in htmltext.surges(w, 3, surge) for k in range(a, b + 1)}
+            assert found <= kept and {k for k in kept if w[k]} <= found
+
+
 @pytest.mark.parametrize(("html", "text"), [("", ""), ("plain", "plain"), ("<p>short", "short"), ("<article><p>a", "a"), ("<script>x", ""), ("<!-- a", ""), ("<p>a<!-- <p>no</p> -->b</p>", "ab"), ("<div hidden>x</div><p>y</p>", "y")])
 def test_broken_markup(html, text):
     assert htmltext.main_text(html) == text
@@ -203,6 +308,9 @@ def test_broken_markup(html, text):
 def test_pages_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<p>ü</p>"), (2, "u", "<p>ü</p>")], "page_id long, url string, html string")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in htmltext.extract(pages).collect()) == [("1", "", 0), ("2", "ü", 1), ("2", "ü", 1), ("None", "", 0)]
+    long = spark.createDataFrame([(1, "u", "<p>" + "word " * 60_000 + "</p>", "x", 3)], "page_id long, url string, html string, text int, n_chars int".replace("text int", "text string"))
+    assert htmltext.extract(long).first().n_chars == 5 * 60_000 - 1
+    assert htmltext.extract(long.where("false")).count() == 0
 
 
 # ---------------------------------------------------------------- language model
@@ -386,12 +494,20 @@ def test_packing_is_a_round_trip(spark):
     assert len(by_bin) <= 1.02 * math.ceil(sum(r.length for r in rows) / 4096) + 1
 
 
-@pytest.mark.parametrize("text", ["Don't stop, it's 3.14!", "İstanbul ǅ ﬁ", "étude a b\x1cc", "x" * 500, "… «quoted» — dash", "foo,bar. (baz) [qux]..."])
+@pytest.mark.parametrize("text", ["Don't stop, it's 3.14!", "İstanbul ǅ ﬁ", "étude a b\x1cc", "x" * 500, "… «quoted» — dash", "foo,bar. (baz) [qux]...", "Hİ. Hİ", "\u0958."])
 def test_word_ids_are_those_of_the_text(text):
     ids = bestfit.WordIds(TOKENIZER)
     assert ids.batch([text.encode()])[0].tolist() == [*ids.tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_word_ids_of_any_letter_before_any_mark():
+    ids, rng = bestfit.WordIds(TOKENIZER), random.Random(7)
+    letters = [chr(c) for c in range(0x3000) if chr(c).isalpha()]
+    words = [c + rng.choice(bestfit._TAIL) for c in letters] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) + "".join(rng.choice(bestfit._TAIL) for _ in range(rng.randint(0, 3))) for _ in range(10_000)]
+    for w, found in zip(words, ids.batch([w.encode() for w in words]), strict=True):
+        assert found.tolist() == [*ids.tokenizer.encode(w, add_special_tokens=False).ids, 1]
+
+
 def test_packing_of_odd_rows(spark):
     rows = bestfit.pack(odd(spark), TOKENIZER).collect()
     assert sum(r.length == 1 for r in rows) == 3 and {r.doc_id for r in rows} == {i for i, _ in ODD}
@@ -465,6 +581,20 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.keep_one(odd(spark)).where("doc_id in (1, 2, 3, 6)").select("doc_id").collect() in ([(1,), (3,)], [(3,), (1,)])
 
 
+def test_rows_that_share_an_id_or_have_none_stay_apart(spark):
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(1, say(1), 5), (1, say(2), 5), (None, say(3), 5), (None, say(4), 5), (7, say(1), 5), (9, say(4), 5), (9, say(4), 5)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, key int"))
+    assert kept.columns == ["doc_id", "text", "key"]
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", say(1)), ("1", say(2)), ("None", say(3)), ("9", say(4))])
+
+
+def test_components_of_a_hub_and_a_path(spark):
+    edges = [(0, k) for k in range(1, 500)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5)]
+    found = dict(simhash.components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert found == {k: 0 for k in range(500)} | {k: 1000 for k in range(1000, 1041)}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
