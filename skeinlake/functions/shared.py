@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder in spark.checkpoint.dir; where none is set, one of its own in local mode and an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skeinlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -22,4 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table of a frame that ``written`` gave and that no other frame reads any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,10 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinlake.functions.shared import written
 from skeinlake.functions.vector import cosine, unit, unit_cosine
+from skeinlake.operators.traversal import component_labels
+
+#: Vectors of a block when every row is a query.
+BLOCK_ROWS = 4_096
 
 
 def tagged(vectors: DataFrame, tags: Sequence[str], every: bool = False, column: str = "belongs_to_set") -> DataFrame:
@@ -39,6 +46,53 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int | None, skip_self: bo
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def _block_nearest(k: int, kind: pa.DataType):
+    def run(key: tuple, queries: pa.Table, rows: pa.Table) -> pa.Table:
+        side = lambda t: (t.column("id").combine_chunks(), np.array(t.column("v").to_pylist(), np.float64).reshape(t.num_rows, -1))
+        (qi, q), (ri, r) = side(queries), side(rows)
+        out: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+        if len(qi) and len(ri):
+            order = np.argsort(np.array(ri.to_pylist()), kind="stable")
+            ri, r = ri.take(pa.array(order)), r[order]
+            for start in range(0, len(qi), 512):
+                distance = np.round(1 - q[start : start + 512] @ r.T, 6)
+                best = np.argsort(distance, axis=1, kind="stable")[:, : k + 1]  # one more: the row itself may be among them
+                at = np.repeat(np.arange(start, start + len(distance)), best.shape[1])
+                out.append((qi.take(pa.array(at)), ri.take(pa.array(best.reshape(-1))), np.take_along_axis(distance, best, 1).reshape(-1)))
+        pick = lambda n, t: pa.chunked_array([x[n] if n < 2 else pa.array(x[n]) for x in out], t)
+        return pa.table({"query_id": pick(0, kind), "id": pick(1, kind), "distance": pick(2, pa.float64())})
+
+    return run
+
+
+def nearest_of_all(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, id, distance (6 digits), rank of the k nearest others of every vector; ties by id.
+
+    Every row is a query. Rows are dealt into blocks of about ``block_rows``; each pair of blocks
+    is one task-sized product of matrices that hands on k + 1 rows a query, so nothing holds more
+    than two blocks and no pairs beyond those are written. The work is that of all comparisons;
+    the rows shuffled are those of the vectors times the number of blocks.
+    """
+    kind = vectors.schema["id"].dataType.simpleString()
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    blocks = 1 + vectors.count() // block_rows
+    rows = vectors.select("id", unit(F.col("vector")).alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    asked = rows.select("id", "v", F.col("b").alias("qb"), every.alias("rb"))
+    met = rows.select("id", "v", F.col("b").alias("rb"), every.alias("qb"))
+    found = asked.groupBy("qb", "rb").cogroup(met.groupBy("qb", "rb")).applyInArrow(_block_nearest(k, arrow), f"query_id {kind}, id {kind}, distance double")
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.where("query_id <> id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def similarity_classes(vectors: DataFrame, k: int, least: float) -> DataFrame:
+    """id, cluster (smallest id), links: classes of vectors joined by neighbours at ``least`` or more."""
+    pairs = written(nearest_of_all(vectors, k).where(F.round(1 - F.col("distance"), 6) >= least).select(F.col("query_id").alias("u"), F.col("id").alias("v")), "similar")
+    roots = component_labels(pairs)
+    links = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    return vectors.select("id").join(roots, F.col("id") == F.col("node"), "left").join(links, "id", "left").select("id", F.coalesce("root", "id").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def coordinates(vectors: DataFrame, basis: DataFrame) -> DataFrame:
     """id, coords: cosine to each basis vector (slot, vector) in order of slot; the basis is small by definition."""
     slots = basis.agg(F.array_sort(F.collect_list(F.struct("slot", "vector"))).alias("slots"))

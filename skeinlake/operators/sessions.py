@@ -104,6 +104,10 @@ def chain_checked(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def checksum(fields: list[str]) -> Column:
-    """SHA-256 of the fields as JSON scalars joined by the unit separator."""
-    part = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("null"))
+    """SHA-256 of the fields, each as compact JSON (a null is not the text "null"), joined by the unit separator."""
+
+    def part(f: str) -> Column:
+        json = F.to_json(F.struct(F.col(f).alias("v")), {"ignoreNullFields": "false"})
+        return F.substring(json, F.lit(6), F.length(json) - 6)
+
     return F.sha2(F.encode(F.concat_ws("\x1f", *map(part, fields)), "UTF-8"), 256)

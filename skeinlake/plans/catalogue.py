@@ -476,11 +476,6 @@ def knn_tagged(spark: SparkSession, sf: str) -> DataFrame:
     return nearest.nearest(nearest.tagged(tagged, ["1", "3"]), _vector_queries(spark, sf), 5).withColumn("distance", F.round("distance", 6))
 
 
-@query(f"SELECT query_id, id, round(1 - distance, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6), id) AS rank FROM ({_PAIRS} AND v.vec_id <> q.vec_id)) WHERE rank <= 10 AND round(1 - distance, 6) >= 0.2")
-def similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return nearest.nearest(_vectors(spark, sf), _vector_queries(spark, sf), 10, skip_self=True).select("query_id", "id", F.round(1 - F.col("distance"), 6).alias("similarity")).where("similarity >= 0.2")
-
-
 _BASIS = "b AS (SELECT vec_id AS slot, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 4)"
 _COORDS = "(SELECT list(list_cosine_similarity(v.embedding::DOUBLE[], b.e) ORDER BY slot) FROM b)"
 
@@ -699,17 +694,20 @@ def cost_by_user_agent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT user_id, event_id, sha256(user_id || chr(31) || event_id || chr(31) || event_type) AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events),
-l AS (SELECT *, lag(c) OVER (PARTITION BY user_id ORDER BY s) AS p FROM r)
-SELECT user_id AS entity_id, s::INT AS sequence, CASE WHEN event_id % 97 = 5 THEN 'checksum' WHEN p IS NOT NULL AND event_id % 89 = 3 THEN 'link' ELSE 'ok' END AS verdict FROM l WHERE event_id % 97 <> 4""".replace(" WHERE event_id % 97 <> 4", ""))
+WITH e AS (SELECT user_id, event_id, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY event_id))::INT AS sequence, sha256(user_id || chr(31) || event_id || chr(31) || '"' || event_type || '"') AS own FROM events),
+stored AS (SELECT *, CASE WHEN event_id % 97 = 5 THEN 'spoilt checksum' ELSE own END AS checksum FROM e),
+linked AS (SELECT *, lag(checksum) OVER (PARTITION BY user_id ORDER BY sequence) AS before FROM stored),
+kept AS (SELECT *, CASE WHEN before IS NOT NULL AND event_id % 89 = 3 THEN 'spoilt link' ELSE before END AS previous FROM linked WHERE event_id % 83 <> 7),
+seen AS (SELECT *, lag(checksum) OVER w AS really, lag(sequence) OVER w AS number FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY sequence))
+SELECT user_id AS entity_id, sequence, CASE WHEN checksum <> own THEN 'checksum' WHEN previous IS DISTINCT FROM really THEN 'link' WHEN number IS NOT NULL AND sequence <> number + 1 THEN 'gap' ELSE 'ok' END AS verdict FROM seen""")
 def hash_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """A chain per user with stored checksums spoilt at some events, and links at others."""
+    """A chain per user with checksums spoilt at some events, links at others, and some events taken out."""
     w = Window.partitionBy("entity_id").orderBy("sequence")
     e = table(spark, sf, "events").select(F.col("user_id").alias("entity_id"), "event_id", "event_type").withColumn("sequence", F.row_number().over(Window.partitionBy("entity_id").orderBy("event_id")))
     own = sessions.checksum(["entity_id", "event_id", "event_type"])
-    stored = e.withColumn("checksum", F.when(F.col("event_id") % 97 == 5, F.lit("bad")).otherwise(own)).withColumn("previous_checksum", F.lag("checksum").over(w))
-    spoilt = stored.withColumn("previous_checksum", F.when(F.col("previous_checksum").isNotNull() & (F.col("event_id") % 89 == 3), F.lit("bad")).otherwise(F.col("previous_checksum")))
-    return sessions.chain_checked(spoilt, ["entity_id", "event_id", "event_type"]).select("entity_id", "sequence", "verdict")
+    stored = e.withColumn("checksum", F.when(F.col("event_id") % 97 == 5, F.lit("spoilt checksum")).otherwise(own)).withColumn("previous_checksum", F.lag("checksum").over(w))
+    spoilt = stored.withColumn("previous_checksum", F.when(F.col("previous_checksum").isNotNull() & (F.col("event_id") % 89 == 3), F.lit("spoilt link")).otherwise(F.col("previous_checksum")))
+    return sessions.chain_checked(spoilt.where("event_id % 83 <> 7"), ["entity_id", "event_id", "event_type"]).select("entity_id", "sequence", "verdict")
 
 
 @query("""
