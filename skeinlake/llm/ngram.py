@@ -1,27 +1,34 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are the contexts (one word, or the start); a state has an arc for each word that
-followed it in training, with p(w | h) = (c(hw) + K p(w)) / (c(h) + K), and a failure arc of
-weight K / (c(h) + K) to the state without context, whose arcs are p(w) = (c(w) + 0.5) /
-(N + 0.5 (V + 1)); unknown words share the last half count. A text is one left-to-right
-traversal that ends with the end token, whose state is also the start.
+States are the contexts: two words, one word, or none; a text starts in the state of the end
+token. A state has an arc for each word that followed it in training, which carries the
+smoothed probability p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K), and a failure arc of weight
+K / (c(h) + K) to the state of the shorter context h'. The state without context has
+p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) for every word; unknown ones share the last half count.
+A text is one left-to-right traversal that ends with the end token: from each state the next
+word's arc is taken, after as many failure arcs as it needs, and the logarithms add up.
 
 The automaton of a whole corpus fits nowhere, but a block of documents only ever visits the
 arcs of its own n-grams. So documents are dealt into blocks of bounded text; each block asks
-for the counts of its distinct n-grams (sorted 64-bit hashes, packed by hash range), each
-hash range adds up what the blocks counted in training texts and answers each block in the
-order of its question, and each block walks its texts over the automaton it got. All words
-and n-grams of all texts count; nothing is pruned or capped. N and V come with the answers:
-every range tells every block its share of both.
+for the counts of its distinct n-grams (sorted hashes, packed by hash range), each hash range
+adds up what the blocks counted in training texts and answers each block in the order of its
+question, and each block builds the states and arcs it got and walks its texts over them. All
+words and n-grams of all texts count; nothing is pruned or capped. A block asks only ranges in
+which it has n-grams, so the rows exchanged are never more than the distinct n-grams of the
+blocks, which is in proportion to the text however many blocks there are; a range holds as
+much as a block.
 
 Defined cases: a null text is empty and scores the end token alone; without training texts
-all counts are zero; repeated rows are scored alike, and count as often as they occur.
-Hashes of 64 bits stand for words and pairs: among 10^9 distinct ones, a collision anywhere
-has a chance of 3 %, and would change the counts of two of them.
+all counts are zero; repeated rows are scored alike, count as often as they occur, and are
+dealt by the partition they come from, so that no block has to hold them all. Hashes of 64
+bits stand for words, of 56 bits for pairs and triples: among 10^9 distinct ones, one of the
+latter shares its count with another with a chance of one in 70 million.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -29,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from skeinlake.llm.common import crc_fold, whole_text
+from skeinlake.llm.common import crc_fold, whole_text, written
 
-#: Weight of the state without context, in counts: about where held-out text scored best (sf0.1: 64 -3.83, 256 -3.78, 1000 -3.79 a token; without contexts -4.19).
-K = 400.0
+#: Weight of the shorter context, in counts, for states of one word and of two: the best of 14 pairs on texts of the training fold whose remainder is 2, learnt from the others (sf0.1: -3.53 a token, -4.20 without contexts).
+WEIGHTS = (1600.0, 10.0)
 #: Text of a block, in bytes; what a Python worker holds is a small multiple.
 BLOCK_BYTES = 12 << 20
 HELD_OUT = 1
+ORDERS = ("one", "two", "three")
 END = np.uint64(xxh64_intdigest(b""))
 
 
@@ -49,9 +57,7 @@ def _hashes(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint64), *parts]), sizes
 
 
-def _pairs(tokens: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it; the first of a text follows the end of another."""
-    before = np.concatenate([[END], tokens[:-1]])[: len(tokens)]
+def _mixed(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = before * np.uint64(0x9E3779B97F4A7C15) + (tokens << np.uint64(31) | tokens >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
         x ^= x >> np.uint64(29)
@@ -59,6 +65,16 @@ def _pairs(tokens: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
+def _grams(tokens: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+    """Hashes of each token, of it with the one before it, and with the two before it; before a text stand end tokens."""
+    before = np.concatenate([[END], tokens[:-1]])[: len(tokens)]  # the text before ends in one
+    pairs = _mixed(before, tokens)
+    earlier = np.concatenate([[END], before[:-1]])[: len(tokens)]
+    earlier[np.cumsum(sizes) - sizes] = END
+    low = np.uint64(0xFF)
+    return {"one": tokens, "two": pairs & ~low, "three": _mixed(earlier ^ np.uint64(0x94D049BB133111EB), pairs) & ~low}
+
+
 def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where each range of hashes begins in the sorted keys, and their number."""
     edges = [(k << 64) // ranges for k in range(1, ranges)]
@@ -100,69 +116,135 @@ def _asked(ranges: int):
     def run(table: pa.Table) -> pa.Table:
         tokens, sizes = _hashes(_block_rows(table))
         trained = np.repeat(~table.column("held_out").to_numpy().astype(bool), sizes)
-        columns: dict[str, list] = {"block": [table.column("block")[0].as_py()] * ranges, "range": list(range(ranges))}
-        for name, keys in (("one", tokens), ("two", _pairs(tokens))):
+        block = table.column("block")[0].as_py()
+        columns: dict[str, list] = {"block": [block] * ranges, "range": list(range(ranges))}
+        some = np.zeros(ranges, bool)
+        for name, keys in _grams(tokens, sizes).items():
             known, place = np.unique(keys, return_inverse=True)
             n = np.bincount(place[trained], minlength=len(known))
             cuts = _cuts(known, ranges)
+            some |= np.diff(cuts) > 0
             columns[f"{name}_keys"] = [_packed(known[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
             columns[f"{name}_n"] = [_squeezed(n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pa.table(columns, schema=pa.schema([("block", pa.int64()), ("range", pa.int64()), *((f"{k}_{x}", pa.binary()) for k in ("one", "two") for x in ("keys", "n"))]))
+        return pa.table(columns, schema=pa.schema([("block", pa.int64()), ("range", pa.int64()), *((f"{k}_{x}", pa.binary()) for k in ORDERS for x in ("keys", "n"))])).filter(pa.array(some))
 
     return run
 
 
 def _answered(table: pa.Table) -> pa.Table:
+    """An answer to each block, and a row without block: how many words the range has, and how often they occur."""
     blocks = table.column("block").to_pylist()
-    columns: dict[str, list] = {"block": blocks, "range": table.column("range").to_pylist()}
-    for name in ("one", "two"):
+    columns: dict[str, list] = {"block": [*blocks, None], "range": [*table.column("range").to_pylist(), None]}
+    for name in ORDERS:
         keys = [_unpacked(x) for x in table.column(f"{name}_keys").to_pylist()]
         n = [_counts(x) for x in table.column(f"{name}_n").to_pylist()]
         known, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, np.concatenate(n), len(known)).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])
-        columns[f"{name}_total"] = [_squeezed(total[place[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)]
+        columns[f"{name}_total"] = [*(_squeezed(total[place[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)), None]
         if name == "one":
-            columns["types"], columns["tokens"] = [int((total > 0).sum())] * len(blocks), [int(total.sum())] * len(blocks)
-    return pa.table({k: columns[k] for k in ("block", "range", "one_total", "two_total", "types", "tokens")})
-
-
-def _walked(docs: pa.Table, answers: pa.Table, weight: float) -> pa.Table:
-    """Each text's traversal: the state is the token before, so all steps of a block are looked up at once."""
+            nothing = [None] * len(blocks)
+            columns["types"], columns["tokens"] = [*nothing, int((total > 0).sum())], [*nothing, int(total.sum())]
+    return pa.table(columns, schema=pa.schema([("block", pa.int64()), ("range", pa.int64()), *((f"{k}_total", pa.binary()) for k in ORDERS), ("types", pa.int64()), ("tokens", pa.int64())]))
+
+
+@dataclass
+class Level:
+    """The states of one length of context, and their arcs.
+
+    By state: the log10 weight of its failure arc. By arc (a distinct n-gram of the block): its
+    log10 probability, and whether the arc exists (the n-gram occurred in training).
+    """
+
+    failure: np.ndarray
+    arc: np.ndarray
+    exists: np.ndarray
+
+
+class Automaton:
+    """States and arcs for the n-grams of a block, from their counts in training texts."""
+
+    def __init__(self, grams: dict[str, np.ndarray], totals: dict[str, np.ndarray], starts: np.ndarray, tokens: int, types: int, weights: tuple[float, float]) -> None:
+        #: For each token of the texts: its arc at each level, and the state it is read in.
+        self.arcs: list[np.ndarray] = []
+        self.states: list[np.ndarray] = []
+        self.levels: list[Level] = []
+        alone = np.zeros(0)
+        for k, name in enumerate(ORDERS):
+            known, first, arcs = np.unique(grams[name], return_index=True, return_inverse=True)
+            count = totals[name].astype(np.float64)
+            self.arcs.append(arcs)
+            if k == 0:
+                alone = (count + 0.5) / (tokens + 0.5 * (types + 1))
+                self.levels.append(Level(np.zeros(1), np.log10(alone), np.ones(len(known), bool)))
+                self.states.append(np.zeros(len(arcs), np.int64))
+                ends = self._before(arcs, starts, int(np.searchsorted(known, END)) if len(known) else 0)
+                self.contexts = [(ends, count)]
+                continue
+            state, held = self.contexts[-1]
+            weight = weights[k - 1]
+            failing = weight / (held + weight)
+            lower = np.zeros(len(known)) if not len(known) else 10.0 ** self.levels[-1].arc[self.arcs[k - 1][first]]
+            of = state[first]
+            arc = count / (held[of] + weight) + failing[of] * lower
+            with np.errstate(divide="ignore"):
+                self.levels.append(Level(np.log10(failing), np.log10(arc), count > 0))
+            self.states.append(state)
+            if k == 1:
+                # the state of two words: the pair before; a text starts in that of end tokens, as often as texts end
+                start = np.array([self.contexts[0][1][int(np.searchsorted(np.unique(grams["one"]), END))]]) if len(known) else np.zeros(1)
+                self.contexts.append((self._before(arcs, starts, len(known)), np.concatenate([count, start])))
+
+    @staticmethod
+    def _before(arcs: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
+        state = np.concatenate([[start], arcs[:-1]])[: len(arcs)]
+        state[starts] = start
+        return state
+
+    def walk(self) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each step's probability, and of the step from the state without context; all texts at once."""
+        gained = np.zeros(len(self.arcs[0]))
+        waiting = np.arange(len(gained))
+        for level, arcs, states in zip(reversed(self.levels), reversed(self.arcs), reversed(self.states), strict=True):
+            met = level.exists[arcs[waiting]]
+            gained[waiting[met]] += level.arc[arcs[waiting[met]]]
+            waiting = waiting[~met]
+            gained[waiting] += level.failure[states[waiting]]
+        return gained, self.levels[0].arc[self.arcs[0]]
+
+
+def _walked(docs: pa.Table, answers: pa.Table, tokens: int, types: int, weights: tuple[float, float]) -> pa.Table:
+    """The traversal of each text of a block."""
     answers = answers.sort_by("range")
-    tokens, sizes = _hashes(_block_rows(docs))
-    n, types = sum(answers.column("tokens").to_pylist()), sum(answers.column("types").to_pylist())
-
-    def totals(name: str, keys: np.ndarray) -> np.ndarray:
-        found = [_counts(x) for x in answers.column(f"{name}_total").to_pylist()]
-        return np.concatenate([np.zeros(0, np.int64), *found])[np.unique(keys, return_inverse=True)[1]]
-
-    one, two = totals("one", tokens), totals("two", _pairs(tokens))
+    hashes, sizes = _hashes(_block_rows(docs))
+    grams = _grams(hashes, sizes)
+    totals = {name: np.concatenate([np.zeros(0, np.int64), *map(_counts, answers.column(f"{name}_total").to_pylist())]) for name in ORDERS}
     starts = np.cumsum(sizes) - sizes
-    state = np.concatenate([[0], one[:-1]])[: len(one)]
-    state[starts] = one[starts + sizes - 1]  # the start is the state of the end token
-    alone = (one + 0.5) / (n + 0.5 * (types + 1))
-    failing = weight / (state + weight)
-    step = np.log10(two / (state + weight) + failing * alone)
+    automaton = Automaton(grams, totals, starts, tokens, types, weights)
+    step, alone = automaton.walk()
     per = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
     return pa.table({
         "doc_id": docs.column("doc_id"),
         "held_out": docs.column("held_out"),
         "n_tokens": pa.array(sizes),
-        "n_known": pa.array(per((one > 0).astype(np.int64))),
-        "train_tokens": pa.array(np.full(len(sizes), n, np.int64)),
-        "base_score": pa.array(per(np.log10(alone))),
+        "n_known": pa.array(per((totals["one"][automaton.arcs[0]] > 0).astype(np.int64))),
+        "train_tokens": pa.array(np.full(len(sizes), tokens, np.int64)),
+        "base_score": pa.array(per(alone)),
         "score": pa.array(per(step)),
     })
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, weight: float = K) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, weights: tuple[float, float] = WEIGHTS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per row of ``docs``."""
     chosen = docs.select("doc_id", whole_text().alias("text"), (crc_fold() == HELD_OUT).alias("held_out"))
     size = chosen.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     blocks = 1 + ((size[0] or 0) + 16 * size[1]) // block_bytes
-    dealt = chosen.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
-    asked = dealt.groupBy("block").applyInArrow(_asked(blocks), "block long, range long, one_keys binary, one_n binary, two_keys binary, two_n binary")
-    answered = asked.repartition(blocks, "range").groupBy("range").applyInArrow(_answered, "block long, range long, one_total binary, two_total binary, types long, tokens long")
+    dealt = chosen.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))).repartition(blocks, "block")
+    packed = lambda x: ", ".join(f"{k}_{n} binary" for k in ORDERS for n in x)
+    asked = dealt.groupBy("block").applyInArrow(_asked(blocks), f"block long, range long, {packed(('keys', 'n'))}")
+    answered = written(asked.repartition(blocks, "range").groupBy("range").applyInArrow(_answered, f"block long, range long, {packed(('total',))}, types long, tokens long"), "answers")
+    known = answered.where("block is null").agg(F.sum("tokens"), F.sum("types")).first()
+    tokens, types = known[0] or 0, known[1] or 0
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(answered.repartition(blocks, "block").groupBy("block")).applyInArrow(lambda texts, answers: _walked(texts, answers, weight), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    mine = answered.where("block is not null").repartition(blocks, "block")
+    return dealt.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(lambda texts, answers: _walked(texts, answers, tokens, types, weights), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -14,6 +14,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -316,40 +317,71 @@ def test_pages_of_odd_rows(spark):
 # ---------------------------------------------------------------- language model
 
 
-def brute_scores(rows, weight):
+def brute_scores(rows, weights):
     tokens = [[*t.encode().lower().split(), b""] for _, t in rows]
     train = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1 for i, _ in rows]
-    one, two = collections.Counter(), collections.Counter()
+    one, two, three, starts = collections.Counter(), collections.Counter(), collections.Counter(), 0
     for ts, use in zip(tokens, train, strict=True):
         if use:
+            padded = [b"", b"", *ts]
             one.update(ts)
-            two.update(zip([b"", *ts], ts, strict=False))
+            two.update(zip(padded[1:], ts, strict=False))
+            three.update(zip(padded, padded[1:], ts, strict=False))
+            starts += 1
     n, v = sum(one.values()), len(one)
-    alone = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
-    step = lambda h, w: (two[h, w] + weight * alone(w)) / (one[h] + weight)
-    return n, [(len(ts), sum(one[w] > 0 for w in ts), sum(math.log10(alone(w)) for w in ts), sum(math.log10(step(h, w)) for h, w in zip([b"", *ts], ts, strict=False))) for ts in tokens]
+    k1, k2 = weights
+
+    def step(u, h, w, first):
+        alone = (one[w] + 0.5) / (n + 0.5 * (v + 1))
+        short = (two[h, w] + k1 * alone) / (one[h] + k1)
+        return (three[u, h, w] + k2 * short) / ((starts if first else two[u, h]) + k2), alone
+
+    out = []
+    for ts in tokens:
+        padded = [b"", b"", *ts]
+        found = [step(u, h, w, k == 0) for k, (u, h, w) in enumerate(zip(padded, padded[1:], ts, strict=False))]
+        out.append((len(ts), sum(one[w] > 0 for w in ts), sum(math.log10(a) for _, a in found), sum(math.log10(p) for p, _ in found)))
+    return n, out
+
+
+def random_rows(n):
+    rng = random.Random(4)
+    return [(i, " ".join(rng.choice(["a", "B", "cc", "ddd", "É"] if i % 5 else [f"rare{rng.randrange(90)}", "a"]) for _ in range(rng.randint(0, 40)))) for i in range(n)]
 
 
 @pytest.mark.parametrize("block", [1 << 30, 3_000])
 def test_scores_are_brute_force_in_one_block_or_many(spark, block):
-    random.seed(4)
-    rows = [(i, " ".join(random.choice(["a", "B", "cc", "ddd", "É"]) for _ in range(random.randint(0, 40)))) for i in range(120)]
-    n, expected = brute_scores(rows, 7.0)
-    found = {r.doc_id: r for r in ngram.score(spark.createDataFrame(rows, "doc_id long, text string"), block, 7.0).collect()}
+    rows = random_rows(150)
+    n, expected = brute_scores(rows, (7.0, 2.0))
+    found = {r.doc_id: r for r in ngram.score(spark.createDataFrame(rows, "doc_id long, text string"), block, (7.0, 2.0)).collect()}
     for (i, _), (tokens, known, base, score) in zip(rows, expected, strict=True):
         r = found[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (tokens, known, n, zlib.crc32(str(i).encode()) % 5 == 1)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
 
 
-def test_probabilities_of_a_state_sum_to_one():
-    rows = [(0, "a b a c"), (2, "b b a")]
-    tokens = [[*t.encode().split(), b""] for _, t in rows]
-    one, two = collections.Counter(w for t in tokens for w in t), collections.Counter(p for t in tokens for p in zip([b"", *t], t, strict=False))
-    n, v = sum(one.values()), len(one)
-    for h in one:
-        known = sum((two[h, w] + 3 * (one[w] + 0.5) / (n + 0.5 * (v + 1))) / (one[h] + 3) for w in one)
-        assert known + 3 / (one[h] + 3) * 0.5 / (n + 0.5 * (v + 1)) == pytest.approx(1)
+def test_a_state_s_arcs_and_failure_arc_sum_to_one():
+    texts = [b"a b a c", b"b b a", b"c a b a b", b""]
+    hashes, sizes = ngram._hashes(texts)
+    grams, starts = ngram._grams(hashes, sizes), np.cumsum(sizes) - sizes
+    totals = {k: np.unique(x, return_counts=True)[1] for k, x in grams.items()}
+    n, v = len(hashes), len(totals["one"])
+    automaton = ngram.Automaton(grams, totals, starts, n, v, (3.0, 2.0))
+    alone = (totals["one"] + 0.5) / (n + 0.5 * (v + 1))
+    assert alone.sum() + 0.5 / (n + 0.5 * (v + 1)) == pytest.approx(1)
+    _, words = np.unique(grams["one"], return_inverse=True)
+    level = automaton.levels[1]
+    for state in set(automaton.states[1].tolist()):
+        arcs = {int(a): int(w) for a, w, s in zip(automaton.arcs[1], words, automaton.states[1], strict=True) if s == state}
+        others = 1 - sum(alone[w] for w in arcs.values())
+        assert sum(10 ** level.arc[a] for a in arcs) + 10 ** level.failure[state] * others == pytest.approx(1)
+
+
+def test_blocks_ask_no_more_rows_than_they_have_n_grams():
+    for blocks in (4, 16, 64, 4_096):
+        table = pa.table({"block": [0, 0], "text": ["a b c d", "a b"], "held_out": [False, True]})
+        asked = ngram._asked(blocks)(table)
+        assert asked.num_rows <= min(blocks, 5 + 7 + 8)
 
 
 def test_language_model_of_odd_rows(spark):
