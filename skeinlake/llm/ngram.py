@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from skeinlake.llm.common import crc_fold, whole_text, written
+from skeinlake.llm.common import crc_fold, map_pieces, texts, whole_text
 
 #: Weight of the shorter context, in counts, for states of one word and of two: the best of 14 pairs on texts of the training fold whose remainder is 2, learnt from the others (sf0.1: -3.53 a token, -4.20 without contexts).
 WEIGHTS = (1600.0, 10.0)
 #: Text of a block, in bytes; what a Python worker holds is a small multiple.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 HELD_OUT = 1
 ORDERS = ("one", "two", "three")
 END = np.uint64(xxh64_intdigest(b""))
@@ -71,13 +71,13 @@ def _grams(tokens: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
     pairs = _mixed(before, tokens)
     earlier = np.concatenate([[END], before[:-1]])[: len(tokens)]
     earlier[np.cumsum(sizes) - sizes] = END
-    low = np.uint64(0xFF)
-    return {"one": tokens, "two": pairs & ~low, "three": _mixed(earlier ^ np.uint64(0x94D049BB133111EB), pairs) & ~low}
+    short = np.uint64(8)
+    return {"one": tokens, "two": pairs >> short, "three": _mixed(earlier ^ np.uint64(0x94D049BB133111EB), pairs) >> short}
 
 
-def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each range of hashes begins in the sorted keys, and their number."""
-    edges = [(k << 64) // ranges for k in range(1, ranges)]
+def _cuts(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
+    """Where each range of hashes of so many bits begins in the sorted keys, and their number."""
+    edges = [(k << bits) // ranges for k in range(1, ranges)]
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
 
 
@@ -122,7 +122,7 @@ def _asked(ranges: int):
         for name, keys in _grams(tokens, sizes).items():
             known, place = np.unique(keys, return_inverse=True)
             n = np.bincount(place[trained], minlength=len(known))
-            cuts = _cuts(known, ranges)
+            cuts = _cuts(known, ranges, 64 if name == "one" else 56)
             some |= np.diff(cuts) > 0
             columns[f"{name}_keys"] = [_packed(known[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
             columns[f"{name}_n"] = [_squeezed(n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -132,20 +132,22 @@ def _asked(ranges: int):
 
 
 def _answered(table: pa.Table) -> pa.Table:
-    """An answer to each block, and a row without block: how many words the range has, and how often they occur."""
-    blocks = table.column("block").to_pylist()
-    columns: dict[str, list] = {"block": [*blocks, None], "range": [*table.column("range").to_pylist(), None]}
+    """The counts over all blocks, to each block in the order of its question."""
+    columns: dict[str, list] = {"block": table.column("block").to_pylist(), "range": table.column("range").to_pylist()}
     for name in ORDERS:
         keys = [_unpacked(x) for x in table.column(f"{name}_keys").to_pylist()]
         n = [_counts(x) for x in table.column(f"{name}_n").to_pylist()]
         known, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, np.concatenate(n), len(known)).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])
-        columns[f"{name}_total"] = [*(_squeezed(total[place[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)), None]
-        if name == "one":
-            nothing = [None] * len(blocks)
-            columns["types"], columns["tokens"] = [*nothing, int((total > 0).sum())], [*nothing, int(total.sum())]
-    return pa.table(columns, schema=pa.schema([("block", pa.int64()), ("range", pa.int64()), *((f"{k}_total", pa.binary()) for k in ORDERS), ("types", pa.int64()), ("tokens", pa.int64())]))
+        columns[f"{name}_total"] = [_squeezed(total[place[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)]
+    return pa.table(columns)
+
+
+def _vocabulary(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Each distinct token of a piece of training texts, and how often it occurs there."""
+    known, n = np.unique(_hashes(texts(batch))[0], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n)], ["token", "n"])
 
 
 @dataclass
@@ -242,9 +244,9 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, weights: tuple[float,
     dealt = chosen.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))).repartition(blocks, "block")
     packed = lambda x: ", ".join(f"{k}_{n} binary" for k in ORDERS for n in x)
     asked = dealt.groupBy("block").applyInArrow(_asked(blocks), f"block long, range long, {packed(('keys', 'n'))}")
-    answered = written(asked.repartition(blocks, "range").groupBy("range").applyInArrow(_answered, f"block long, range long, {packed(('total',))}, types long, tokens long"), "answers")
-    known = answered.where("block is null").agg(F.sum("tokens"), F.sum("types")).first()
+    answered = asked.repartition(blocks, "range").groupBy("range").applyInArrow(_answered, f"block long, range long, {packed(('total',))}")
+    words = map_pieces(chosen.where("not held_out"), _vocabulary, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    known = words.agg(F.sum("n"), F.count("*")).first()
     tokens, types = known[0] or 0, known[1] or 0
     kind = docs.schema["doc_id"].dataType.simpleString()
-    mine = answered.where("block is not null").repartition(blocks, "block")
-    return dealt.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(lambda texts, answers: _walked(texts, answers, tokens, types, weights), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("block").cogroup(answered.repartition(blocks, "block").groupBy("block")).applyInArrow(lambda block, answers: _walked(block, answers, tokens, types, weights), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
