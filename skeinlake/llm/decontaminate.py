@@ -186,7 +186,7 @@ def item_windows(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _bitmap(windows: DataFrame) -> tuple[np.ndarray, int]:
     """Bits that are set where a hash of the benchmark begins so, and their number as a power of two."""
     n = windows.count()
-    bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(16 * n + 1))))
+    bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(256 * n + 1))))
     chunk = min(bits, 16)
     slot = F.shiftrightunsigned("hash", 64 - bits)
     slots = windows.select(F.shiftright(slot, chunk).alias("part"), F.pmod(slot, F.lit(1 << chunk)).cast("int").alias("bit")).distinct()
