@@ -21,8 +21,9 @@ much as a block.
 Defined cases: a null text is empty and scores the end token alone; without training texts
 all counts are zero; repeated rows are scored alike, count as often as they occur, and are
 dealt by the partition they come from, so that no block has to hold them all. Hashes of 64
-bits stand for words, of 56 bits for pairs and triples: among 10^9 distinct ones, one of the
-latter shares its count with another with a chance of one in 70 million.
+bits stand for words, of 48 bits for pairs and triples: among 10^10 distinct ones, one of the
+latter shares its count with another with a chance of one in 28,000 (it changes the score of
+texts that hold it a little, and no count of words or base score).
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from skeinlake.llm.common import crc_fold, map_pieces, texts, whole_text
+from skeinlake.llm.common import crc_fold, whole_text
 
 #: Weight of the shorter context, in counts, for states of one word and of two: the best of 14 pairs on texts of the training fold whose remainder is 2, learnt from the others (sf0.1: -3.53 a token, -4.20 without contexts).
 WEIGHTS = (1600.0, 10.0)
@@ -44,6 +45,7 @@ WEIGHTS = (1600.0, 10.0)
 BLOCK_BYTES = 8 << 20
 HELD_OUT = 1
 ORDERS = ("one", "two", "three")
+BITS = {"one": 64, "two": 48, "three": 48}
 END = np.uint64(xxh64_intdigest(b""))
 
 
@@ -71,7 +73,7 @@ def _grams(tokens: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
     pairs = _mixed(before, tokens)
     earlier = np.concatenate([[END], before[:-1]])[: len(tokens)]
     earlier[np.cumsum(sizes) - sizes] = END
-    short = np.uint64(8)
+    short = np.uint64(64 - BITS["two"])
     return {"one": tokens, "two": pairs >> short, "three": _mixed(earlier ^ np.uint64(0x94D049BB133111EB), pairs) >> short}
 
 
@@ -122,7 +124,7 @@ def _asked(ranges: int):
         for name, keys in _grams(tokens, sizes).items():
             known, place = np.unique(keys, return_inverse=True)
             n = np.bincount(place[trained], minlength=len(known))
-            cuts = _cuts(known, ranges, 64 if name == "one" else 56)
+            cuts = _cuts(known, ranges, BITS[name])
             some |= np.diff(cuts) > 0
             columns[f"{name}_keys"] = [_packed(known[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
             columns[f"{name}_n"] = [_squeezed(n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -144,10 +146,12 @@ def _answered(table: pa.Table) -> pa.Table:
     return pa.table(columns)
 
 
-def _vocabulary(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Each distinct token of a piece of training texts, and how often it occurs there."""
-    known, n = np.unique(_hashes(texts(batch))[0], return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n)], ["token", "n"])
+def _totals(table: pa.Table) -> pa.Table:
+    """How often the words of a range occur in training texts, and how many of them do."""
+    keys = [_unpacked(x) for x in table.column("one_keys").to_pylist()]
+    known, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, np.concatenate([_counts(x) for x in table.column("one_n").to_pylist()]), len(known)).astype(np.int64)
+    return pa.table({"tokens": [int(total.sum())], "types": [int((total > 0).sum())]})
 
 
 @dataclass
@@ -215,9 +219,10 @@ class Automaton:
         return gained, self.levels[0].arc[self.arcs[0]]
 
 
-def _walked(docs: pa.Table, answers: pa.Table, tokens: int, types: int, weights: tuple[float, float]) -> pa.Table:
+def _walked(docs: pa.Table, answers: pa.Table, weights: tuple[float, float]) -> pa.Table:
     """The traversal of each text of a block."""
     answers = answers.sort_by("range")
+    tokens, types = (answers.column(c)[0].as_py() for c in ("tokens", "types"))
     hashes, sizes = _hashes(_block_rows(docs))
     grams = _grams(hashes, sizes)
     totals = {name: np.concatenate([np.zeros(0, np.int64), *map(_counts, answers.column(f"{name}_total").to_pylist())]) for name in ORDERS}
@@ -244,9 +249,9 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, weights: tuple[float,
     dealt = chosen.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))).repartition(blocks, "block")
     packed = lambda x: ", ".join(f"{k}_{n} binary" for k in ORDERS for n in x)
     asked = dealt.groupBy("block").applyInArrow(_asked(blocks), f"block long, range long, {packed(('keys', 'n'))}")
-    answered = asked.repartition(blocks, "range").groupBy("range").applyInArrow(_answered, f"block long, range long, {packed(('total',))}")
-    words = map_pieces(chosen.where("not held_out"), _vocabulary, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    known = words.agg(F.sum("n"), F.count("*")).first()
-    tokens, types = known[0] or 0, known[1] or 0
+    # both read one exchange; the totals are a single row
+    ranged = asked.repartition(blocks, "range").groupBy("range")
+    totals = ranged.applyInArrow(_totals, "tokens long, types long").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
+    answered = ranged.applyInArrow(_answered, f"block long, range long, {packed(('total',))}").crossJoin(F.broadcast(totals))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(answered.repartition(blocks, "block").groupBy("block")).applyInArrow(lambda block, answers: _walked(block, answers, tokens, types, weights), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("block").cogroup(answered.repartition(blocks, "block").groupBy("block")).applyInArrow(lambda block, answers: _walked(block, answers, weights), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
