@@ -1,7 +1,6 @@
 """Lexical search over an inverted index built by the query itself.
 
-Postings are aggregated before they meet the query terms; what a query touches is the
-postings of its terms. Top-k per query is a row_number filter, which Spark applies in each
+Only the postings of the query terms are counted and shuffled. Top-k per query is a row_number filter, which Spark applies in each
 partition before the shuffle.
 """
 
@@ -15,10 +14,12 @@ from pyspark.sql import functions as F
 from skeinlake.functions.text import STOP_WORDS, bm25_idf, bm25_term, tokens, word_set
 
 
-def postings(docs: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
-    """id, term, frequency, length: documents without a token are left out."""
+def postings(docs: DataFrame, stop_words: Iterable[str] = STOP_WORDS, of: DataFrame | None = None) -> DataFrame:
+    """id, term, frequency, length: documents without a token are left out; with ``of`` (term), so is every other term, before the shuffle."""
     split = docs.select("id", tokens(F.col("text"), stop_words).alias("t"))
-    return split.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("frequency"))
+    each = split.select("id", F.size("t").alias("length"), F.explode("t").alias("term"))
+    each = each if of is None else each.join(of.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("id", "term", "length").agg(F.count("*").alias("frequency"))
 
 
 def _query_terms(queries: DataFrame, stop_words: Iterable[str]) -> DataFrame:
@@ -27,12 +28,11 @@ def _query_terms(queries: DataFrame, stop_words: Iterable[str]) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
     """query_id, id, score of the documents with at least one query term (each counted once)."""
-    found = postings(docs, stop_words)
+    terms = _query_terms(queries, stop_words)
+    found = postings(docs, stop_words, terms)
     stats = docs.select(F.size(tokens(F.col("text"), stop_words)).alias("n")).where("n > 0").agg(F.count("*").alias("documents"), F.avg("n").alias("mean_length"))
     containing = found.groupBy("term").agg(F.count("*").alias("df"))
-    terms = _query_terms(queries, stop_words)
-    wanted = found.join(terms.select("term").distinct(), "term", "left_semi")
-    scored = wanted.join(containing, "term").crossJoin(F.broadcast(stats))  # one row
+    scored = found.join(containing, "term").crossJoin(F.broadcast(stats))  # one row
     part = bm25_term(bm25_idf(F.col("documents"), F.col("df")), F.col("frequency"), F.col("length"), F.col("mean_length"))
     return terms.join(scored.select("term", "id", part.alias("part")), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
 

@@ -298,21 +298,32 @@ def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
     return traversal.shortest_path(g.edges, "customer:5", f"region:{region}")
 
 
-@query(f"WITH {sql_graph(SMALL)} SELECT id, CASE type WHEN 'region' THEN 'region:' || r WHEN 'nation' THEN 'region:' || r ELSE 'region:' || r END AS region FROM (SELECT id, type, CASE WHEN type = 'region' THEN split_part(id, ':', 2)::INT WHEN type = 'nation' THEN (SELECT n_regionkey FROM nation WHERE 'nation:' || n_nationkey = id) ELSE (SELECT n_regionkey FROM nation JOIN edges ON target_id = 'nation:' || n_nationkey WHERE source_id = id) END AS r FROM nodes)")
+#: Parts join the trees of regions: each node with the smallest region that can be reached from it.
+_PLACED = f"""
+WITH RECURSIVE {sql_graph()},
+h AS (SELECT DISTINCT l_partkey AS p, n_regionkey AS r FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+j AS (SELECT DISTINCT x.r AS a, y.r AS b FROM h x JOIN h y USING (p)),
+w(a, b) AS (SELECT r_regionkey, r_regionkey FROM region UNION SELECT w.a, j.b FROM w JOIN j ON j.a = w.b),
+c AS (SELECT a AS r, 'region:' || min(b) AS region FROM w GROUP BY 1),
+placed AS (SELECT 'region:' || r AS id, region FROM c UNION ALL SELECT 'nation:' || n_nationkey, region FROM nation JOIN c ON r = n_regionkey
+UNION ALL SELECT 'customer:' || c_custkey, region FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN c ON r = n_regionkey
+UNION ALL SELECT 'supplier:' || s_suppkey, region FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN c ON r = n_regionkey
+UNION ALL SELECT 'part:' || p_partkey, min(region) FROM part LEFT JOIN h ON p = p_partkey LEFT JOIN c USING (r) GROUP BY p_partkey)"""
+
+
+@query(_PLACED + " SELECT id, region FROM placed")
 def component_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Components of the region trees; each is told by the region that it holds."""
-    g = derived_graph(spark, sf, SMALL)
-    placed = traversal.components(g)
-    region = placed.where("id like 'region:%'").select("component", F.col("id").alias("region"))
-    return placed.join(region, "component").select("id", "region")
+    """Components of the whole graph; each is told by the smallest region that it holds, null if it holds none."""
+    placed = traversal.components(derived_graph(spark, sf))
+    region = placed.where("id like 'region:%'").groupBy("component").agg(F.min("id").alias("region"))
+    return placed.join(region, "component", "left").select("id", "region")
 
 
-@query(f"""
-WITH {sql_graph(SMALL)}, n AS (SELECT count(*) AS n FROM nodes), m AS (SELECT count(*) AS m, count_if(source_id = target_id) AS l FROM edges),
-s AS (SELECT r_regionkey, 1 + (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) + (SELECT count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = r_regionkey) + (SELECT count(*) FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = r_regionkey) AS size FROM region)
+@query(f"""{_PLACED}, n AS (SELECT count(*) AS n FROM nodes), m AS (SELECT count(*) AS m, count_if(source_id = target_id) AS l FROM edges),
+s AS (SELECT count(*) AS size FROM placed GROUP BY coalesce(region, id))
 SELECT n AS num_nodes, m AS num_edges, round(2 * m / n, 6) AS mean_degree, round(m / (n * (n - 1)), 9) AS density, (SELECT count(*) FROM s) AS num_components, (SELECT max(size) FROM s)::BIGINT AS largest_component, l AS num_selfloops FROM n, m""")
 def graph_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return traversal.graph_metrics(derived_graph(spark, sf, SMALL)).withColumn("mean_degree", F.round("mean_degree", 6)).withColumn("density", F.round("density", 9))
+    return traversal.graph_metrics(derived_graph(spark, sf)).withColumn("mean_degree", F.round("mean_degree", 6)).withColumn("density", F.round("density", 9))
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -340,17 +351,18 @@ def pagerank_hubs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT DISTINCT l_suppkey % 97 AS a, 97 + l_partkey % 101 AS b FROM lineitem UNION SELECT DISTINCT l_suppkey % 97, (l_orderkey * 7) % 97 FROM lineitem),
-p AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), d AS (SELECT a, count(*) AS d FROM p GROUP BY 1),
-t AS (SELECT x.a, count(*) AS t FROM p x JOIN p y ON x.a = y.a AND x.b < y.b JOIN p z ON z.a = x.b AND z.b = y.b GROUP BY 1)
-SELECT d.a::VARCHAR AS id, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 6) AS coefficient FROM d LEFT JOIN t USING (a)""")
+WITH op AS (SELECT DISTINCT 'order:' || l_orderkey AS o, 'part:' || l_partkey AS p FROM lineitem), os AS (SELECT DISTINCT 'order:' || l_orderkey AS o, 'supplier:' || l_suppkey AS s FROM lineitem),
+ps AS (SELECT DISTINCT 'part:' || l_partkey AS p, 'supplier:' || l_suppkey AS s FROM lineitem), x AS (SELECT o, p, s FROM op JOIN os USING (o) JOIN ps USING (p, s)),
+t AS (SELECT id, count(*) AS t FROM (SELECT unnest([o, p, s]) AS id FROM x) GROUP BY 1),
+d AS (SELECT id, count(*) AS d FROM (SELECT unnest([o, p]) AS id FROM op UNION ALL SELECT unnest([o, s]) FROM os UNION ALL SELECT unnest([p, s]) FROM ps) GROUP BY 1)
+SELECT id, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 6) AS coefficient FROM d LEFT JOIN t USING (id)""")
 def clustering_coefficients(spark: SparkSession, sf: str) -> DataFrame:
-    """On the graph of suppliers, parts and orders folded to some 200 nodes, which has triangles."""
+    """On the graph of all orders, parts and suppliers that share a line item; its triangles take one of each."""
+    key = {kind: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")) for kind, c in (("order", "l_orderkey"), ("part", "l_partkey"), ("supplier", "l_suppkey"))}
     li = table(spark, sf, "lineitem")
-    pair = lambda b: li.select((F.col("l_suppkey") % 97).cast("string").alias("source_id"), b.cast("string").alias("target_id"), F.lit("x").alias("relationship_name"))
-    edges = pair(97 + F.col("l_partkey") % 101).unionByName(pair((F.col("l_orderkey") * 7) % 97)).distinct()
-    nodes = graph.ends(edges.where("source_id <> target_id"))
-    return traversal.clustering(graph.Graph(nodes, edges)).withColumn("coefficient", F.round("coefficient", 6))
+    pair = lambda a, b: li.select(key[a].alias("source_id"), key[b].alias("target_id"), F.lit("with").alias("relationship_name")).distinct()
+    edges = pair("order", "part").unionByName(pair("order", "supplier")).unionByName(pair("part", "supplier"))
+    return traversal.clustering(graph.Graph(graph.ends(edges), edges)).withColumn("coefficient", F.round("coefficient", 6))
 
 
 # ---------------------------------------------------------------- lexical search
@@ -614,7 +626,7 @@ def repointed_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _OVERLAP = """
-WITH l AS (SELECT DISTINCT c_nationkey AS item, c_mktsegment || (c_custkey % 40) AS e FROM customer), n AS (SELECT count(DISTINCT item) AS n FROM l),
+WITH l AS (SELECT DISTINCT l_suppkey AS item, l_partkey AS e FROM lineitem), n AS (SELECT count(DISTINCT item) AS n FROM l),
 i AS (SELECT e, ln(n / count(*)) AS idf FROM l, n GROUP BY e, n), k AS (SELECT item, e, idf FROM l JOIN i USING (e) WHERE idf > 0), t AS (SELECT item, sum(idf) AS t FROM k GROUP BY 1),
 s AS (SELECT x.item AS a, y.item AS b, sum(x.idf) AS s FROM k x JOIN k y ON x.e = y.e AND x.item < y.item GROUP BY 1, 2)
 SELECT a, b, round(s / (ta.t + tb.t - s), 6) AS score FROM s JOIN t ta ON ta.item = a JOIN t tb ON tb.item = b WHERE s / (ta.t + tb.t - s) >= 0.05 - 1e-9"""
@@ -622,7 +634,8 @@ SELECT a, b, round(s / (ta.t + tb.t - s), 6) AS score FROM s JOIN t ta ON ta.ite
 
 @query(_OVERLAP)
 def idf_weighted_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    links = table(spark, sf, "customer").select(F.col("c_nationkey").alias("item"), F.concat("c_mktsegment", (F.col("c_custkey") % 40).cast("string")).alias("entity"))
+    """Suppliers by the parts that they supply."""
+    links = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("entity"))
     return consolidation.weighted_overlap(links, "item", "entity", 0.05).withColumn("score", F.round("score", 6))
 
 
@@ -634,9 +647,11 @@ def supplier_idf(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def summary_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    links = table(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("id"), F.concat("c_mktsegment", (F.col("c_custkey") % 40).cast("string")).alias("entity")).distinct()
+    """Suppliers by the parts that they supply; a nation's suppliers are a group."""
+    links = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("id"), F.col("l_partkey").cast("string").alias("entity")).distinct()
     w = consolidation.idf(links, "id", "entity")
-    items = links.join(w, "entity").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "idf"))).alias("entities")).select(F.lit("all").alias("group"), "id", "entities")
+    group = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_nationkey").cast("string").alias("group"))
+    items = links.join(w, "entity").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "idf"))).alias("entities")).join(group, "id").select("group", "id", "entities")
     return consolidation.buckets(items, 5, 0.05)
 
 
