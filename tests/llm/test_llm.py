@@ -417,6 +417,17 @@ def test_entries_hold_from_their_day_until_the_next(spark):
     assert urlfilter.filtered(c.where("false"), e).count() == 0 and urlfilter.filtered(c, e.where("false")).where("blocked").count() == 0
 
 
+def test_url_filter_of_odd_rows(spark):
+    """Very long addresses, repeated captures, and extra columns named as those of the result and of the join."""
+    long = "http://a.b.org/" + "x/" * 50_000
+    rows = [(1, long, "2024-02-01", "h", "r", 1, "k"), (1, long, "2024-02-01", "h", "r", 1, "k"), (2, "http://" + "y." * 2_000 + "b.org/", "2024-02-01", "h", "r", 1, "k"), (None, "", "2024-02-01", None, None, None, None)]
+    c = spark.createDataFrame(rows, "page_id int, url string, day string, host string, rule string, _n int, key string").withColumn("fetched_at", F.col("day").cast("timestamp"))
+    e = spark.createDataFrame([("b.org", "add", "2024-01-10", 1, "u")], "key string, action string, day string, _month int, url string").withColumn("listed_at", F.col("day").cast("timestamp"))
+    found = urlfilter.filtered(c, e)
+    assert found.columns == ["page_id", "url", "fetched_at", "host", "blocked", "rule", "since"]
+    assert sorted((str(r.page_id), r.blocked, str(r.rule)) for r in found.collect()) == [("1", True, "b.org"), ("1", True, "b.org"), ("2", True, "b.org"), ("None", False, "None")]
+
+
 # ---------------------------------------------------------------- classifiers
 
 
@@ -642,3 +653,24 @@ def test_pipeline_stages_keep_the_columns(spark):
             assert docs.columns == columns
             sizes.append(docs.count())
     assert sizes == sorted(sizes, reverse=True) and docs.count() >= sizes[-1] > 0
+
+
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+def test_pipeline_stages_of_odd_rows(spark, rows):
+    """Nulls, empty and very long texts, repeated rows, no rows at all, and extra columns named as operators name theirs."""
+    import corpus_pipeline
+
+    clash = ["fp", "length", "_id", "label", "block", "_row", "_kept_id", "key", "piece", "item"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *range(len(clash))) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'`{c}` int' for c in clash)}")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        alone = stage(spark, docs, str(SF))
+        if name == corpus_pipeline.STAGES[-1][0]:
+            placed = alone.collect()
+            assert sorted(str(r.doc_id) for r in placed if r.piece == 0) == sorted(str(i) for i, _ in rows)
+        else:
+            assert alone.columns == columns and alone.count() <= len(rows)
+            assert {r.doc_id for r in alone.select("doc_id").collect()} <= {i for i, _ in rows}
+    if rows:
+        assert len(corpus_pipeline.benchmark_filter(spark, docs, str(SF)).collect()) == len(rows)
+        assert sorted((str(r.doc_id), str(r.text)) for r in corpus_pipeline.pii_redaction(spark, docs, str(SF)).collect()) == sorted((str(i), str(t)) for i, t in rows)
