@@ -817,31 +817,38 @@ _IRI = "'<http://x/' || regexp_replace({}, '[^A-Za-z0-9:_.\\-]', '_', 'g') || '>
 
 
 @query(f"""
-WITH {sql_graph(SMALL)} SELECT {_IRI.format('id')} AS subject, 'rdf:type' AS predicate, {_IRI.format('type')} AS object FROM nodes
+WITH {sql_graph()} SELECT {_IRI.format('id')} AS subject, 'rdf:type' AS predicate, {_IRI.format('type')} AS object FROM nodes
 UNION ALL SELECT {_IRI.format('id')}, 'rdfs:label', '"' || name || '"' FROM nodes WHERE name IS NOT NULL
 UNION ALL SELECT {_IRI.format('source_id')}, {_IRI.format('relationship_name')}, {_IRI.format('target_id')} FROM edges""")
 def rdf_triples(spark: SparkSession, sf: str) -> DataFrame:
-    g = derived_graph(spark, sf, SMALL)
+    g = derived_graph(spark, sf)
     return exports.triples(g.nodes, g.edges, "http://x/")
 
 
 @query(f"""
-WITH {sql_graph(SMALL)} SELECT 1 AS part, 'MERGE (n {{id: ''' || id || '''}}) SET n.name = ''' || coalesce(name, '') || ''', n.type = ''' || type || ''';' AS value FROM nodes
+WITH {sql_graph()} SELECT 1 AS part, 'MERGE (n {{id: ''' || id || '''}}) SET n.name = ''' || coalesce(name, '') || ''', n.type = ''' || type || ''';' AS value FROM nodes
 UNION ALL SELECT 2, 'MATCH (a {{id: ''' || source_id || '''}}), (b {{id: ''' || target_id || '''}}) MERGE (a)-[:`' || relationship_name || '`]->(b);' FROM edges""")
 def merge_script(spark: SparkSession, sf: str) -> DataFrame:
-    g = derived_graph(spark, sf, SMALL)
+    g = derived_graph(spark, sf)
     return exports.merge_script(g.nodes, g.edges)
 
 
-@query()
+_XML = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(f"""
+WITH {sql_graph()} SELECT 0 AS part, '{exports.GRAPHML_HEAD.replace(chr(10), "' || chr(10) || '")}' AS value
+UNION ALL SELECT 1, '<node id="' || {_XML.format('id')} || '"><data key="name">' || {_XML.format("coalesce(name, '')")} || '</data><data key="type">' || {_XML.format('type')} || '</data></node>' FROM nodes
+UNION ALL SELECT 2, '<edge source="' || {_XML.format('source_id')} || '" target="' || {_XML.format('target_id')} || '"><data key="relationship">' || {_XML.format('relationship_name')} || '</data></edge>' FROM edges
+UNION ALL SELECT 3, '{exports.GRAPHML_TAIL}'""")
 def graphml_lines(spark: SparkSession, sf: str) -> DataFrame:
-    g = derived_graph(spark, sf, SMALL)
+    g = derived_graph(spark, sf)
     return exports.graphml(g.nodes, g.edges)
 
 
-@query(f"WITH {sql_graph(SMALL)} SELECT {_IRI.format('a.source_id')} AS who, {_IRI.format('b.target_id')} AS region FROM edges a JOIN edges b ON a.target_id = b.source_id WHERE a.relationship_name = 'in_nation' AND b.relationship_name = 'in_region'")
+@query(f"WITH {sql_graph()} SELECT {_IRI.format('a.source_id')} AS who, {_IRI.format('b.target_id')} AS region FROM edges a JOIN edges b ON a.target_id = b.source_id WHERE a.relationship_name = 'in_nation' AND b.relationship_name = 'in_region'")
 def triple_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    g = derived_graph(spark, sf, SMALL)
+    g = derived_graph(spark, sf)
     return exports.matched(exports.triples(g.nodes, g.edges, "http://x/"), [("?who", "<http://x/in_nation>", "?n"), ("?n", "<http://x/in_region>", "?region")]).select("who", "region")
 
 

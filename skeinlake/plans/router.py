@@ -36,10 +36,21 @@ def _fires(text: Column, pattern: str) -> Column:
 
 
 def routed(queries: DataFrame, text: str = "text") -> DataFrame:
-    """``queries`` with search_type and confidence; ties go to the type whose rule comes first."""
+    """``queries`` with search_type, confidence, runner_up and runner_up_score; ties go to the type whose rule comes first.
+
+    Where the best score is too low for its type, the default is taken and that type is the
+    runner-up; without a second type the runner-up is the default with score 0.
+    """
     t = F.trim(F.coalesce(F.col(text), F.lit("")))
     score = lambda kind: sum((F.when(_fires(t, p), w).otherwise(0.0) for p, k, w in RULES if k == kind), F.lit(0.0))
-    best = F.greatest(*(F.struct(score(k).alias("s"), F.lit(-n).alias("n"), F.lit(k).alias("k")) for n, k in enumerate(TYPES)))
-    with_best = queries.withColumn("_b", best)
-    weak = F.col("_b.s") < LEAST
-    return with_best.withColumn("search_type", F.when(weak, DEFAULT).otherwise(F.col("_b.k"))).withColumn("confidence", F.when(F.col("_b.s") == 0, LEAST).otherwise(F.col("_b.s"))).drop("_b")
+    scores = F.array(*(F.struct(score(k).alias("s"), F.lit(-n).alias("n"), F.lit(k).alias("k")) for n, k in enumerate(TYPES)))
+    with_best = queries.withColumn("_r", F.slice(F.sort_array(F.filter(scores, lambda x: x["s"] > 0), asc=False), 1, 2))
+    best, second = F.try_element_at("_r", F.lit(1)), F.try_element_at("_r", F.lit(2))
+    none, weak = F.size("_r") == 0, best["s"] < LEAST
+    return with_best.select(
+        *queries.columns,
+        F.when(none | weak, DEFAULT).otherwise(best["k"]).alias("search_type"),
+        F.when(none, LEAST).otherwise(best["s"]).alias("confidence"),
+        F.when(weak, best["k"]).otherwise(F.coalesce(second["k"], F.lit(DEFAULT))).alias("runner_up"),
+        F.when(weak, best["s"]).otherwise(F.coalesce(second["s"], F.lit(0.0))).alias("runner_up_score"),
+    )

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def sessions(events: DataFrame, user: str, time: str, gap: str, late: str) -> DataFrame:
@@ -28,25 +28,39 @@ def windows(events: DataFrame, time: str, size: str, slide: str, late: str) -> D
     return w.select(F.col("w.start").alias("from"), "event_type", "n")
 
 
+class _Feedback(StatefulProcessor):
+    """An element's weight and count, and one state row for each turn it has counted."""
+
+    def __init__(self, rate: float, start: float) -> None:
+        self.rate, self.start = rate, start
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.weight = handle.getValueState("weight", "weight double, n long")
+        self.seen = handle.getMapState("seen", "qa_id string", "counted boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        weight, n = self.weight.get() if self.weight.exists() else (self.start, 0)
+        for row in pd.concat(list(rows)).sort_values(["position", "qa_id"]).itertuples():
+            turn = (str(row.qa_id),)
+            if 1 <= row.score <= 5 and not self.seen.containsKey(turn):
+                self.seen.updateValue(turn, (True,))
+                weight, n = round(min(1.0, max(0.0, weight + self.rate * ((row.score - 1) / 4 - weight))), 4), n + 1
+        self.weight.update((weight, n))
+        yield pd.DataFrame({"element_id": [key[0]], "weight": [weight], "n": [n]})
+
+    def close(self) -> None:
+        pass
+
+
 def feedback(rated: DataFrame, rate: float = 0.1, start: float = 0.5) -> DataFrame:
     """element_id, weight, n after each batch, from rated uses (element_id, qa_id, score, position).
 
-    The state of an element is its weight and the turns that it has counted; within a batch
-    uses apply in order of position, and a turn counts once.
+    The state of an element is its weight, and a row of its own for each turn that it has
+    counted, so a batch reads and writes the rows of its own turns only. Within a batch uses
+    apply in order of position, and a turn counts once. Needs the RocksDB state store.
     """
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        weight, seen = state.get if state.exists else (start, "")
-        done = set(seen.split(",")) if seen else set()
-        for row in pd.concat(list(frames)).sort_values(["position", "qa_id"]).itertuples():
-            if str(row.qa_id) not in done and 1 <= row.score <= 5:
-                done.add(str(row.qa_id))
-                weight = round(min(1.0, max(0.0, weight + rate * ((row.score - 1) / 4 - weight))), 4)
-        state.update((weight, ",".join(sorted(done))))
-        yield pd.DataFrame({"element_id": [key[0]], "weight": [weight], "n": [len(done)]})
-
     kind = rated.schema["element_id"].dataType.simpleString()
-    return rated.groupBy("element_id").applyInPandasWithState(fold, f"element_id {kind}, weight double, n long", "weight double, seen string", "update", GroupStateTimeout.NoTimeout)
+    return rated.groupBy("element_id").transformWithStateInPandas(_Feedback(rate, start), f"element_id {kind}, weight double, n long", "Update", "None")
 
 
 def once_each(rows: DataFrame, key: str, time: str, late: str) -> DataFrame:

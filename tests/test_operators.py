@@ -142,6 +142,16 @@ def test_router_rules_and_negation(spark):
     assert list(found.values()) == ["GRAPH_SUMMARY_COMPLETION", "HYBRID_COMPLETION", "CHUNKS_LEXICAL", "HYBRID_COMPLETION", "TEMPORAL"]
 
 
+def test_router_runner_up(spark):
+    q = spark.createDataFrame([("hello",), ("import this",), ("explain the timeline of the summary",), ("summarize",), (None,)], "text string")
+    found = {r.text: (r.search_type, r.confidence, r.runner_up, r.runner_up_score) for r in router.routed(q).collect()}
+    default = "HYBRID_COMPLETION"
+    assert found["hello"] == found[None] == (default, 2.0, default, 0.0)
+    assert found["import this"] == (default, 1.0, "CODING_RULES", 1.0)
+    assert found["explain the timeline of the summary"] == ("GRAPH_SUMMARY_COMPLETION", 5.0, "GRAPH_COMPLETION_COT", 4.0)
+    assert found["summarize"] == ("GRAPH_SUMMARY_COMPLETION", 5.0, default, 0.0)
+
+
 def test_consolidation(spark):
     e = spark.createDataFrame([("1", "Acme Inc.", "org", 5), ("2", "acme inc", "org", 3), ("3", "ACME-INC", "person", 1), ("4", "Other", "org", 1)], "id string, name string, type string, created_at int")
     placed = consolidation.clusters(e, consolidation.name_links(e))
@@ -222,6 +232,11 @@ def test_exports_escape(spark):
     n = spark.createDataFrame([("a&b", "x<y", "t")], "id string, name string, type string")
     e = spark.createDataFrame([("a&b", "a&b", "r")], "source_id string, target_id string, relationship_name string")
     assert any("a&amp;b" in r.value and "x&lt;y" in r.value for r in exports.graphml(n, e).collect())
+    odd = spark.createDataFrame([("n", 'a\\"b\nc', "t")], "id string, name string, type string")
+    label = exports.triples(odd, e, "http://x/").where("predicate = 'rdfs:label'").first().object
+    assert label == '"a\\\\\\"b\\nc"'
+    ticked = e.withColumn("relationship_name", F.lit("a`b"))
+    assert "[:`a``b`]" in exports.merge_script(odd, ticked).where("part = 2").first().value
     with pytest.raises(ValueError):
         exports.matched(exports.triples(n, e, "http://x/"), [("?a", "rdf:type", "?b"), ("?c", "rdfs:label", "?d")])
 
