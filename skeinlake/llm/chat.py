@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 #: Marks by role; the last pair is for every other role.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), None: ("<turn>", "</turn>")}
 _OPEN = r"(?:<<SYS>>|\[INST\]|<s>|<turn>)"
-_CLOSE = r"(?:<</SYS>>|\[/INST\]|</s>|</turn>)"
-_TURN = f"(?s)({_OPEN})(.*?)({_CLOSE})"
+_TURN = rf"(?s){_OPEN}.*?(?:<</SYS>>|\[/INST\]|</s>|</turn>)"
 #: A mark, possibly escaped: its first character, backslashes, the rest.
 _MARK = r"([<\[])(\\*)(</?SYS>>|/?INST\]|/?s>|/?turn>)"
 
@@ -62,25 +61,34 @@ def rendered(role: Column, text: Column, level: int) -> Column:
     return F.concat(mark(0), LEVELS[level](_body(role, text)), mark(1))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def parsed(formatted: Column) -> Column:
     """Array of (role, text) of a formatted text; null if it isn't a sequence of whole turns with nothing between and no marks inside."""
-    parts = F.arrays_zip(*(F.regexp_extract_all(formatted, F.lit(_TURN), F.lit(k)).alias(n) for k, n in ((1, "o"), (2, "b"), (3, "c"))))
 
-    def one(x: Column) -> Column:
-        role = F.lit(None).cast("string")
+    def one(turn: Column) -> Column:
+        inside, role = F.lit(None).cast("string"), F.lit(None).cast("string")
         for name, (start, end) in MARKS.items():
-            if name:
-                role = F.when((x["o"] == start) & (x["c"] == end), name).otherwise(role)
-        plain = unescaped(x["b"])
-        size = F.regexp_extract(plain, "^([0-9]{1,9}):", 1)
-        other = (x["o"] == MARKS[None][0]) & (x["c"] == MARKS[None][1]) & (size != "")
-        rest = F.substring(plain, F.length(size) + 2, F.length(plain))
-        at = F.when(size != "", size.cast("int"))
-        return F.when(role.isNotNull(), F.struct(role.alias("role"), plain.alias("text"))).when(other, F.struct(F.substring(rest, F.lit(1), at).alias("role"), F.substring(rest, at + 1, F.length(rest)).alias("text")))
+            fits = turn.startswith(start) & turn.endswith(end)
+            inside = F.when(fits, F.substring(turn, F.lit(len(start) + 1), F.char_length(turn) - len(start) - len(end))).otherwise(inside)
+            role = F.when(fits, name or "").otherwise(role)
+        return _let(F.struct(role.alias("role"), inside.alias("text")), read)
+
+    def read(x: Column) -> Column:
+        plain = F.struct(x["role"].alias("role"), unescaped(x["text"]).alias("text"))
+        size = F.regexp_extract(x["text"], "^([0-9]{1,9}):", 1)
+        return F.when(~x["text"].rlike(_OPEN), F.when(x["role"] != "", plain).when(size != "", _let(plain, named)))
+
+    def named(x: Column) -> Column:
+        size = F.regexp_extract(x["text"], "^([0-9]{1,9}):", 1)
+        after, n = F.length(size) + 2, size.cast("int")
+        return F.struct(F.substring(x["text"], after, n).alias("role"), F.substring(x["text"], after + n, F.length(x["text"])).alias("text"))
 
-    whole = (F.array_join(F.transform(parts, lambda x: F.concat(x["o"], x["b"], x["c"])), "") == formatted) & ~F.exists(parts, lambda x: x["b"].rlike(_OPEN))
-    turns = F.transform(parts, one)
-    return F.when(whole & F.forall(turns, lambda x: x.isNotNull()), turns)
+    whole = lambda turns: F.when(F.array_join(turns, "") == formatted, _let(F.transform(turns, one), lambda t: F.when(F.forall(t, lambda x: x.isNotNull()), t)))
+    return _let(F.regexp_extract_all(formatted, F.lit(_TURN), F.lit(0)), whole)
 
 
 def _chosen(role: Column, text: Column) -> Column:
@@ -88,8 +96,7 @@ def _chosen(role: Column, text: Column) -> Column:
     source = F.array(F.struct(role.alias("role"), text.alias("text")))
     out = F.raise_error(F.lit("a turn cannot be rendered so that it is read back"))
     for level in reversed(range(len(LEVELS))):
-        form = rendered(role, text, level)
-        out = F.when(F.coalesce(parsed(form) == source, F.lit(False)), form).otherwise(out)
+        out = _let(rendered(role, text, level), lambda form, rest=out: F.when(F.coalesce(parsed(form) == source, F.lit(False)), form).otherwise(rest))
     return out
 
 
