@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlake.llm import bestfit, chat, decontaminate, htmltext, linerules, ngram, pii, quality, simhash, toxicity, urlfilter
+from skeinlake.llm import bestfit, chat, codes, decontaminate, htmltext, linerules, ngram, pii, quality, simhash, toxicity, urlfilter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -103,6 +103,35 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_va_file_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encoded(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op11_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
+    """All distances, round by round; for vectors of one length."""
+    assigned = lambda k: f"""a{k} AS (SELECT r, p, any_value(x) AS x, min({{'d': list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS best FROM parts JOIN b{k} USING (p) GROUP BY r, p)"""
+    renewed = lambda k: f"""s{k} AS (SELECT p, best.e AS e, j, sum(x[j]) AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, (SELECT len(x) FROM parts LIMIT 1) + 1)) AS j) GROUP BY ALL),
+m{k} AS (SELECT p, e, list((s - ((s % n) + n) % n)::HUGEINT // n ORDER BY j)::BIGINT[] AS y FROM s{k} GROUP BY ALL),
+b{k + 1} AS (SELECT p, e, coalesce(m{k}.y, b{k}.y) AS y FROM b{k} LEFT JOIN m{k} USING (p, e))"""
+    steps = ",\n".join(f(k) for k in range(rounds) for f in (assigned, renewed))
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(embedding) % {parts} = 0 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+parts AS (SELECT r, p, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS x FROM kept, range({parts}) t(p)),
+b0 AS (SELECT p, r - 1 AS e, x AS y FROM parts WHERE r <= {entries}),
+{steps},
+{assigned(rounds)},
+found AS (SELECT r, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(list_aggregate(y, 'string_agg', ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM found JOIN kept USING (r)
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 #: A conversation beside those of the table, which holds marks of the template in both of its texts.
 HOSTILE = "SELECT -1L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)"
 
@@ -129,9 +158,9 @@ FROM bodies GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_template_decontamination, op2_pii_deobfuscation, op3_line_rules, op4_line_block_text, op5_backoff_automaton, op6_temporal_url_filter, op7_additive_quality, op8_best_fit_packing, op9_anchor_simhash, op10_compression_toxicity, op13_grammar_roundtrip_chat]
+    found = [op1_template_decontamination, op2_pii_deobfuscation, op3_line_rules, op4_line_block_text, op5_backoff_automaton, op6_temporal_url_filter, op7_additive_quality, op8_best_fit_packing, op9_anchor_simhash, op10_compression_toxicity, op11_va_file_codes, op13_grammar_roundtrip_chat]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_temporal_url_filter": OP6_SQL, "op13_grammar_roundtrip_chat": OP13_SQL}
+    return {"op6_temporal_url_filter": OP6_SQL, "op11_va_file_codes": OP11_SQL, "op13_grammar_roundtrip_chat": OP13_SQL}
