@@ -199,7 +199,7 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     most = words.agg(F.max("id")).first()[0] or 0
     width = max(1, (int(most).bit_length() + 7) // 8)
     known = own.join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("k", "id")).alias("ids"))
-    keys = written(read.join(known, "block", "left").select("wide", "numbers", "ids").mapInArrow(_keys(width), "key binary, n long"), "keys")
+    keys = written(read.join(known, "block", "left").select("wide", "numbers", "ids").mapInArrow(_keys(width), "key binary, n long"), "keys", codec="zstd")
     ranges = 1 + keys.count() // RANGE_ROWS
     phrases = written(keys.repartitionByRange(ranges, "key").mapInArrow(_counted(width, least), "w1 long, w2 long, w3 long, a long"), "phrases")
     release(keys)
