@@ -128,9 +128,11 @@ def best_events(events: DataFrame, scores: DataFrame, k: int) -> DataFrame:
 
 
 def subqueries(rows: DataFrame, most: int = 5) -> DataFrame:
-    """Rows with ``subqueries`` trimmed, without blanks and repeats, ``most`` at most; the query itself where none is left."""
-    clean = F.slice(F.array_distinct(F.filter(F.transform("subqueries", lambda s: F.trim(s)), lambda s: s != "")), 1, most)
-    return rows.withColumn("subqueries", F.when(F.size(clean) > 0, clean).otherwise(F.array("query")))
+    """Rows with ``subqueries`` trimmed, without blanks and repeats, the first ``most`` as they come; the query itself where none is left."""
+    bare = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
+    clean = F.slice(F.array_distinct(F.filter(F.transform("subqueries", bare), lambda s: s != "")), 1, most)
+    query = F.when(bare(F.col("query")) == "", F.col("query")).otherwise(bare(F.col("query")))
+    return rows.withColumn("subqueries", F.when(F.size(clean) > 0, clean).otherwise(F.array(query)))
 
 
 def placed_in_buckets(distances: DataFrame, buckets: DataFrame, most: int, threshold: float) -> DataFrame:

@@ -67,9 +67,10 @@ def provenance_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE {sql_graph()}, up AS (SELECT 'part:' || p_partkey AS id, 0 AS hops FROM part WHERE p_size = 1
-  UNION SELECT p, hops + 1 FROM up JOIN (SELECT target_id AS c, source_id AS p FROM edges WHERE relationship_name = 'supplies' UNION ALL SELECT source_id, target_id FROM edges WHERE relationship_name <> 'supplies') USING (id) WHERE hops < 3)
-SELECT id, min(hops)::INT AS hops FROM up GROUP BY 1""".replace("JOIN (SELECT target_id AS c", "JOIN (SELECT target_id AS id").replace("SELECT source_id, target_id FROM edges WHERE relationship_name <>", "SELECT source_id AS id, target_id AS p FROM edges WHERE relationship_name <>"))
+WITH RECURSIVE {sql_graph()},
+parents AS (SELECT target_id AS id, source_id AS p FROM edges WHERE relationship_name = 'supplies' UNION ALL SELECT source_id AS id, target_id AS p FROM edges WHERE relationship_name <> 'supplies'),
+up AS (SELECT 'part:' || p_partkey AS id, 0 AS hops FROM part WHERE p_size = 1 UNION SELECT p, hops + 1 FROM up JOIN parents USING (id) WHERE hops < 3)
+SELECT id, min(hops)::INT AS hops FROM up GROUP BY 1""")
 def lineage_of_parts(spark: SparkSession, sf: str) -> DataFrame:
     e = derived_graph(spark, sf).edges
     down = F.col("relationship_name") == "supplies"
@@ -108,14 +109,18 @@ def best_events(spark: SparkSession, sf: str) -> DataFrame:
     return store.best_events(found.select("id"), found.where("toxic = 1").select("id", (F.lit(1.0) / (F.col("id") + 1)).alias("distance")), 25)
 
 
-@query("SELECT conv_id, turn, list_aggregate(CASE WHEN len(s) > 0 THEN s ELSE [text] END, 'string_agg', '|') AS subqueries FROM (SELECT conv_id, turn, text, list_transform(list_sort(list_distinct(list_transform(list_filter(list_transform(split(text, '.'), lambda x: trim(x)), lambda x: x <> ''), lambda x, i: x))), lambda x: x) AS s FROM conversations WHERE text IS NOT NULL AND length(text) - length(replace(text, '.', '')) <= 5) WHERE len(s) <= 5")
+@query(r"""
+WITH split AS (SELECT conv_id, turn, text, list_filter(list_transform(string_split(text, '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM conversations),
+first AS (SELECT conv_id, turn, text, list_filter(s, lambda x, i: list_position(s, x) = i)[:5] AS s FROM split)
+SELECT conv_id, turn, CASE WHEN len(s) > 0 THEN list_aggregate(s, 'string_agg', '|') WHEN regexp_matches(text, '\S') THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE text END AS subqueries FROM first""")
 def normalised_subqueries(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "conversations").where("text is not null and length(text) - length(replace(text, '.', '')) <= 5").select("conv_id", "turn", F.col("text").alias("query"), F.split("text", r"\.").alias("subqueries"))
-    found = store.subqueries(rows, 6).where(F.size("subqueries") <= 5)
-    return found.select("conv_id", "turn", F.array_join(F.when(F.size("subqueries") > 1, F.array_sort("subqueries")).otherwise(F.col("subqueries")), "|").alias("subqueries"))
+    """The sentences of every turn as sub-queries: the first five different ones, in their order."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("query"), F.split("text", r"\.").alias("subqueries"))
+    found = store.subqueries(rows)
+    return found.select("conv_id", "turn", F.when(F.col("subqueries")[0].isNotNull(), F.array_join("subqueries", "|")).alias("subqueries"))
 
 
-@query("SELECT p_partkey AS item, 'b' || l_suppkey AS bucket, mean FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY mean, size, 'b' || l_suppkey) AS k FROM (SELECT l_partkey AS p_partkey, l_suppkey, avg(l_discount::DOUBLE) AS mean, l_suppkey % 7 AS size FROM lineitem GROUP BY 1, 2) WHERE size < 6 AND mean <= 0.04) WHERE k = 1".replace("mean FROM (SELECT *", "round(mean, 9) AS mean FROM (SELECT *"))
+@query("SELECT p_partkey AS item, 'b' || l_suppkey AS bucket, round(mean, 9) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY mean, size, 'b' || l_suppkey) AS k FROM (SELECT l_partkey AS p_partkey, l_suppkey, avg(l_discount::DOUBLE) AS mean, l_suppkey % 7 AS size FROM lineitem GROUP BY 1, 2) WHERE size < 6 AND mean <= 0.04) WHERE k = 1")
 def placed_in_buckets(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     bucket = F.concat(F.lit("b"), F.col("l_suppkey").cast("string"))

@@ -63,6 +63,13 @@ def test_walks(spark):
     assert values(traversal.reached(g.edges, seed, 2), "id", "hops") == [("a", 2), ("b", 2), ("c", 1), ("d", 0)]
     assert values(traversal.shortest_path(g.edges, "d", "k"), "step", "id") == [(0, "d"), (1, "c"), (2, "a"), (3, "k")]
     assert traversal.shortest_path(g.edges, "k", "d").count() == 0
+    assert values(traversal.shortest_path(g.edges, "d", "d"), "step", "id") == [(0, "d")]
+
+
+def test_a_path_may_be_as_long_as_it_is(spark):
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", "next") for i in range(37)], "source_id string, target_id string, relationship_name string")
+    assert values(traversal.shortest_path(edges, "n00", "n37"), "step", "id") == [(i, f"n{i:02}") for i in range(38)]
+    assert values(traversal.reached(edges, spark.createDataFrame([("n05",)], "id string"), 20, direction="forward"), "id", "hops") == [(f"n{5 + i:02}", i) for i in range(21)]
 
 
 def test_pagerank_goes_on_until_it_stands(spark):

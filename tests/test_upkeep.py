@@ -1,56 +1,12 @@
-"""Incremental chunking, look-ups and all-to-all similarity against brute force."""
+"""Look-ups and all-to-all similarity against brute force."""
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlake.operators import incremental, nearest, store
-from skeinlake.operators.chunking import paragraphs
-
-
-def test_edits_touch_few_chunks_and_lose_nothing():
-    rng = random.Random(3)
-    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 6)))
-    text = lambda n: "".join(word() + rng.choice([" ", ". ", ".\n", "\n\n"]) for _ in range(n))
-    for _ in range(200):
-        old = text(rng.randint(1, 120))
-        chunks = [c for c, *_ in paragraphs(old, 15)]
-        new = old
-        for _ in range(rng.randint(0, 3)):
-            at = rng.randint(0, len(new))
-            new = new[:at] + rng.choice(["", text(3), word()]) + new[min(len(new), at + rng.randint(0, 20)) :]
-        found = incremental.renewed(old, chunks, new, 15)
-        assert "".join(t for t, _ in found) == new
-        assert all(t == chunks[k] for t, k in found if k is not None)
-        spans = incremental.changed_spans(old, new)
-        rest_old, rest_new, at_old, at_new = "", "", 0, 0
-        for o1, o2, n1, n2 in spans:
-            rest_old, rest_new, at_old, at_new = rest_old + old[at_old:o1], rest_new + new[at_new:n1], o2, n2
-        assert rest_old + old[at_old:] == rest_new + new[at_new:]
-
-
-def test_an_insertion_at_a_border_belongs_to_the_chunk_before_it():
-    assert incremental.regions("one.two.", ["one.", "two."], "one.x two.") == [(0, 0, "one.x ")]
-    assert incremental.regions("one.two.", ["one.", "two."], "x one.two.") == [(0, 0, "x one.")]
-    assert incremental.regions("one.two.", ["one.", "two."], "one.two.") == [] and incremental.regions("", [], "") == []
-
-
-@pytest.mark.parametrize(("old", "chunks", "new"), [("ab", ["a"], "ab"), ("ab", ["a", "c"], "x"), ("", [], "new")])
-def test_chunks_that_do_not_tile_are_refused(old, chunks, new):
-    with pytest.raises(ValueError):
-        incremental.regions(old, chunks, new)
-
-
-def test_updates_of_odd_documents(spark):
-    docs = spark.createDataFrame([(1, None, None), (2, "a. b.", "a. c."), (3, "a.", "")], "id long, old_text string, new_text string")
-    chunks = spark.createDataFrame([(2, 0, "a. "), (2, 1, "b."), (3, 0, "a.")], "id long, chunk_index int, text string")
-    assert [tuple(r) for r in incremental.plan(docs, chunks).orderBy("id").collect()] == [(2, 1, 1, "c."), (3, 0, 0, "")]
-    assert [tuple(r) for r in incremental.updated(docs, chunks, 10).orderBy("id", "chunk_index").collect()] == [(2, 0, "a. ", 0), (2, 1, "c.", None)]
-    assert incremental.updated(docs.where("false"), chunks, 10).count() == 0
+from skeinlake.operators import nearest, store
 
 
 @pytest.mark.parametrize("block_rows", [7, 4_096])
