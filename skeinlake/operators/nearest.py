@@ -7,7 +7,7 @@ shuffle). Vectors and queries are brought to length one first, so a comparison i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from skeinlake.operators.traversal import component_labels
 
 #: Vectors of a block when every row is a query.
 BLOCK_ROWS = 4_096
+#: Centres that blocks are grouped by, and the rows they are learnt from: both bound what is broadcast and collected.
+CENTRES, SAMPLE_ROWS = 1_024, 20_000
 
 
 def tagged(vectors: DataFrame, tags: Sequence[str], every: bool = False, column: str = "belongs_to_set") -> DataFrame:
@@ -46,43 +48,141 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int | None, skip_self: bo
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def items(vectors: DataFrame) -> DataFrame:
+    """id, v: a unit vector for each id.
+
+    Rows without an id or a vector, with null or non-finite components, or of another length than
+    most rows (of equally frequent lengths, the longer) are left out; an id with several vectors
+    keeps the smallest.
+    """
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    v = F.col("vector").cast("array<double>")
+    good = vectors.where(F.col("id").isNotNull() & F.coalesce((F.size(v) > 0) & F.forall(v, finite), F.lit(False)))
+    length = good.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("c")).agg(F.max(F.struct("c", "n"))["n"]).first()[0]
+    return good.where(F.size("vector") == (length or 0)).groupBy("id").agg(F.min(v).alias("_v")).select("id", unit(F.col("_v")).alias("v"))
+
+
+def _side(t: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    return t.column("id").combine_chunks(), t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 0))
+
+
 def _block_nearest(k: int, kind: pa.DataType):
     def run(key: tuple, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        side = lambda t: (t.column("id").combine_chunks(), np.array(t.column("v").to_pylist(), np.float64).reshape(t.num_rows, -1))
-        (qi, q), (ri, r) = side(queries), side(rows)
+        (qi, q), (ri, r) = _side(queries), _side(rows)
         out: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
         if len(qi) and len(ri):
-            order = np.argsort(np.array(ri.to_pylist()), kind="stable")
-            ri, r = ri.take(pa.array(order)), r[order]
+            ids = np.array(ri.to_pylist())
+            order = np.argsort(ids, kind="stable")
+            ri, r, ids = ri.take(pa.array(order)), r[order], ids[order]
+            own = np.array(qi.to_pylist())
             for start in range(0, len(qi), 512):
                 distance = np.round(1 - q[start : start + 512] @ r.T, 6)
-                best = np.argsort(distance, axis=1, kind="stable")[:, : k + 1]  # one more: the row itself may be among them
-                at = np.repeat(np.arange(start, start + len(distance)), best.shape[1])
-                out.append((qi.take(pa.array(at)), ri.take(pa.array(best.reshape(-1))), np.take_along_axis(distance, best, 1).reshape(-1)))
+                distance[own[start : start + 512, None] == ids] = np.inf
+                best = np.argsort(distance, axis=1, kind="stable")[:, :k]
+                at, found = np.repeat(np.arange(start, start + len(distance)), best.shape[1]), np.take_along_axis(distance, best, 1).reshape(-1)
+                there = found < np.inf
+                out.append((qi.take(pa.array(at[there])), ri.take(pa.array(best.reshape(-1)[there])), found[there]))
         pick = lambda n, t: pa.chunked_array([x[n] if n < 2 else pa.array(x[n]) for x in out], t)
         return pa.table({"query_id": pick(0, kind), "id": pick(1, kind), "distance": pick(2, pa.float64())})
 
     return run
 
 
-def nearest_of_all(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, id, distance (6 digits), rank of the k nearest others of every vector; ties by id.
+def _learnt(sample: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` centres of a sample, by a few rounds of assigning and averaging."""
+    centres = sample[np.linspace(0, len(sample) - 1, n).astype(int)]
+    for _ in range(5):
+        nearest = (sample @ centres.T).argmax(1)
+        for c in np.unique(nearest):
+            mean = sample[nearest == c].mean(0)
+            centres[c] = mean / max(np.linalg.norm(mean), 1e-12)
+    return np.unique(centres, axis=0)
+
+
+def _apart(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to centres."""
+    return np.sqrt(np.maximum(0, (v * v).sum(1)[:, None] + (centres * centres).sum(1) - 2 * v @ centres.T))
+
 
-    Every row is a query. Rows are dealt into blocks of about ``block_rows``; each pair of blocks
-    is one task-sized product of matrices that hands on k + 1 rows a query, so nothing holds more
-    than two blocks and no pairs beyond those are written. The work is that of all comparisons;
-    the rows shuffled are those of the vectors times the number of blocks.
+def _assigned(centres: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                apart = _apart(_side(pa.Table.from_batches([batch]))[1], centres)
+                yield pa.record_batch([*batch.columns, pa.array(apart.argmin(1), pa.int32()), pa.array(apart.min(1))], [*batch.schema.names, "c", "apart"])
+
+    return run
+
+
+def _asked(centres: np.ndarray, radius: np.ndarray, parts: np.ndarray):
+    """Rows (id, v, c, part, bound) with each block (rc, rp) that may hold something within their bound, but their own."""
+    slack = 2e-6  # distances are rounded to six digits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                v = _side(pa.Table.from_batches([piece]))[1]
+                gap = np.maximum(0, _apart(v, centres) - radius)
+                bound = piece.column(4).fill_null(np.inf).to_numpy(zero_copy_only=False)
+                # unit vectors: 1 - cosine is half the squared distance; a zero vector is 1 from all
+                unit_row = (v * v).sum(1) > 0.5
+                row, c = np.nonzero((gap * gap / 2 <= bound[:, None] + slack) | ~unit_row[:, None] | (radius < 0))
+                many = parts[c]
+                row, c, p = np.repeat(row, many), np.repeat(c, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                other = (c != piece.column(2).to_numpy()[row]) | (p != piece.column(3).to_numpy()[row])
+                taken = piece.take(pa.array(row[other]))
+                yield pa.record_batch([*taken.columns[:4], pa.array(c[other], pa.int32()), pa.array(p[other], pa.int32())], ["id", "v", "c", "part", "rc", "rp"])
+
+    return run
+
+
+def nearest_of_all(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, id, distance (6 digits), rank of the k nearest others of every item (see ``items``); ties by id.
+
+    Every item is a query, and the result is exact. Equal vectors are compared once. The different
+    ones are dealt to the nearest of up to CENTRES centres, learnt from SAMPLE_ROWS of them, and a
+    centre's rows to blocks of about ``block_rows``. First each block is compared with itself; the
+    k-th distance found is a bound for its rows. A row then meets only the blocks of centres whose
+    rows may be within its bound: by the triangle inequality none is nearer than the distance to
+    the centre less the centre's radius. Where that excludes nothing (vectors without clusters)
+    all blocks are met, which is every comparison and, in rows shuffled, the vectors times the
+    blocks. A task holds two blocks; what is broadcast are the centres with their radii.
     """
     kind = vectors.schema["id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    blocks = 1 + vectors.count() // block_rows
-    rows = vectors.select("id", unit(F.col("vector")).alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    asked = rows.select("id", "v", F.col("b").alias("qb"), every.alias("rb"))
-    met = rows.select("id", "v", F.col("b").alias("rb"), every.alias("qb"))
-    found = asked.groupBy("qb", "rb").cogroup(met.groupBy("qb", "rb")).applyInArrow(_block_nearest(k, arrow), f"query_id {kind}, id {kind}, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.where("query_id <> id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    known = items(vectors)
+    # of equal vectors the first k + 1 ids are all that can be among anyone's k nearest
+    firsts = known.withColumn("_k", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_k") <= k + 1)
+    groups = written(firsts.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "groups")
+    reps = groups.select(F.col("ids")[0].alias("id"), "v")
+    n = reps.count()
+    sample = np.array([r["v"] for r in reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()], np.float64)
+    if not n:
+        return reps.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
+    centres = _learnt(sample, min(CENTRES, len(sample), 1 + n // block_rows))
+    dealt = written(reps.mapInArrow(_assigned(centres), f"id {kind}, v array<double>, c int, apart double"), "dealt")
+    parts, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for row in dealt.groupBy("c").agg(F.count("*").alias("n"), F.max("apart").alias("r")).collect():
+        parts[row["c"]], radius[row["c"]] = 1 + (row["n"] - 1) // block_rows, row["r"]
+    split = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("c") + 1)
+    rows = dealt.withColumn("part", F.pmod(F.xxhash64("id"), split).cast("int")).select("id", "v", "c", "part")
+    schema = f"query_id {kind}, id {kind}, distance double"
+    own = written(rows.groupBy("c", "part").cogroup(rows.toDF("id", "v", "qc", "qp").groupBy("qc", "qp")).applyInArrow(_block_nearest(k, arrow), schema), "own")
+    bound = own.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
+    asked = written(rows.join(bound, "id", "left").select("id", "v", "c", "part", "bound").mapInArrow(_asked(centres, radius, parts), f"id {kind}, v array<double>, c int, part int, rc int, rp int"), "asked")
+    pairs = asked.select("c", "part", "rc", "rp").distinct().toDF("qc", "qp", "mc", "mp")
+    met = pairs.join(rows.toDF("id", "v", "mc", "mp"), ["mc", "mp"]).select("id", "v", "qc", "qp", "mc", "mp")
+    found = own.unionByName(asked.groupBy("c", "part", "rc", "rp").cogroup(met.groupBy("qc", "qp", "mc", "mp")).applyInArrow(_block_nearest(k, arrow), schema))
+    best = lambda *by: Window.partitionBy(*by).orderBy("distance", "id")
+    near = found.withColumn("_k", F.row_number().over(best("query_id"))).where(F.col("_k") <= k).select("query_id", F.col("id").alias("rep"), "distance")
+    named = groups.select(F.col("ids")[0].alias("rep"), "ids", F.round(1 - F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("self"))
+    others = near.join(named, "rep").select("query_id", "distance", F.explode("ids").alias("id"))
+    lists = others.unionByName(named.select(F.col("rep").alias("query_id"), F.col("self").alias("distance"), F.explode("ids").alias("id")))
+    lists = lists.withColumn("_k", F.row_number().over(best("query_id"))).where(F.col("_k") <= k + 1).groupBy(F.col("query_id").alias("rep")).agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near"))
+    queries = known.join(groups.select("v", F.col("ids")[0].alias("rep")), "v").select(F.col("id").alias("query_id"), "rep")
+    ranked = queries.join(lists, "rep").select("query_id", F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k).alias("near"))
+    return ranked.select("query_id", F.posexplode("near").alias("at", "n")).select("query_id", "n.id", "n.distance", (F.col("at") + 1).alias("rank"))
 
 
 def similarity_classes(vectors: DataFrame, k: int, least: float) -> DataFrame:

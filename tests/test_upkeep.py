@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +23,46 @@ def test_nearest_of_all_is_brute_force(spark, block_rows):
         assert [(r.distance, r.id) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == best
 
 
+def _nearest_by_hand(rows, k):
+    """Each id's k nearest others from all comparisons."""
+    kept: dict = {}
+    for i, v in rows:
+        if i is not None and v and len(v) == 4 and all(x is not None and np.isfinite(x) for x in v):
+            kept[i] = min(kept.get(i, v), v)
+    ids = sorted(kept)
+    v = np.array([kept[i] for i in ids])
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    u = np.where(size > 0, v / np.where(size > 0, size, 1), 0)
+    distance = np.round(1 - u @ u.T, 6) + 0.0
+    return {(i, j, d, r) for a, i in enumerate(ids) for r, (d, j) in enumerate(sorted((distance[a, b], j) for b, j in enumerate(ids) if b != a)[:k], 1)}
+
+
+@pytest.mark.parametrize(("k", "block_rows"), [(3, 5), (6, 16), (2, 4_096)])
+def test_nearest_of_all_with_copies_nulls_and_clusters(spark, k, block_rows):
+    rng = np.random.default_rng(k)
+    spots = rng.normal(size=(8, 4)) * 5
+    rows = [(i, [float(x) for x in np.round(spots[i % 8] + rng.normal(size=4) * 0.1, 3)]) for i in range(90)]
+    rows += [(100 + i, [1.0, 2.0, 0.0, 0.0]) for i in range(40)] + [(200, [0.0] * 4), (201, [0.0] * 4)]
+    rows += [(7, [0.0, 0.0, 0.0, 9.0]), (8, rows[8][1]), (8, rows[8][1]), (None, [1.0] * 4), (300, None), (301, [1.0, None, 2.0, 3.0]), (302, [1.0, 2.0]), (303, []), (304, [float("nan")] * 4)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").withColumns({"v": F.lit(1), "c": F.lit(1)}).repartition(3)
+    found = {(r.query_id, r.id, round(r.distance, 6), r.rank) for r in nearest.nearest_of_all(df, k, block_rows).collect()}
+    assert found == _nearest_by_hand(rows, k)
+    assert nearest.nearest_of_all(df.where("false"), k).count() == nearest.nearest_of_all(df.where("id = 300"), k).count() == 0
+
+
+def test_bounds_leave_out_blocks_of_other_clusters(spark):
+    rng = np.random.default_rng(9)
+    centres = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    v = np.repeat(centres, 40, axis=0) + rng.normal(size=(640, 16)) * 0.02
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    own = nearest._learnt(v[::3].copy(), 16)
+    apart = nearest._apart(v, own)
+    radius = np.array([apart[apart.argmin(1) == c, c].max(initial=0) for c in range(len(own))])
+    batch = pa.record_batch({"id": pa.array(range(640)), "v": pa.array(v.tolist()), "c": pa.array(apart.argmin(1), pa.int32()), "part": pa.array([0] * 640, pa.int32()), "bound": pa.array(np.sort(1 - v @ v.T, axis=1)[:, 5])})
+    met = sum(b.num_rows for b in nearest._asked(own, radius, np.ones(len(own), int))([batch]))
+    assert met < 640 * (len(own) - 1) / 3  # of the pairs of rows and other blocks
+
+
 def test_similarity_classes(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.02]), (5, [0.0, 2.0])]
     found = nearest.similarity_classes(spark.createDataFrame(rows, "id long, vector array<double>"), 3, 0.9).collect()
