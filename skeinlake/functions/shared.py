@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +35,11 @@ def release(df: DataFrame) -> None:
     context = df.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(df._written_to)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, *order: str | Column, name: str = "n") -> DataFrame:
+    """Rows with consecutive numbers from 1 in an order: a range sort, and the row counts of the partitions before."""
+    placed = written(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_at") + 1).alias(name))
