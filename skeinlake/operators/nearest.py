@@ -48,8 +48,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int | None, skip_self: bo
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def items(vectors: DataFrame) -> DataFrame:
-    """id, v: a unit vector for each id.
+def items(vectors: DataFrame, scaled: bool = True) -> DataFrame:
+    """id, v: a vector for each id, at length one unless ``scaled`` is false.
 
     Rows without an id or a vector, with null or non-finite components, or of another length than
     most rows (of equally frequent lengths, the longer) are left out; an id with several vectors
@@ -59,7 +59,7 @@ def items(vectors: DataFrame) -> DataFrame:
     v = F.col("vector").cast("array<double>")
     good = vectors.where(F.col("id").isNotNull() & F.coalesce((F.size(v) > 0) & F.forall(v, finite), F.lit(False)))
     length = good.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("c")).agg(F.max(F.struct("c", "n"))["n"]).first()[0]
-    return good.where(F.size("vector") == (length or 0)).groupBy("id").agg(F.min(v).alias("_v")).select("id", unit(F.col("_v")).alias("v"))
+    return good.where(F.size("vector") == (length or 0)).groupBy("id").agg(F.min(v).alias("_v")).select("id", (unit(F.col("_v")) if scaled else F.col("_v")).alias("v"))
 
 
 def _side(t: pa.Table) -> tuple[pa.Array, np.ndarray]:

@@ -521,7 +521,8 @@ def learning_centroids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def vector_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.seeded_kmeans(_vectors(spark, sf), 8)
+    """Every vector with one of eight clusters."""
+    return evaluation.kmeans(_vectors(spark, sf), 8)[0]
 
 
 # ---------------------------------------------------------------- retrieval

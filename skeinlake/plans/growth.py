@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlake.operators import consolidation, context, overlap
+from skeinlake.operators import consolidation, context, distillation, overlap
 from skeinlake.plans.catalogue import query
 from skeinlake.plans.derived import table
 
@@ -24,3 +24,40 @@ def graph_placement(spark: SparkSession, sf: str) -> DataFrame:
     weights = consolidation.idf(rows, "id", "entity").withColumnRenamed("idf", "weight")
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     return overlap.placed(orders, rows.join(weights, "entity"), 20, 0.25).links
+
+
+def _log(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as turns (a user's text and the assistant's next to it) and as context entries (what the system said)."""
+    rows = table(spark, sf, "conversations")
+    answer = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    time = lambda c: F.lpad(c.cast("string"), 9, "0")
+    asked = rows.where("role = 'user'").join(answer, ["conv_id", "turn"], "left")
+    turns = asked.select(F.col("conv_id").alias("session"), time(F.col("turn")).alias("time"), F.col("turn").alias("position"), F.col("text").alias("question"), "answer")
+    said = rows.where("role = 'system'").select(F.col("conv_id").alias("session"), time(F.col("turn")).alias("time"), F.col("turn").alias("position"), F.concat(F.lit("s"), F.col("turn").cast("string")).alias("id"), F.lit("chat").alias("profile"), F.lit("system").alias("section"), F.col("text").alias("content"))
+    return turns, said
+
+
+_BATCHES = r"""
+WITH plain AS (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM conversations),
+blocks AS (
+  SELECT q.conv_id, q.turn, 0 AS kind, 'User: ' || q.t[:1200] || chr(10) || 'Assistant: ' || coalesce(a.t, '')[:1200] AS block
+  FROM plain q LEFT JOIN plain a ON a.role = 'assistant' AND a.conv_id = q.conv_id AND a.turn = q.turn + 1
+  WHERE q.role = 'user' AND (q.t <> '' OR coalesce(a.t, '') <> '')
+  UNION ALL SELECT conv_id, turn, 1, 'Candidate s' || turn || ' [chat/system]: ' || t[:280] FROM plain WHERE role = 'system'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, kind, block) - 1 AS k FROM blocks)
+SELECT conv_id AS session, (k // 6)::INT AS batch, count(*) AS blocks, string_agg(block, chr(10) || chr(10) ORDER BY k) AS text FROM placed GROUP BY 1, 2"""
+
+
+@query(_BATCHES)
+def curator_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return distillation.curator_batches(*_log(spark, sf))
+
+
+@query(f"""
+SELECT session, CASE WHEN max(text LIKE '%Candidate s%') THEN 'completed' ELSE 'no_gated_entries' END AS status,
+       count(*) FILTER (text LIKE '%Candidate s%') AS documents
+FROM ({_BATCHES}) GROUP BY 1""")
+def distilled_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """How each session ends if each batch with a candidate gives one lesson and all lessons are accepted."""
+    lessons = lambda batches: batches.where("text like '%Candidate s%'").select("session", F.concat(F.lit("Batch "), F.col("batch").cast("string")).alias("lesson"))
+    return distillation.distilled(*_log(spark, sf), lessons, lambda found: found).select("session", "status", F.size("documents").cast("long").alias("documents"))
