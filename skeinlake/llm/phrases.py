@@ -3,8 +3,8 @@
 Texts are split at ``[.,;:!?\\n-\\r]`` into pieces and pieces at spaces and tabs into words. Words
 found LEAST times or more in their language get a number; a phrase cannot be that frequent
 with a word that isn't, so pieces are broken at all others. Runs of two and three numbers
-are packed into binary keys of one width, counted within blocks of texts, dealt by ranges of
-keys, radix-sorted there and counted by run lengths.
+are packed into binary keys of one width, radix-sorted and counted by run lengths within blocks
+of texts, dealt by ranges of keys, and sorted and counted again there.
 
 1. Blocks: a task turns each run of texts (BLOCK_WORDS words, BLOCK_TYPES different ones) into one
    row: the words' numbers within the block, 0 for a break, and the words with their counts. Texts
@@ -12,8 +12,10 @@ keys, radix-sorted there and counted by run lengths.
 2. Dictionary: counts of all blocks are added by (language, word); the frequent ones get
    consecutive numbers. Each block gets back the numbers of its own words by a join on (language,
    word), so no task needs the whole dictionary.
-3. Keys: each block gives its different keys with their counts; equal keys of all blocks meet in a
-   range. A key takes at most a row from each block, however frequent it is.
+3. Keys: each block cuts its different keys, sorted and counted, at the bounds of ranges, and hands on a
+   row for each range that it has keys in. A range gets a key once from each block at most, however
+   frequent the key is. Bounds come from a bounded sample of blocks and only decide how keys are dealt;
+   beyond RANGES ranges, each is dealt to shares by a hash of the key.
 4. Scores: joins of the frequent phrases with their parts, which are frequent too. The best of each
    language are found by a rank that Spark applies before the shuffle, then by the phrase itself.
 
@@ -30,16 +32,17 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinlake.llm.common import release, whole_text, written
+from skeinlake.llm.common import whole_text, written
 
 LEAST, TOP, DROP_PERCENT = 10, 2_000, 50
 BLOCK_WORDS, BLOCK_TYPES, SLICE_BYTES = 1 << 20, 1 << 17, 1 << 20
-#: Keys with their counts that one range holds on average.
-RANGE_ROWS = 1_000_000
+#: Different keys (of all blocks) that one range, or share of one, holds on average; ranges; and the blocks that bounds are taken from, every so many keys.
+RANGE_KEYS, RANGES, SAMPLE_BLOCKS, SAMPLE_STEP = 500_000, 4_096, 16, 64
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
 _BREAK, _BLANK = 0, 1
@@ -141,55 +144,99 @@ def _packed(runs: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def _binary(keys: np.ndarray) -> pa.Array:
-    offsets = (np.arange(len(keys) + 1) * keys.shape[1]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(keys))])
+def _coded(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Keys and counts byte plane by byte plane: sorted keys change little in the first ones."""
+    planes = np.concatenate([keys.T, counts.astype("<u4").view(np.uint8).reshape(-1, 4).T])
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _keys(width: int) -> Callable:
+def _decoded(payload: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8).reshape(size + 4, -1)
+    return planes[:size].T, np.ascontiguousarray(planes[size:].T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _block_keys(wide, numbers, own, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of a block, in order, with their counts."""
+    local = np.frombuffer(numbers.as_buffer(), np.uint32 if wide.as_py() else np.uint16)
+    table = np.zeros(int(local.max(initial=0)) + 1, np.int64)
+    if own.is_valid:
+        table[own.values.field("k").to_numpy()] = own.values.field("id").to_numpy()
+    x = table[local]
+    two = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
+    three = two[:-1][np.diff(two) == 1] if len(two) else two
+    none = np.zeros(len(two), np.int64)
+    keys = np.concatenate([_packed([x[two], x[two + 1], none], width), _packed([x[three], x[three + 1], x[three + 2]], width)])
+    return run_lengths(keys, np.ones(len(keys), np.int64))
+
+
+def _sampled(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for wide, numbers, own in zip(*batch.columns, strict=True):
-                local = np.frombuffer(numbers.as_buffer(), np.uint32 if wide.as_py() else np.uint16)
-                table = np.zeros(int(local.max(initial=0)) + 1, np.int64)
-                if own.is_valid:
-                    pairs = own.values
-                    table[pairs.field("k").to_numpy()] = pairs.field("id").to_numpy()
-                x = table[local]
-                two = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
-                three = two[:-1][np.diff(two) == 1] if len(two) else two
-                none = np.zeros(len(two), np.int64)
-                keys = np.concatenate([_packed([x[two], x[two + 1], none], width), _packed([x[three], x[three + 1], x[three + 2]], width)])
-                found, n = run_lengths(keys, np.ones(len(keys), np.int64))
-                yield pa.record_batch({"key": _binary(found), "n": pa.array(n)})
+            for row in zip(*batch.columns, strict=True):
+                keys, _ = _block_keys(*row, width)
+                few = keys[SAMPLE_STEP // 2 :: SAMPLE_STEP]
+                yield pa.record_batch({"n": pa.array([len(keys)], pa.int64()), "keys": pa.array([few.tobytes()], pa.binary())})
 
     return run
 
 
-def _counted(width: int, least: int) -> Callable:
+def _as_text(keys: np.ndarray) -> np.ndarray:
+    """Rows of bytes as one comparable value each; all have one width, so that NULs at the end change no order."""
+    return np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").reshape(-1)
+
+
+def _cut(width: int, bounds: np.ndarray, shares: int) -> Callable:
+    """Each block's keys as one row for each range (and share of a range) that they fall into."""
+    text = _as_text(bounds) if len(bounds) else np.zeros(0, "S1")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 3 * width + width % 2
-        keys, counts = [], []
         for batch in batches:
-            column = batch.column(0)
-            data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else np.zeros(0, np.uint8)
-            start = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
-            keys.append(data[start : start + len(column) * size].reshape(-1, size).copy())
-            counts.append(batch.column(1).to_numpy())
-        if keys:
-            found, n = run_lengths(np.concatenate(keys), np.concatenate(counts))
-            found, n = found[n >= least], n[n >= least]
-            ids = []
-            for k in range(3):
-                end = size - (2 - k) * width
-                whole = np.zeros((len(found), 8), np.uint8)
-                whole[:, 8 - width :] = found[:, end - width : end]
-                ids.append(whole.view(">u8").reshape(-1).astype(np.int64))
-            yield pa.record_batch({"w1": pa.array(ids[0]), "w2": pa.array(ids[1]), "w3": pa.array(ids[2]), "a": pa.array(n, pa.int64())})
+            for row in zip(*batch.columns, strict=True):
+                keys, counts = _block_keys(*row, width)
+                edges = np.r_[0, np.searchsorted(_as_text(keys), text, "left") if len(keys) else np.zeros(len(text), int), len(keys)]
+                names, rows = [], []
+                for k in np.flatnonzero(np.diff(edges)):
+                    own, n = keys[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]]
+                    mixed = (own.astype(np.uint64) * np.arange(1, own.shape[1] + 1, dtype=np.uint64) * np.uint64(2654435761)).sum(axis=1) >> np.uint64(7)
+                    share = mixed % np.uint64(shares)
+                    for part in np.unique(share):
+                        names.append(int(k) * shares + int(part))
+                        rows.append(_coded(own[share == part], n[share == part]))
+                yield pa.record_batch({"range": pa.array(names, pa.int64()), "payload": pa.array(rows, pa.binary())})
 
     return run
 
 
+def _counted(width: int, least: int) -> Callable:
+    def run(rows: pa.Table) -> pa.Table:
+        size = 3 * width + width % 2
+        parts = [_decoded(x.as_buffer().to_pybytes(), size) for x in rows.column("payload")]
+        keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros((0, size), np.uint8)
+        found, n = run_lengths(np.ascontiguousarray(keys), np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64))
+        found, n = found[n >= least], n[n >= least]
+        ids = []
+        for k in range(3):
+            end = size - (2 - k) * width
+            whole = np.zeros((len(found), 8), np.uint8)
+            whole[:, 8 - width :] = found[:, end - width : end]
+            ids.append(whole.view(">u8").reshape(-1).astype(np.int64))
+        return pa.table({"w1": pa.array(ids[0]), "w2": pa.array(ids[1]), "w3": pa.array(ids[2]), "a": pa.array(n, pa.int64())})
+
+    return run
+
+
+def _ranges(rows: DataFrame, blocks: int, width: int) -> tuple[np.ndarray, int]:
+    """Bounds between ranges, and the shares that each is dealt to, from the keys of SAMPLE_BLOCKS blocks; they only decide how keys are dealt."""
+    size = 3 * width + width % 2
+    found = rows.mapInArrow(_sampled(width), "n long, keys binary").collect()
+    keys = np.concatenate([np.frombuffer(r["keys"], np.uint8).reshape(-1, size) for r in found] or [np.zeros((0, size), np.uint8)])
+    total = sum(r["n"] for r in found) * blocks / max(1, len(found))
+    want = int(min(RANGES, 1 + total // RANGE_KEYS, len(keys)))
+    keys, _ = run_lengths(keys, np.ones(len(keys), np.int64))
+    at = np.arange(1, want) * len(keys) // max(1, want)
+    return keys[np.unique(at)] if want > 1 else keys[:0], max(1, int(total // (RANGE_KEYS * RANGES)))
+
+
 def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (lang, word, f, id), phrases (w1, w2, w3 or 0, a) found ``least`` times or more, and the words of each language (lang, n)."""
     read = written(blocks(docs), "blocks")
@@ -199,10 +246,12 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     most = words.agg(F.max("id")).first()[0] or 0
     width = max(1, (int(most).bit_length() + 7) // 8)
     known = own.join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("k", "id")).alias("ids"))
-    keys = written(read.join(known, "block", "left").select("wide", "numbers", "ids").mapInArrow(_keys(width), "key binary, n long"), "keys", codec="zstd")
-    ranges = 1 + keys.count() // RANGE_ROWS
-    phrases = written(keys.repartitionByRange(ranges, "key").mapInArrow(_counted(width, least), "w1 long, w2 long, w3 long, a long"), "phrases")
-    release(keys)
+    n = read.count()
+    few = read.select("block").orderBy(F.xxhash64("block")).limit(SAMPLE_BLOCKS)  # a bounded number
+    packed = lambda asked: asked.join(own.join(few, "block", "left_semi").join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("k", "id")).alias("ids")), "block", "left").select("wide", "numbers", "ids")
+    bounds, shares = _ranges(packed(read.join(few, "block", "left_semi")), n, width)
+    keys = read.join(known, "block", "left").select("wide", "numbers", "ids").mapInArrow(_cut(width, bounds, shares), "range long, payload binary")
+    phrases = written(keys.groupBy("range").applyInArrow(_counted(width, least), "w1 long, w2 long, w3 long, a long"), "phrases")
     return words, phrases, totals
 
 

@@ -62,7 +62,7 @@ def test_against_counting(spark, seed, least, top):
 
 def test_blocks_ranges_and_slices_change_nothing(spark, monkeypatch):
     rows = made(5) + [(950, "a b c. " * 500, "en"), (951, "a b c " * 500, "en")]
-    for name, value in (("BLOCK_WORDS", 50), ("BLOCK_TYPES", 9), ("SLICE_BYTES", 64), ("RANGE_ROWS", 40)):
+    for name, value in (("BLOCK_WORDS", 50), ("BLOCK_TYPES", 9), ("SLICE_BYTES", 64), ("RANGE_KEYS", 40), ("RANGES", 5), ("SAMPLE_BLOCKS", 3), ("SAMPLE_STEP", 2)):
         monkeypatch.setattr(phrases, name, value)
     blocks = list(phrases._slices(("a b, " * 200 + "c" * 500 + " d. e").encode()))
     assert b"".join(blocks) == ("a b, " * 200 + "c" * 500 + " d. e").encode().translate(phrases._LOWER) and all(b.endswith(b"\n") for b in blocks[:-1]) and len(blocks) > 10
