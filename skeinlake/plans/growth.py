@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlake.operators import consolidation, context, distillation, overlap
+from skeinlake.operators import consolidation, context, contradictions, distillation, overlap
+from skeinlake.operators.graph import Graph
 from skeinlake.plans.catalogue import query
 from skeinlake.plans.derived import table
 
@@ -61,3 +62,17 @@ def distilled_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """How each session ends if each batch with a candidate gives one lesson and all lessons are accepted."""
     lessons = lambda batches: batches.where("text like '%Candidate s%'").select("session", F.concat(F.lit("Batch "), F.col("batch").cast("string")).alias("lesson"))
     return distillation.distilled(*_log(spark, sf), lessons, lambda found: found).select("session", "status", F.size("documents").cast("long").alias("documents"))
+
+
+@query("""
+WITH facts AS (SELECT l_suppkey AS s, l_returnflag AS flag, bool_or(l_shipdate >= TIMESTAMP '1998-06-01') AS touched FROM lineitem GROUP BY 1, 2),
+pairs AS (SELECT DISTINCT s, least(a.flag, b.flag) AS f, greatest(a.flag, b.flag) AS g FROM facts a JOIN facts b USING (s) WHERE a.touched AND a.flag <> b.flag)
+SELECT 'flag:' || f AS source_id, 'flag:' || g AS target_id, s_name || ' ships as ' || f AS first_fact, s_name || ' ships as ' || g AS second_fact FROM pairs JOIN supplier ON s_suppkey = s""")
+def contradicting_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers ship as one flag only, says the judge; facts that the last months' items touch meet all facts about their supplier."""
+    items, key = table(spark, sf, "lineitem"), lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    edge = (key("supplier:", "l_suppkey").alias("source_id"), key("flag:", "l_returnflag").alias("target_id"), F.lit("ships_as").alias("relationship_name"))
+    nodes = table(spark, sf, "supplier").select(key("supplier:", "s_suppkey").alias("id"), F.col("s_name").alias("name")).unionByName(items.select(edge[1].alias("id"), F.col("l_returnflag").alias("name")).distinct())
+    told = contradictions.facts(Graph(nodes, items.select(*edge)))
+    met = contradictions.batches(told, items.where("l_shipdate >= timestamp'1998-06-01'").select(*edge), ("source_id",))
+    return contradictions.contradicting(met, contradictions.same_subject_other_object).select("source_id", "target_id", "first_fact", "second_fact")

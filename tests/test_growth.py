@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from skeinlake.operators import distillation, evaluation
+from skeinlake.operators import contradictions, distillation, evaluation
+from skeinlake.operators.graph import Graph
 
 
 def clustered(x, k, seed, rounds=50):
@@ -70,3 +71,29 @@ def test_how_sessions_end(spark):
     told = {r.session: (r.status, r.documents) for r in distillation.distilled(turns, entries, propose, accept).collect()}
     assert told == {"long": ("completed", ["lesson 0", "lesson 1"]), "s": ("no_accepted_lessons", []), "only": ("no_proposed_lessons", []), None: ("completed", ["lesson 0"]), "bare": ("no_gated_entries", [])}
     assert distillation.distilled(turns.where("false"), entries.where("false"), propose, accept).count() == 0
+
+
+@pytest.mark.parametrize(("per", "by"), [(2, ("source_id", "target_id")), (100, ("source_id", "target_id")), (3, ("source_id",))])
+def test_every_pair_of_a_touched_fact_meets_once(spark, per, by):
+    rng = np.random.default_rng(per)
+    ids = [f"n{i}" for i in range(9)]
+    edges = sorted({(ids[a], ids[b], r) for a, b, r in zip(rng.integers(0, 4, 60), rng.integers(0, 9, 60), rng.choice(["owns_it", "is", "contains"], 60), strict=True)})
+    load = edges[::3]
+    graph = Graph(spark.createDataFrame([(i, None if i == "n8" else "" if i == "n7" else i.upper()) for i in ids], "id string, name string"), spark.createDataFrame(edges + edges[:4] + [(None, "n1", "is"), ("n1", "n2", None)], "source_id string, target_id string, relationship_name string"))
+    told = contradictions.facts(graph)
+    known = [e for e in edges if e[2] != "contains" and not {e[0], e[1]} & {"n7", "n8"}]
+    assert {(r.source_id, r.target_id, r.relationship_name): r.fact for r in told.collect()} == {e: f"{e[0].upper()} {e[2].replace('_', ' ')} {e[1].upper()}" for e in known}
+    met = contradictions.batches(told, spark.createDataFrame(load, "source_id string, target_id string, relationship_name string"), by, per)
+    assert all(len(r.touched) <= per and len(r.others) <= per for r in met.collect())
+    every = lambda m: m.selectExpr("explode(touched) as first", "others").selectExpr("first", "explode(others) as second", "0.5 as confidence", "'r' as reason")
+    found = contradictions.contradicting(met, every, 0.4).collect()
+    text = {e: f"{e[0].upper()} {e[2].replace('_', ' ')} {e[1].upper()}" for e in known}
+    ends = lambda e: {e[0]} if len(by) == 1 else {e[0], e[1]}
+    want = set()
+    for a in known:
+        for b in known:
+            if a in load and a != b and ends(a) & ends(b) and (a[0], a[1]) != (b[0], b[1]):
+                x, y = sorted([a, b])
+                want.add((x[0] if x[0] != y[0] else x[1], y[0] if x[0] != y[0] else y[1], text[x], text[y]))
+    assert sorted((r.source_id, r.target_id, r.first_fact, r.second_fact) for r in found) == sorted(want)
+    assert contradictions.contradicting(met, every, 0.6).count() == 0 and contradictions.batches(told.where("false"), graph.edges).count() == 0
