@@ -41,15 +41,22 @@ SHORT_LINE = 6
 # fixed values: phrases of notices that are no part of a text
 BOILERPLATE = re.compile(
     rb"cookie policy|use of cookies|we use cookies|uses cookies|accept cookies|enable javascript|javascript is disabled|requires javascript"
-    rb"|all rights reserved|terms of use|terms of service|privacy policy|copyright \(c\)|\xc2\xa9"
-    rb"|sign in|log in to|sign up|subscribe to our|follow us on|share this|read more|click here|powered by"
-    rb"|licensed under|permission is hereby granted|spdx-license-identifier"
+    rb"|all rights reserved|copyright \(c\)|\xc2\xa9|licensed under|permission is hereby granted|spdx-license-identifier"
 )
+# fixed values: phrases of links and buttons, which whole sentences may use as well
+INVITING = re.compile(rb"terms of use|terms of service|privacy policy|sign in|log in to|sign up|subscribe to our|follow us on|share this|read more|click here|powered by")
+SENTENCE = 12
 _END = re.compile(rb"[.!?:;][\"')\]]*$|(?:\xe2\x80\xa6|\xc2\xbb|\xe2\x80\x9d|\xe3\x80\x82)$")
-_DECOR = re.compile(rb"(?:[#*$%&|<>~^=]{2,}|!{2,})[.,;:?!]*$")
+_DECOR = frozenset(b"#*$%&|<>~^=")
 _SEPARATOR = frozenset([b"|", b">", b"<", b"/", b"\xc2\xbb", b"\xe2\x80\xba", b"\xc2\xb7", b"\xe2\x80\xa2", b"-", b"*"])
 
 
+def decorated(word: bytes) -> bool:
+    """Whether a word ends in two marks of decoration, or in several exclamation marks, before its stops; looks at its end only."""
+    bare = word.rstrip(b".,;:?!")
+    return len(bare) > 1 and bare[-1] in _DECOR and bare[-2] in _DECOR or b"!!" in word[len(bare) :]
+
+
 def unfinished(words: list[bytes]) -> bool:
     """Whether a line looks like a menu entry or a heading: few words and no end of sentence."""
     return len(words) < SHORT_LINE and not _END.search(words[-1])
@@ -63,9 +70,9 @@ def line_fails(words: list[bytes], last: bool = False) -> str:
     n = len(words)
     if 3 * sum(w in _SEPARATOR for w in words) >= n and n >= 3:
         return "navigation"
-    if n <= 40 and BOILERPLATE.search(line.lower()):
+    if n <= 40 and (BOILERPLATE.search(low := line.lower()) or INVITING.search(low) and (n < SENTENCE or not _END.search(words[-1]))):
         return "boilerplate"
-    if 10 * sum(_DECOR.search(w) is not None for w in words) >= 3 * n:
+    if 10 * sum(map(decorated, words)) >= 3 * n:
         return "decorated"
     if n >= LONG_LINE and not last and not _END.search(words[-1]):
         return "no_end"

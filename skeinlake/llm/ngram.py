@@ -43,6 +43,8 @@ from skeinlake.llm.common import crc_fold, whole_text
 WEIGHTS = (1600.0, 10.0)
 #: Text of a block, in bytes; what a Python worker holds is a small multiple.
 BLOCK_BYTES = 8 << 20
+#: Tasks that blocks and ranges are dealt to at most.
+MOST_TASKS = 20_000
 HELD_OUT = 1
 ORDERS = ("one", "two", "three")
 BITS = {"one": 64, "two": 48, "three": 48}
@@ -77,10 +79,12 @@ def _grams(tokens: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
     return {"one": tokens, "two": pairs >> short, "three": _mixed(earlier ^ np.uint64(0x94D049BB133111EB), pairs) >> short}
 
 
-def _cuts(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
-    """Where each range of hashes of so many bits begins in the sorted keys, and their number."""
-    edges = [(k << bits) // ranges for k in range(1, ranges)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
+def _cuts(keys: np.ndarray, ranges: int, bits: int) -> dict[int, tuple[int, int]]:
+    """From and to, in sorted keys of so many bits, of each range of hashes that has any."""
+    if not len(keys):
+        return {}
+    found, starts = np.unique((keys >> np.uint64(bits - 32)) * np.uint64(ranges) >> np.uint64(32), return_index=True)
+    return dict(zip(found.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True), strict=True))
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -119,16 +123,17 @@ def _asked(ranges: int):
         tokens, sizes = _hashes(_block_rows(table))
         trained = np.repeat(~table.column("held_out").to_numpy().astype(bool), sizes)
         block = table.column("block")[0].as_py()
-        columns: dict[str, list] = {"block": [block] * ranges, "range": list(range(ranges))}
-        some = np.zeros(ranges, bool)
+        held = {}
         for name, keys in _grams(tokens, sizes).items():
             known, place = np.unique(keys, return_inverse=True)
-            n = np.bincount(place[trained], minlength=len(known))
-            cuts = _cuts(known, ranges, BITS[name])
-            some |= np.diff(cuts) > 0
-            columns[f"{name}_keys"] = [_packed(known[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            columns[f"{name}_n"] = [_squeezed(n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pa.table(columns, schema=pa.schema([("block", pa.int64()), ("range", pa.int64()), *((f"{k}_{x}", pa.binary()) for k in ORDERS for x in ("keys", "n"))])).filter(pa.array(some))
+            held[name] = (known, np.bincount(place[trained], minlength=len(known)), _cuts(known, ranges, BITS[name]))
+        met = sorted(set().union(*(cuts for _, _, cuts in held.values())))
+        columns: dict[str, list] = {"block": [block] * len(met), "range": met}
+        for name, (known, n, cuts) in held.items():
+            spans = [cuts.get(r, (0, 0)) for r in met]
+            columns[f"{name}_keys"] = [_packed(known[a:b]) for a, b in spans]
+            columns[f"{name}_n"] = [_squeezed(n[a:b]) for a, b in spans]
+        return pa.table(columns, schema=pa.schema([("block", pa.int64()), ("range", pa.int64()), *((f"{k}_{x}", pa.binary()) for k in ORDERS for x in ("keys", "n"))]))
 
     return run
 
@@ -246,12 +251,13 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, weights: tuple[float,
     chosen = docs.select("doc_id", whole_text().alias("text"), (crc_fold() == HELD_OUT).alias("held_out"))
     size = chosen.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     blocks = 1 + ((size[0] or 0) + 16 * size[1]) // block_bytes
-    dealt = chosen.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))).repartition(blocks, "block")
+    tasks = min(blocks, MOST_TASKS)  # a task may hold several blocks or ranges, one after the other
+    dealt = chosen.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))).repartition(tasks, "block")
     packed = lambda x: ", ".join(f"{k}_{n} binary" for k in ORDERS for n in x)
     asked = dealt.groupBy("block").applyInArrow(_asked(blocks), f"block long, range long, {packed(('keys', 'n'))}")
     # both read one exchange; the totals are a single row
-    ranged = asked.repartition(blocks, "range").groupBy("range")
+    ranged = asked.repartition(tasks, "range").groupBy("range")
     totals = ranged.applyInArrow(_totals, "tokens long, types long").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
     answered = ranged.applyInArrow(_answered, f"block long, range long, {packed(('total',))}").crossJoin(F.broadcast(totals))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(answered.repartition(blocks, "block").groupBy("block")).applyInArrow(lambda block, answers: _walked(block, answers, weights), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("block").cogroup(answered.repartition(tasks, "block").groupBy("block")).applyInArrow(lambda block, answers: _walked(block, answers, weights), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

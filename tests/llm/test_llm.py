@@ -674,3 +674,26 @@ def test_pipeline_stages_of_odd_rows(spark, rows):
     if rows:
         assert len(corpus_pipeline.benchmark_filter(spark, docs, str(SF)).collect()) == len(rows)
         assert sorted((str(r.doc_id), str(r.text)) for r in corpus_pipeline.pii_redaction(spark, docs, str(SF)).collect()) == sorted((str(i), str(t)) for i, t in rows)
+
+
+def test_decoration_is_told_from_the_end_of_a_word():
+    assert all(map(linerules.decorated, (b"##", b"a**", b"x!!", b"a!!.", b"##,.?", b"!!,!", b"a<>;")))
+    assert not any(map(linerules.decorated, (b"", b"a", b"#", b"a#", b"x!", b"!,!", b"##a", b"a.,")))
+    assert linerules.line_fails([b"*" * 3_000_000 + b"a", b"word"]) == ""
+
+
+def test_sentences_may_speak_of_links():
+    prose = b"They tell their readers to click here whenever the privacy policy of a service has been changed in the last year.".split()
+    assert linerules.line_fails(prose) == "" and linerules.line_fails(prose[:-1] + [b"year"]) == "boilerplate"
+    assert linerules.line_fails(b"Click here to read more.".split()) == "boilerplate"
+
+
+def test_ranges_are_visited_where_keys_are():
+    rng = np.random.default_rng(3)
+    for bits in (48, 64):
+        keys = np.unique(rng.integers(0, 1 << bits, 500, dtype=np.uint64))
+        for ranges in (1, 7, 1 << 31):
+            cuts = ngram._cuts(keys, ranges, bits)
+            assert len(cuts) <= min(ranges, len(keys)) and list(cuts) == sorted(cuts) and max(cuts) < ranges
+            assert [x for a, b in cuts.values() for x in range(a, b)] == list(range(len(keys)))
+    assert ngram._cuts(keys[:0], 9, 64) == {}
