@@ -61,7 +61,7 @@ def hierarchy(rows, most, threshold):
         links = gathered(unit, level, most)
 
 
-@pytest.mark.parametrize(("n", "most", "threshold", "block", "kept"), [(80, 4, 0.3, 16, 2), (100, 10, 0.8, 50, 3), (60, 3, 0.05, 2_048, 8), (36, 6, 2.0, 7, 1)])
+@pytest.mark.parametrize(("n", "most", "threshold", "block", "kept"), [(48, 4, 0.3, 16, 2), (60, 10, 0.8, 2_048, 3), (12, 6, 2.0, 4, 1)])
 def test_placing_is_the_fold(spark, n, most, threshold, block, kept):
     rows = made(n, n + most)
     vectors = context.usable(spark.createDataFrame(rows, VECTORS).repartition(3))
