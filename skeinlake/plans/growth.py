@@ -1,14 +1,16 @@
-"""Registered queries of what grows: hierarchies, placements, batches, clusters, contradictions."""
+"""Registered queries of what grows: hierarchies, placements, batches, clusters, contradictions, references, languages, retrieval in rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlake.operators import consolidation, context, contradictions, distillation, overlap
+from skeinlake.operators import consolidation, context, contradictions, distillation, language, overlap, references
 from skeinlake.operators.graph import Graph
+from skeinlake.plans import loops
 from skeinlake.plans.catalogue import query
-from skeinlake.plans.derived import table
+from skeinlake.plans.derived import graph as derived_graph
+from skeinlake.plans.derived import sql_graph, table
 
 
 @query()
@@ -76,3 +78,112 @@ def contradicting_facts(spark: SparkSession, sf: str) -> DataFrame:
     told = contradictions.facts(Graph(nodes, items.select(*edge)))
     met = contradictions.batches(told, items.where("l_shipdate >= timestamp'1998-06-01'").select(*edge), ("source_id",))
     return contradictions.contradicting(met, contradictions.same_subject_other_object).select("source_id", "target_id", "first_fact", "second_fact")
+
+
+_FOLD = r"""lower(trim(regexp_replace(translate({}, '‘’“”', '''''""'), '[[:cntrl:]\s]+', ' ', 'g')))"""
+_QUOTED = f"""
+WITH asked AS (SELECT item_id, {_FOLD.format("text")} AS q FROM benchmark), held AS (SELECT doc_id, {_FOLD.format("text")} AS t FROM documents)
+SELECT DISTINCT doc_id, item_id FROM asked JOIN held ON contains(t, q) WHERE q <> ''"""
+
+
+def _passages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("passage"), "text")
+
+
+@query(_QUOTED)
+def quoted_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a benchmark item word by word, after folding."""
+    items = table(spark, sf, "benchmark").select("item_id", references.folded_quote(F.col("text")).alias("phrase"))
+    return references.phrase_matches(_passages(spark, sf), items.select(F.col("phrase").alias("text"))).join(items, "phrase").select(F.col("passage").alias("doc_id"), "item_id").distinct()
+
+
+@query(r"""
+WITH cited AS (SELECT conv_id, turn, lower(trim(regexp_replace(text, '[[:cntrl:]\s]+', ' ', 'g'))) AS t FROM conversations WHERE role <> 'user'),
+quotes AS (SELECT conv_id, turn, lower(trim(regexp_replace(text, '[[:cntrl:]\s]+', ' ', 'g'))) AS t FROM conversations WHERE role = 'user'),
+part AS (SELECT conv_id, turn, array_to_string(string_split(t, ' ')[1:2], ' ') AS q FROM quotes)
+SELECT DISTINCT c.conv_id, c.turn AS span, p.turn AS assertion FROM cited c JOIN part p ON c.conv_id = p.conv_id AND contains(c.t, p.q) WHERE p.q <> ''""")
+def anchored_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns that hold the first two words of one of the conversation's questions."""
+    rows = table(spark, sf, "conversations")
+    first = F.array_join(F.slice(F.split(references.folded_quote(F.col("text")), " "), 1, 2), " ")
+    asked = rows.where("role = 'user'").select(F.col("conv_id").alias("document"), F.col("turn").alias("id"), first.alias("quote"))
+    spans = rows.where("role <> 'user'").select(F.col("conv_id").alias("document"), F.col("turn").alias("span"), "text")
+    return references.anchored(spans, asked).select(F.col("document").alias("conv_id"), "span", F.col("id").alias("assertion"))
+
+
+_NAMES = f"SELECT p_partkey::VARCHAR AS id, {_FOLD.format('p_name')} AS q FROM part"
+_WORDS = r"list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'))"
+
+
+@query(f"""
+WITH refs AS (SELECT 'part' || p_partkey AS reference, p_name AS text FROM part UNION ALL SELECT 'item' || item_id, text FROM benchmark),
+folded AS (SELECT reference, text, {_FOLD.format("text")} AS q FROM refs),
+named AS (SELECT reference, count(DISTINCT id) AS targets, min(id) AS target FROM folded JOIN ({_NAMES}) n USING (q) WHERE q <> '' GROUP BY 1),
+rest AS (SELECT * FROM folded WHERE reference NOT IN (SELECT reference FROM named)),
+quoted AS (SELECT reference, count(DISTINCT doc_id) AS targets, min(doc_id::VARCHAR) AS target FROM rest JOIN (SELECT doc_id, {_FOLD.format("text")} AS t FROM documents) d ON contains(t, q) WHERE q <> '' GROUP BY 1),
+last AS (SELECT reference, {_WORDS.format("text")} AS w FROM rest WHERE reference NOT IN (SELECT reference FROM quoted)),
+asked AS (SELECT reference, len(w) AS size, unnest(w) AS word FROM last),
+held AS (SELECT doc_id::VARCHAR AS id, unnest({_WORDS.format("text")}) AS word FROM documents),
+shared AS (SELECT reference, id, size, count(*) AS n FROM asked JOIN held USING (word) GROUP BY ALL HAVING 2 * count(*) >= size),
+lexical AS (SELECT reference, id AS target FROM shared QUALIFY row_number() OVER (PARTITION BY reference ORDER BY n DESC, id) = 1)
+SELECT reference, CASE WHEN targets > 1 THEN 'ambiguous' ELSE 'resolved' END AS outcome, 'entity_name' AS strategy, CASE WHEN targets = 1 THEN target END AS target, targets FROM named
+UNION ALL SELECT reference, 'resolved', 'quote', target, targets FROM quoted
+UNION ALL SELECT reference, 'resolved', 'lexical', target, 1 FROM lexical
+UNION ALL SELECT reference, 'unresolved', NULL, NULL, 0 FROM last WHERE reference NOT IN (SELECT reference FROM lexical)""")
+def reference_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names and benchmark items as references: to a part of that name, a document that quotes them, or that shares most words."""
+    parts = table(spark, sf, "part")
+    refs = parts.select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("reference"), F.col("p_name").alias("text"))
+    refs = refs.unionByName(table(spark, sf, "benchmark").select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("reference"), "text"))
+    nodes = parts.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))
+    passages = _passages(spark, sf).withColumn("passage", F.col("passage").cast("string"))
+    steps = [references.by_id(nodes), references.by_name(nodes), references.by_quote(passages), references.by_words(passages)]
+    return references.cascade(refs, steps).drop("confidence")
+
+
+@query(r"""
+WITH coded AS (SELECT doc_id, lang, list_transform(string_split(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')) || ' ', ''), lambda x: unicode(x)::BIGINT) AS c FROM documents),
+met AS (SELECT doc_id, lang, c, unnest(range(2, len(c))) AS i FROM coded),
+cells AS (SELECT doc_id, lang, ((c[i - 1] * 31 + c[i]) * 31 + c[i + 1]) % 4096 AS cell FROM met WHERE c[i] <> 32),
+counts AS (SELECT lang, cell, count(*) AS n FROM cells WHERE lang IS NOT NULL AND doc_id % 5 > 1 GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY 1),
+logs AS (SELECT t.lang, g.cell, round(ln((coalesce(n, 0) + 0.5::DOUBLE) / (total + 0.5::DOUBLE * 4096)) * 1000)::BIGINT AS v FROM totals t CROSS JOIN (SELECT unnest(range(4096)) AS cell) g LEFT JOIN counts k ON k.lang = t.lang AND k.cell = g.cell),
+scores AS (SELECT doc_id, l.lang, sum(v)::BIGINT AS score, count(*) AS triples FROM cells d JOIN logs l USING (cell) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER w AS k, score - lead(score) OVER w AS margin FROM scores WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, lang))
+SELECT d.doc_id, d.doc_id % 5 = 0 AS held_out, CASE WHEN triples >= 5 THEN r.lang ELSE 'unknown' END AS detected_lang, CASE WHEN triples >= 5 THEN coalesce(margin, 0) ELSE 0 END AS margin
+FROM documents d LEFT JOIN ranked r ON r.doc_id = d.doc_id AND r.k = 1""")
+def detected_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of every document by profiles learnt on three folds of five and calibrated on one."""
+    rows = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    fold = F.pmod("doc_id", F.lit(5))
+    model = language.fit(rows.where(fold > 1), rows.where(fold == 1))
+    return language.detected(rows, model).select("doc_id", (fold == 0).alias("held_out"), "detected_lang", "margin")
+
+
+@query(f"""
+WITH {sql_graph(("region", "nation", "customer", "supplier"))}
+SELECT target_id AS query_id, source_id, target_id, relationship_name, 0 AS round FROM edges WHERE relationship_name = 'in_region'
+UNION ALL SELECT r.target_id, e.source_id, e.target_id, e.relationship_name, 1 FROM edges r JOIN edges e ON e.target_id = r.source_id WHERE r.relationship_name = 'in_region'""")
+def extended_context(spark: SparkSession, sf: str) -> DataFrame:
+    """From each region: the triplets at it, then at the ends of those, until no round brings anything new."""
+    known = derived_graph(spark, sf, ("region", "nation", "customer", "supplier"))
+    asked = known.nodes.where("type = 'region'").select(F.col("id").alias("query_id"), "id")
+    return loops.extended(asked, loops.at_nodes(known.edges), loops.ends_of_new)
+
+
+@query(f"""
+WITH {sql_graph(("region", "nation", "customer", "supplier"))}, parts AS (SELECT n_regionkey AS q, n_nationkey AS part FROM nation)
+SELECT 'region:' || q AS query_id, source_id, target_id, relationship_name, min(part)::BIGINT AS part FROM parts JOIN edges ON 'nation:' || part IN (source_id, target_id) GROUP BY ALL""")
+def decomposed_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """A region's question in parts, one for each of its nations; each triplet once, with the first part that finds it."""
+    known = derived_graph(spark, sf, ("region", "nation", "customer", "supplier"))
+    parts = table(spark, sf, "nation").select(F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("query_id"), F.col("n_nationkey").cast("long").alias("part"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"))
+    return loops.decomposed(parts, loops.at_nodes(known.edges))
+
+
+@query()
+def extended_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Centroids per label from the vectors with an odd id, extended by all vectors."""
+    rows = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    first = consolidation.extended_centroids(None, rows.where("id % 2 = 1"), 3)
+    return consolidation.extended_centroids(first, rows, 3)[0]
