@@ -42,7 +42,7 @@ def related(facts: DataFrame, edges: DataFrame, relationship: str) -> DataFrame:
     return facts.join(out, "id", "left_semi")
 
 
-def paged(facts: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:
+def paged(facts: DataFrame, order: Sequence[str | Column], offset: int, limit: int) -> DataFrame:
     """A page in a total order, each row with the number of all matches and whether more follow."""
     total = facts.agg(F.count("*").alias("total"))
     page = facts.orderBy(*order).offset(offset).limit(limit)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinlake.functions.weights import FEEDBACK_RATE, feedback_step, idle_decay, rating
+from skeinlake.operators.codefacts import paged
 
 
 def latest(rows: DataFrame, key: str, order: list[Column | str], n: int = 1) -> DataFrame:
@@ -26,6 +27,26 @@ def effective_status(status: Column, last_seen: Column, now: Column, idle_second
     return F.when((status == "running") & idle, F.lit("abandoned")).otherwise(status)
 
 
+def listed(rows: DataFrame, owners: DataFrame | None = None, datasets: DataFrame | None = None, since: Column | None = None, status: str | None = None, order: str = "last_activity_at", descending: bool = True, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of sessions (session_id, user_id, dataset_id, last_activity_at, effective_status, ...) with the number of all that match.
+
+    Seen are sessions of ``owners`` (user_id) or of ``datasets`` (dataset_id); without both, all. Rows without
+    a value to sort by come last; ties go by session_id.
+    """
+    if owners is not None or datasets is not None:
+        seen = F.lit(False)
+        for ids, key in ((owners, "user_id"), (datasets, "dataset_id")):
+            if ids is not None:
+                rows = rows.join(ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn(f"_{key}", F.lit(True)), key, "left")
+                seen = seen | F.coalesce(F.col(f"_{key}"), F.lit(False))
+        rows = rows.where(seen).drop("_user_id", "_dataset_id")
+    if since is not None:
+        rows = rows.where(F.col("last_activity_at") >= since)
+    if status is not None:
+        rows = rows.where(F.col("effective_status") == status)
+    return paged(rows, [F.desc_nulls_last(order) if descending else F.asc_nulls_last(order), F.asc("session_id")], offset, limit)
+
+
 def ratings(rows: DataFrame) -> DataFrame:
     """qa_id, score: the last valid rating (1 to 5) of each turn by ``position``."""
     return rows.where(F.col("score").between(1, 5)).groupBy("qa_id").agg(F.max_by("score", "position").alias("score"))

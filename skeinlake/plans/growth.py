@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlake.operators import consolidation, context, contradictions, distillation, language, overlap, references
+from skeinlake.operators import consolidation, context, contradictions, distillation, extracted, language, overlap, references, sessions
 from skeinlake.operators.graph import Graph
-from skeinlake.plans import loops
+from skeinlake.plans import loops, upkeep
 from skeinlake.plans.catalogue import query
 from skeinlake.plans.derived import graph as derived_graph
 from skeinlake.plans.derived import sql_graph, table
@@ -187,3 +187,70 @@ def extended_centroids(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     first = consolidation.extended_centroids(None, rows.where("id % 2 = 1"), 3)
     return consolidation.extended_centroids(first, rows, 3)[0]
+
+
+@query()
+def capped_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Similar vectors linked best first, three links a vector at most."""
+    pairs = upkeep.similar_pairs(spark, sf).select(F.lit("all").alias("group"), F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("similarity").alias("score"))
+    return consolidation.capped_per_node(pairs, 3)
+
+
+@query("""
+WITH s AS (SELECT user_id, max(ts) AS last_activity_at, count(*) AS calls, CASE WHEN bool_or(event_type = 'error') THEN 'failed' ELSE 'completed' END AS effective_status FROM events GROUP BY 1),
+seen AS (SELECT * FROM s WHERE (user_id % 3 = 0 OR user_id % 7 = 2) AND effective_status = 'failed')
+SELECT user_id::VARCHAR AS session_id, calls, (SELECT count(*) FROM seen) AS total FROM seen ORDER BY calls DESC, user_id::VARCHAR LIMIT 20 OFFSET 5""")
+def session_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The sixth to twenty-fifth of the failed sessions that three owners in nine or one data set in seven make visible, most calls first."""
+    events = table(spark, sf, "events")
+    rows = events.groupBy("user_id").agg(F.max("ts").alias("last_activity_at"), F.count("*").alias("calls"), F.when(F.bool_or(F.col("event_type") == "error"), "failed").otherwise("completed").alias("effective_status"))
+    rows = rows.withColumn("session_id", F.col("user_id").cast("string")).withColumn("dataset_id", F.pmod("user_id", F.lit(7)))
+    owners = events.select("user_id").distinct().where("user_id % 3 = 0")
+    return sessions.listed(rows, owners, rows.select("dataset_id").where("dataset_id = 2"), None, "failed", "calls", True, 5, 20).select("session_id", "calls", "total")
+
+
+def _read_graphs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges that each order tells (supplier ships part), and an ontology of the large parts' names."""
+    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("source_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target_id"), F.lit("ships").alias("relationship_name"), "l_suppkey", "l_partkey")
+    suppliers, parts = table(spark, sf, "supplier"), table(spark, sf, "part")
+    nodes = items.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select("chunk", F.col("source_id").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("type"))
+    nodes = nodes.unionByName(items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("chunk", F.col("target_id").alias("id"), F.col("p_name").alias("name"), F.lit("part").alias("type")))
+    ontology = parts.where("p_size > 25").select(F.concat(F.lit("term:"), F.col("p_partkey").cast("string")).alias("id"), F.upper("p_name").alias("name"))
+    return nodes, items.select("chunk", "source_id", "target_id", "relationship_name"), ontology
+
+
+_READ = """
+onto AS (SELECT lower(p_name) AS key, min('term:' || p_partkey) AS term FROM part WHERE p_size > 25 GROUP BY 1),
+terms AS (SELECT p_partkey, term FROM part LEFT JOIN onto ON lower(p_name) = key),
+items AS (SELECT DISTINCT l_orderkey AS chunk, l_suppkey, l_partkey, term FROM lineitem JOIN terms ON p_partkey = l_partkey)"""
+
+
+@query(f"""
+WITH {_READ}
+SELECT chunk, count(DISTINCT l_suppkey) + count(DISTINCT l_partkey) AS nodes, count(DISTINCT l_suppkey) + count(DISTINCT l_partkey) FILTER (term IS NULL) AS dropped_nodes, count(*) AS edges, count(*) AS dropped_edges FROM items GROUP BY 1""")
+def strict_ontology_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What an ontology of part names drops in each order's graph: all suppliers, and so all edges."""
+    return extracted.canonical(*_read_graphs(spark, sf), strict=True).counts
+
+
+@query(f"""
+WITH {_READ},
+moved AS (SELECT DISTINCT chunk, 'supplier:' || l_suppkey AS source_id, coalesce(term, 'part:' || l_partkey) AS target_id FROM items),
+owned AS (SELECT source_id, target_id, 'ships' AS relationship_name FROM moved UNION SELECT chunk::VARCHAR, source_id, 'contains' FROM moved UNION SELECT chunk::VARCHAR, target_id, 'contains' FROM moved)
+SELECT * FROM owned EXCEPT SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'ships' FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01'""")
+def integrated_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges that all orders' graphs add to those of the years before 1995, with parts under their terms."""
+    nodes, edges, ontology = _read_graphs(spark, sf)
+    told = extracted.canonical(nodes, edges, ontology)
+    old = table(spark, sf, "lineitem").where("l_shipdate < timestamp'1995-01-01'").select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("source_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target_id"), F.lit("ships").alias("relationship_name"))
+    return extracted.integrated(told.nodes, told.edges, old)[0].edges
+
+
+@query("""
+WITH held AS (SELECT n_nationkey, n_regionkey FROM nation), inner_nodes AS (SELECT c_nationkey AS n, 'customer:' || c_custkey AS id FROM customer UNION ALL SELECT s_nationkey, 'supplier:' || s_suppkey FROM supplier)
+SELECT DISTINCT 'region:' || n_regionkey AS source_id, id AS target_id, 'holds' AS relationship_name FROM held JOIN inner_nodes ON n = n_nationkey""")
+def unwrapped_nations(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as containers: regions hold what their nations hold."""
+    known = derived_graph(spark, sf, ("region", "nation", "customer", "supplier"))
+    down = known.edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.lit("holds").alias("relationship_name"))
+    return extracted.unwrapped(Graph(known.nodes, down), known.nodes.where("type = 'nation'")).edges
