@@ -74,13 +74,24 @@ def _first_grams(grams: DataFrame, counts: DataFrame) -> DataFrame:
 def close(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """word, key, ratio: for each word (column key) the nearest key of the vocabulary with a ratio of 0.8 or more; ties to the greatest key.
 
-    The ratio is difflib's. Only pairs that share one of their rarest pairs of letters, and whose lengths allow the ratio, are compared.
+    The ratio is difflib's. Only pairs that share one of their rarest pairs of letters, and whose lengths allow the ratio,
+    are candidates. Common pairs bound a candidate's ratio (T letters, g common pairs: 2 (g + T + 1) / 3 T); a word's candidate
+    with the best bound is compared first, then those whose bound is not below what that one has.
     """
     w, v = words.select("key").where("key <> ''").distinct(), vocabulary.select("key").where("key <> ''").distinct()
     gw, gv = _grams(w), _grams(v)
     counts = gw.unionByName(gv).where("not short").groupBy("gram").agg(F.count("*").alias("count"))
+    all_of = lambda keys, grams, name: keys.join(grams.where("not short").groupBy("key").agg(F.collect_list("gram").alias("grams")), "key", "left").select(F.col("key").alias(name), F.coalesce("grams", F.array().cast("array<string>")).alias(f"{name}_grams"))
     pairs = _first_grams(gw, counts).withColumnRenamed("key", "word").join(_first_grams(gv, counts), "gram").where("least(length(word), length(key)) * 2.5 >= length(word) + length(key)")
-    scored = pairs.select("word", "key").distinct().withColumn("ratio", _ratio("key", "word")).where("ratio >= 0.8")
+    total = F.length("word") + F.length("key")
+    common = F.size(F.array_intersect("word_grams", "key_grams"))
+    bound = F.least(2 * (common + total + 1) / (3 * total), 2 * F.least(F.length("word"), F.length("key")) / total)
+    bounded = pairs.select("word", "key").distinct().join(all_of(w, gw, "word"), "word").join(all_of(v, gv, "key"), "key").select("word", "key", bound.alias("bound"))
+    candidates = written(bounded.where(F.col("bound") >= 0.8 - 1e-9), "close")
+    first = candidates.groupBy("word").agg(F.max_by("key", "bound").alias("key")).withColumn("ratio", _ratio("key", "word"))
+    first = written(first, "close-first")
+    rest = candidates.join(first.select("word", F.col("key").alias("_key"), F.col("ratio").alias("_ratio")), "word").where((F.col("bound") >= F.col("_ratio") - 1e-9) & (F.col("key") != F.col("_key")))
+    scored = first.unionByName(rest.select("word", "key", _ratio("key", "word").alias("ratio"))).where("ratio >= 0.8")
     return scored.groupBy("word").agg(F.max(F.struct("ratio", "key")).alias("best")).select("word", "best.key", "best.ratio")
 
 
