@@ -134,3 +134,26 @@ def test_buckets_look_only_at_items_that_share():
     consolidation.buckets(items, 5, 0.05)
     out = items.run(pd.DataFrame({"group": "g", "id": [f"i{k}" for k in range(600)], "entities": [[(Entity(f"e{k // 3}"), 1.0)] for k in range(600)]}))
     assert out["bucket"].nunique() == 200 and len(looked) < 600 * 30
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 7, None])
+def test_pagerank_is_the_plain_power_method(spark, rounds):
+    rng = random.Random(11)
+    ids = [f"n{i}" for i in range(25)]
+    edges = {(rng.choice(ids[:12]), rng.choice([*ids, "elsewhere"])) for _ in range(50)} | {("stranger", "n1")}
+    frame = spark.createDataFrame([(a, b, r) for a, b in edges for r in "xy"], "source_id string, target_id string, relationship_name string")
+    found = {r.id: r["rank"] for r in traversal.pagerank(graph.Graph(spark.createDataFrame([(i,) for i in ids], "id string"), frame), rounds, tolerance=1e-12).collect()}
+    out = {i: [b for a, b in edges if a == i] for i in ids}
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(200 if rounds is None else rounds):
+        base = (0.15 + 0.85 * sum(rank[i] for i in ids if not out[i])) / len(ids)
+        rank = {i: base + 0.85 * sum(rank[a] / len(out[a]) for a in ids if i in out[a]) for i in ids}
+    assert found == pytest.approx(rank, abs=1e-11)
+
+
+def test_pagerank_writes_no_round_of_nodes_that_do_not_send(spark, monkeypatch):
+    frame = spark.createDataFrame([("a", f"b{i}", "r") for i in range(200)] + [("b0", "a", "r")], "source_id string, target_id string, relationship_name string")
+    sizes, put = [], traversal.written
+    monkeypatch.setattr(traversal, "written", lambda df, name: (out := put(df, name), sizes.append(out.count()) if name == "ranks" else None)[0])
+    traversal.pagerank(graph.Graph(graph.ends(frame), frame), 3)
+    assert sizes == [2, 2, 2, 2]
