@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlake.operators import chunking, consolidation, graph, ingest, traversal
+from skeinlake.operators import chunking, consolidation, graph, ingest, lexical, traversal
 
 
 def joined_rows(df) -> int:
@@ -157,3 +157,12 @@ def test_pagerank_writes_no_round_of_nodes_that_do_not_send(spark, monkeypatch):
     monkeypatch.setattr(traversal, "written", lambda df, name: (out := put(df, name), sizes.append(out.count()) if name == "ranks" else None)[0])
     traversal.pagerank(graph.Graph(graph.ends(frame), frame), 3)
     assert sizes == [2, 2, 2, 2]
+
+
+def test_frequent_words_shuffle_texts_only(spark):
+    docs = spark.createDataFrame([(1, "b a b c a d"), (1, "C c"), (2, None), (3, "x y"), (4, "..."), (None, "q")], "id long, text string")
+    df = lexical.frequent_words(docs, 2, ())
+    found = {(r.id, r.word, r.n, r["rank"]) for r in df.collect()}
+    assert found == {(1, "c", 3, 1), (1, "b", 2, 2), (3, "x", 1, 1), (3, "y", 1, 2), (None, "q", 1, 1)}
+    assert df._jdf.queryExecution().sparkPlan().toString().count("Window") == 0
+    assert "word" not in "".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
