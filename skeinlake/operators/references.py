@@ -32,16 +32,16 @@ WHOLE, END, START, PART = "whole", "end", "start", "part"
 GRAM = 3
 
 
-def word_positions(passages: DataFrame) -> DataFrame:
-    """passage, piece, position, word: the folded words of passages (passage, text)."""
+def word_positions(passages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """passage, piece, position, word, and the columns of ``by``: the folded words of passages (passage, text)."""
     folded = folded_quote(F.col("text"))
-    rows = passages.where("passage is not null").select("passage", F.xxhash64("text").alias("piece"), F.posexplode(F.split(folded, " ")).alias("position", "word"))
+    rows = passages.where("passage is not null").select(*by, "passage", F.xxhash64("text").alias("piece"), F.posexplode(F.split(folded, " ")).alias("position", "word"))
     return rows.where("word <> ''")
 
 
-def _phrase_words(phrases: DataFrame) -> DataFrame:
-    """phrase, size, offset, word, role."""
-    words = phrases.select("phrase", F.split("phrase", " ").alias("w")).select("phrase", F.size("w").alias("size"), F.posexplode("w").alias("offset", "word"))
+def _phrase_words(phrases: DataFrame, by: Sequence[str]) -> DataFrame:
+    """phrase, size, offset, word, role, and the columns of ``by``."""
+    words = phrases.select(*by, "phrase", F.split("phrase", " ").alias("w")).select(*by, "phrase", F.size("w").alias("size"), F.posexplode("w").alias("offset", "word"))
     role = F.when(F.col("size") == 1, PART).when(F.col("offset") == 0, END).when(F.col("offset") == F.col("size") - 1, START).otherwise(WHOLE)
     return words.withColumn("role", role)
 
@@ -50,41 +50,55 @@ def _fits(role: Column, asked: Column, found: Column) -> Column:
     return F.when(role == WHOLE, asked == found).when(role == END, F.endswith(found, asked)).when(role == START, F.startswith(found, asked)).otherwise(F.contains(found, asked))
 
 
-def _grams(word: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - (size - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(word, i, F.lit(size))))
-
-
-def _anchors(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """phrase, offset, word: where to look each phrase up. Phrases with a whole word that occurs nowhere have none."""
-    whole = words.where(F.col("role") == WHOLE).join(vocabulary, "word", "left")
-    w = Window.partitionBy("phrase").orderBy(F.coalesce("frequency", F.lit(0)), "offset")
-    rarest = whole.withColumn("k", F.row_number().over(w)).where("k = 1 and frequency is not null").select("phrase", "offset", "word")
-    longest = Window.partitionBy("phrase").orderBy(F.desc(F.length("word")), "offset")
-    short = words.where("size <= 2").withColumn("k", F.row_number().over(longest)).where("k = 1").select("phrase", "offset", "role", F.col("word").alias("asked"))
-    by = F.substring("asked", 1, GRAM)
-    known = vocabulary.select("word", F.explode(F.flatten(F.array(*(_grams(F.col("word"), n) for n in range(1, GRAM + 1))))).alias("gram"))
-    met = short.withColumn("gram", by).join(known, "gram").where(_fits(F.col("role"), F.col("asked"), F.col("word")))
-    return rarest.unionByName(met.select("phrase", "offset", "word").distinct())
-
-
-def phrase_matches(passages: DataFrame, phrases: DataFrame) -> DataFrame:
-    """passage, phrase: each distinct folded phrase (column text) with all passages whose folded text holds it."""
-    index = written(word_positions(passages), "positions")
-    words = _phrase_words(phrases.select(folded_quote(F.col("text")).alias("phrase")).where("phrase <> ''").distinct())
-    anchors = _anchors(words, index.groupBy("word").agg(F.count("*").alias("frequency")))
-    starts = anchors.join(index, "word").select("phrase", "passage", "piece", (F.col("position") - F.col("offset")).alias("start")).where("start >= 0").distinct()
-    wanted = starts.join(words, "phrase").select("phrase", "passage", "piece", "start", "size", "offset", "role", F.col("word").alias("asked"), (F.col("start") + F.col("offset")).alias("position"))
-    held = wanted.join(index, ["passage", "piece", "position"]).where(_fits(F.col("role"), F.col("asked"), F.col("word")))
-    whole = held.groupBy("phrase", "passage", "piece", "start").agg(F.count_distinct("offset").alias("n"), F.first("size").alias("size")).where("n = size")
-    return whole.select("passage", "phrase").distinct()
+def _letters(role: Column, word: Column, size: Column) -> Column:
+    """Where a word that fits may have the ``size`` letters by which it is asked: at its end, at its start, or anywhere."""
+    n = F.length(word)
+    anywhere = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)), lambda i: F.substring(word, i, size))
+    return F.when(n < size, F.array().cast("array<string>")).when(role == END, F.array(F.substring(word, n - size + 1, size))).when(role == START, F.array(F.substring(word, F.lit(1), size))).otherwise(F.array_distinct(anywhere))
+
+
+def _anchors(words: DataFrame, vocabulary: DataFrame, by: Sequence[str]) -> DataFrame:
+    """phrase, offset, word, and the columns of ``by``: where to look each phrase up. Phrases with a whole word that occurs nowhere have none."""
+    whole = words.where(F.col("role") == WHOLE).join(vocabulary, [*by, "word"], "left")
+    w = Window.partitionBy(*by, "phrase").orderBy(F.coalesce("frequency", F.lit(0)), "offset")
+    rarest = whole.withColumn("k", F.row_number().over(w)).where("k = 1 and frequency is not null").select(*by, "phrase", "offset", "word")
+    longest = Window.partitionBy(*by, "phrase").orderBy(F.desc(F.length("word")), "offset")
+    short = words.where("size <= 2").withColumn("k", F.row_number().over(longest)).where("k = 1").select(*by, "phrase", "offset", "role", F.col("word").alias("asked"))
+    size = F.least(F.length("asked"), F.lit(GRAM))
+    at = F.when(F.col("role") == END, F.length("asked") - size + 1).otherwise(1)
+    short = short.withColumn("size", size).withColumn("gram", F.substring("asked", at, size))
+    # three roles by three sizes at most, so words are cut only as something asks for them
+    kinds = short.select(*by, "role", "size").distinct().groupBy(*by).agg(F.collect_list(F.struct("role", "size")).alias("kinds"))
+    known = vocabulary.select(*by, "word").join(kinds, list(by)) if by else vocabulary.select("word").crossJoin(F.broadcast(kinds))
+    known = known.select(*by, "word", F.explode("kinds").alias("kind")).select(*by, "word", "kind.role", "kind.size")
+    known = known.select(*by, "word", "role", "size", F.explode(_letters(F.col("role"), F.col("word"), F.col("size"))).alias("gram"))
+    met = short.join(known, [*by, "role", "size", "gram"]).where(_fits(F.col("role"), F.col("asked"), F.col("word")))
+    return rarest.unionByName(met.select(*by, "phrase", "offset", "word").distinct())
+
+
+def phrase_matches(passages: DataFrame, phrases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """passage, phrase, and the columns of ``by``: each distinct folded phrase (column text) with all passages whose folded text holds it.
+
+    Of columns ``by`` passages and phrases have equal values: a phrase is looked up among the words of its own ones only.
+    """
+    index = written(word_positions(passages, by), "positions")
+    words = _phrase_words(phrases.select(*by, folded_quote(F.col("text")).alias("phrase")).where("phrase <> ''").distinct(), by)
+    anchors = _anchors(words, index.groupBy(*by, "word").agg(F.count("*").alias("frequency")), by)
+    starts = anchors.join(index, [*by, "word"]).select(*by, "phrase", "passage", "piece", (F.col("position") - F.col("offset")).alias("start")).where("start >= 0").distinct()
+    wanted = starts.join(words, [*by, "phrase"]).select(*by, "phrase", "passage", "piece", "start", "size", "offset", "role", F.col("word").alias("asked"), (F.col("start") + F.col("offset")).alias("position"))
+    held = wanted.join(index, [*by, "passage", "piece", "position"]).where(_fits(F.col("role"), F.col("asked"), F.col("word")))
+    whole = held.groupBy(*by, "phrase", "passage", "piece", "start").agg(F.count_distinct("offset").alias("n"), F.first("size").alias("size")).where("n = size")
+    return whole.select(*by, "passage", "phrase").distinct()
 
 
 def anchored(spans: DataFrame, assertions: DataFrame) -> DataFrame:
-    """document, span, id: the assertions (document, id, quote) whose quote lies in a span (document, span, text) of their document."""
-    inside = phrase_matches(spans.where("document is not null").select(F.struct("document", "span").alias("passage"), "text"), assertions.select(F.col("quote").alias("text")))
-    asked = assertions.select("document", "id", folded_quote(F.col("quote")).alias("phrase")).where("phrase <> ''")
-    return inside.select("passage.document", "passage.span", "phrase").join(asked, ["document", "phrase"]).select("document", "span", "id").distinct()
+    """document, span, id: the assertions (document, id, quote) whose quote lies in a span (document, span, text) of their document.
+
+    Quotes are looked up within their document, so copies of a conversation don't meet each other.
+    """
+    asked = assertions.where("document is not null").select("document", "id", folded_quote(F.col("quote")).alias("phrase")).where("phrase <> ''")
+    inside = phrase_matches(spans.where("document is not null").select("document", F.struct("span").alias("passage"), "text"), asked.select("document", F.col("phrase").alias("text")), ["document"])
+    return inside.select("document", "passage.span", "phrase").join(asked, ["document", "phrase"]).select("document", "span", "id").distinct()
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlake.operators import chunking, consolidation, graph, ingest, lexical, traversal
+from skeinlake.operators import chunking, consolidation, graph, ingest, lexical, references, traversal
 
 
 def joined_rows(df) -> int:
@@ -166,3 +166,12 @@ def test_frequent_words_shuffle_texts_only(spark):
     assert found == {(1, "c", 3, 1), (1, "b", 2, 2), (3, "x", 1, 1), (3, "y", 1, 2), (None, "q", 1, 1)}
     assert df._jdf.queryExecution().sparkPlan().toString().count("Window") == 0
     assert "word" not in "".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+
+
+def test_quotes_meet_only_the_words_of_their_own_document(spark):
+    # sixty documents that ask for as many starts of a word that all of them hold: 18,000 matches, 300 of them at home
+    word = "".join(chr(97 + i % 26) for i in range(60))
+    spans = spark.createDataFrame([(d, s, f"they say {word} {s}") for d in range(60) for s in range(5)] + [(None, 0, word)], "document int, span int, text string")
+    told = spark.createDataFrame([(d, 0, f"y {word[: d + 1]}") for d in range(60)] + [(None, 0, "they say")], "document int, id int, quote string")
+    assert sorted(tuple(r) for r in references.anchored(spans, told).collect()) == [(d, s, 0) for d in range(60) for s in range(5)]
+    assert joined_rows(references.anchored(spans, told)) < 3_000
