@@ -22,6 +22,8 @@ from skeinlake.functions.shared import release, written
 from skeinlake.sources.ontologies import OWL, SUBCLASS, TYPE
 
 IS_A = "is_a"
+#: Letters of the longest words that meet keys by what is left without a letter.
+STRUCK = 64
 
 
 def key(uri: Column) -> Column:
@@ -71,14 +73,47 @@ def _first_grams(grams: DataFrame, counts: DataFrame) -> DataFrame:
     return ranked.select("key", "gram").unionByName(grams.where("short").select("key", F.concat(F.lit("/"), "gram").alias("gram")))
 
 
+def _struck(keys: DataFrame, name: str) -> DataFrame:
+    """The key as ``name``, and ``left``: the key without one of its letters, each way once."""
+    without = F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.concat(F.substr("key", F.lit(1), i - 1), F.substr("key", i + 1)))
+    return keys.select("key", F.explode(F.array_distinct(without)).alias("left")).withColumnRenamed("key", name)
+
+
+def _one_letter(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """word, best (ratio, key) of words whose closest key is the word itself or has one letter more or less, for certain.
+
+    With n letters in a word, every other key leaves two letters or more unmatched, so its ratio is n / (n + 1) at most.
+    Keys with one letter struck out are as many as letters, so this is done for words up to STRUCK letters.
+    """
+    w, v = words.where(F.length("key") <= STRUCK), vocabulary.where(F.length("key") <= STRUCK + 1)
+    equal = w.join(v, "key").withColumn("word", F.col("key")).select("word", "key")
+    longer = _struck(v, "key").join(w.withColumnRenamed("key", "left"), "left").withColumnRenamed("left", "word").select("word", "key")
+    shorter = _struck(w, "word").join(v.withColumnRenamed("key", "left"), "left").withColumnRenamed("left", "key").select("word", "key")
+    pairs = equal.unionByName(longer).unionByName(shorter).distinct()
+    best = pairs.withColumn("ratio", _ratio("key", "word")).groupBy("word").agg(F.max(F.struct("ratio", "key")).alias("best"))
+    n = F.length("word")
+    return best.where((F.col("best.ratio") >= 0.8) & (F.col("best.ratio") > n / (n + 1) + 1e-9))
+
+
 def close(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """word, key, ratio: for each word (column key) the nearest key of the vocabulary with a ratio of 0.8 or more; ties to the greatest key.
 
-    The ratio is difflib's. Only pairs that share one of their rarest pairs of letters, and whose lengths allow the ratio,
+    The ratio is difflib's. Words whose closest key differs in one letter more or less are settled by joins on what is left of
+    a key without the letter. For the others, only pairs that share one of their rarest pairs of letters, and whose lengths allow the ratio,
     are candidates. Common pairs bound a candidate's ratio (T letters, g common pairs: 2 (g + T + 1) / 3 T); a word's candidate
     with the best bound is compared first, then those whose bound is not below what that one has.
     """
     w, v = words.select("key").where("key <> ''").distinct(), vocabulary.select("key").where("key <> ''").distinct()
+    settled = written(_one_letter(w, v), "close-settled")
+    rest = written(w.join(settled.select(F.col("word").alias("key")), "key", "left_anti"), "close-rest")
+    found = settled.select("word", "best")
+    if not rest.isEmpty():
+        found = found.unionByName(_closest(rest, v))
+    return found.select("word", "best.key", "best.ratio")
+
+
+def _closest(w: DataFrame, v: DataFrame) -> DataFrame:
+    """word, best (ratio, key), by common pairs of letters."""
     gw, gv = _grams(w), _grams(v)
     counts = gw.unionByName(gv).where("not short").groupBy("gram").agg(F.count("*").alias("count"))
     all_of = lambda keys, grams, name: keys.join(grams.where("not short").groupBy("key").agg(F.collect_list("gram").alias("grams")), "key", "left").select(F.col("key").alias(name), F.coalesce("grams", F.array().cast("array<string>")).alias(f"{name}_grams"))
@@ -92,7 +127,7 @@ def close(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     first = written(first, "close-first")
     rest = candidates.join(first.select("word", F.col("key").alias("_key"), F.col("ratio").alias("_ratio")), "word").where((F.col("bound") >= F.col("_ratio") - 1e-9) & (F.col("key") != F.col("_key")))
     scored = first.unionByName(rest.select("word", "key", _ratio("key", "word").alias("ratio"))).where("ratio >= 0.8")
-    return scored.groupBy("word").agg(F.max(F.struct("ratio", "key")).alias("best")).select("word", "best.key", "best.ratio")
+    return scored.groupBy("word").agg(F.max(F.struct("ratio", "key")).alias("best"))
 
 
 def matched(names: DataFrame, found: DataFrame, category: str = "individuals") -> DataFrame:

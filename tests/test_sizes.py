@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import random
 import re
 
@@ -9,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlake.operators import chunking, consolidation, graph, ingest, lexical, references, traversal
+from skeinlake.operators import chunking, consolidation, graph, ingest, lexical, ontology, references, traversal
 
 
 def joined_rows(df) -> int:
@@ -175,3 +176,13 @@ def test_quotes_meet_only_the_words_of_their_own_document(spark):
     told = spark.createDataFrame([(d, 0, f"y {word[: d + 1]}") for d in range(60)] + [(None, 0, "they say")], "document int, id int, quote string")
     assert sorted(tuple(r) for r in references.anchored(spans, told).collect()) == [(d, s, 0) for d in range(60) for s in range(5)]
     assert joined_rows(references.anchored(spans, told)) < 3_000
+
+
+def test_words_with_one_letter_less_meet_no_similar_names(spark, monkeypatch):
+    names = [f"{a} {b} {n}" for a in ("large ring", "small ring", "large rung") for b in ("standard", "economy") for n in range(12)]
+    words = [n[: i % len(n)] + n[i % len(n) + 1 :] for i, n in enumerate(names)] + names[:3]
+    frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    ratio = lambda k, w: difflib.SequenceMatcher(None, k, w).ratio()
+    want = {w: max((ratio(k, w), k) for k in names)[::-1] for w in words}
+    monkeypatch.setattr(ontology, "_closest", lambda *_: pytest.fail("no word is left for pairs of letters"))
+    assert {r.word: (r.key, r.ratio) for r in ontology.close(frame(words), frame(names)).collect()} == want
