@@ -120,7 +120,14 @@ def cascade(references: DataFrame, steps: Sequence[Step]) -> DataFrame:
     outcome: resolved, ambiguous (then target is null) or unresolved; ``target`` is the smallest of the
     targets, whose number ``targets`` says. References of one id with several texts are asked with all of them.
     """
-    left = written(references.where("reference is not null").distinct(), "references")
+    rows = written(references.where("reference is not null").distinct(), "references")
+    others = F.struct(*(c for c in references.columns if c != "reference"))
+    # references with one row that ask the same are asked once, as the smallest of them
+    told = rows.groupBy("reference").agg(F.count("*").alias("n"), F.first(others).alias("asked"))
+    single = told.where("n = 1")
+    alike = single.join(single.groupBy("asked").agg(F.min("reference").alias("as")), "asked").select("reference", "as")
+    alike = written(alike.unionByName(told.where("n > 1").select("reference", F.col("reference").alias("as"))), "alike")
+    left = written(rows.join(alike.where("reference = as").select("reference"), "reference", "left_semi"), "references")
     out = None
     for step in steps:
         found = step.find(left).where("reference is not null and target is not null").groupBy("reference").agg(F.min("target").alias("target"), F.count_distinct("target").alias("targets"))
@@ -130,7 +137,8 @@ def cascade(references: DataFrame, steps: Sequence[Step]) -> DataFrame:
         before, left = left, written(left.join(told.select("reference"), "reference", "left_anti"), "references")
         release(before)
     rest = left.select("reference", F.lit("unresolved").alias("outcome"), F.lit(None).cast("string").alias("strategy"), F.lit(None).alias("target"), F.lit(0).cast("long").alias("targets"), F.lit(0.0).alias("confidence")).distinct()
-    return rest if out is None else out.unionByName(rest.withColumn("target", F.col("target").cast(out.schema["target"].dataType)))
+    out = rest if out is None else out.unionByName(rest.withColumn("target", F.col("target").cast(out.schema["target"].dataType)))
+    return alike.select("reference", "as").join(out.withColumnRenamed("reference", "as"), "as").drop("as")
 
 
 def by_id(nodes: DataFrame) -> Step:

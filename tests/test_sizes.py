@@ -186,3 +186,17 @@ def test_words_with_one_letter_less_meet_no_similar_names(spark, monkeypatch):
     want = {w: max((ratio(k, w), k) for k in names)[::-1] for w in words}
     monkeypatch.setattr(ontology, "_closest", lambda *_: pytest.fail("no word is left for pairs of letters"))
     assert {r.word: (r.key, r.ratio) for r in ontology.close(frame(words), frame(names)).collect()} == want
+
+
+def test_references_that_ask_the_same_are_asked_once(spark):
+    nodes = spark.createDataFrame([(f"n{i}", f"name {i % 2}") for i in range(40)], "id string, name string")
+    refs = spark.createDataFrame([(f"r{i:02}", f"Name {i % 4}") for i in range(80)] + [("r00", "name 0"), ("two", "name 0"), ("two", "n7"), ("null", None)], "reference string, text string")
+    seen = []
+
+    def find(rows):
+        seen.append({r.reference for r in rows.collect()})
+        return references.by_name(nodes).find(rows)
+
+    told = {r.reference: (r.outcome, r.targets) for r in references.cascade(refs, [references.by_id(nodes), references.Step("entity_name", find, 1.0, True)]).collect()}
+    assert told == {f"r{i:02}": ("ambiguous", 20) if i % 4 < 2 else ("unresolved", 0) for i in range(80)} | {"two": ("resolved", 1), "null": ("unresolved", 0)}
+    assert seen == [{"r00", "r01", "r02", "r03", "r04", "null"}]
