@@ -1,8 +1,7 @@
 """Vector search.
 
-Queries are a stated set against all rows: each vector meets the queries in its own task
-and only the best k of a query leave a partition (row_number filters are applied before the
-shuffle). Vectors and queries are brought to length one first, so a comparison is one pass.
+Queries are a stated set against all rows: blocks of rows meet blocks of queries, as one product of
+matrices each, and only the best k of a query leave a block. Vectors and queries are brought to length one first, so a comparison is one pass.
 """
 
 from __future__ import annotations
@@ -11,8 +10,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from skeinlake.functions.shared import written
 from skeinlake.functions.vector import cosine, unit, unit_cosine
@@ -20,6 +21,10 @@ from skeinlake.operators.traversal import component_labels
 
 #: Vectors of a block when every row is a query.
 BLOCK_ROWS = 4_096
+#: Rows of a block that meets a block of queries (at most; at least, up to MEETINGS blocks), and queries of one.
+ROWS_MOST, ROWS_LEAST, MEETINGS, QUERIES_MOST = 65_536, 2_048, 48, 8_192
+#: Distances that a task holds at once, and pairs whose products it sums at once.
+CELLS, SUMMED = 1 << 22, 1 << 15
 #: Centres that blocks are grouped by, and the rows they are learnt from: both bound what is broadcast and collected.
 CENTRES, SAMPLE_ROWS = 1_024, 20_000
 
@@ -39,15 +44,93 @@ def scored(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int | None, skip_self: bool = False) -> DataFrame:
-    """query_id, id, distance, rank (from 1) of the k nearest of each query; ties by id."""
-    found = scored(vectors, queries)
+    """query_id, id, distance, rank (from 1) of the k nearest of each query; ties by id, rows without a distance last.
+
+    Blocks of rows meet blocks of queries, a pair of blocks a task, and the best k of a query leave each of them.
+    """
+    found = scored(vectors, queries) if k is None else _best_of_blocks(vectors, queries, k, skip_self)
     if skip_self:
         found = found.where("query_id <> id")
-    w = Window.partitionBy("query_id").orderBy(F.round("distance", 6), "id")
+    w = Window.partitionBy("query_id").orderBy(F.round("distance", 6).asc_nulls_last(), "id")
     ranked = found.withColumn("rank", F.row_number().over(w))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def _matrix(v: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows; those that are null, have another width or components that are null or not finite are zero, and marked."""
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    whole = pc.fill_null(pc.equal(pc.list_value_length(v), width), False).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(v), width))
+    if whole.any():
+        out[whole] = v.filter(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
+    bad = ~whole | ~np.isfinite(out).all(axis=1)
+    out[bad] = 0
+    return out, bad
+
+
+def _id_order(ids: pa.Array) -> np.ndarray:
+    """Positions in order of the ids, which are plain values or structs of them."""
+    table = pa.Table.from_arrays(ids.flatten(), names=[f.name for f in ids.type]) if pa.types.is_struct(ids.type) else pa.table({"id": ids})
+    return pc.sort_indices(table, sort_keys=[(n, "ascending") for n in table.column_names], null_placement="at_start").to_numpy()
+
+
+def _block_best(k: int, skip_self: bool):
+    def run(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
+        asked, ids = queries.column("query_id").combine_chunks(), rows.column("id").combine_chunks()
+        if rows.num_rows and queries.num_rows:
+            order = _id_order(ids)
+            rows, ids = rows.take(pa.array(order)), ids.take(pa.array(order))
+            lengths = pc.list_value_length(pa.concat_arrays([rows.column("v").combine_chunks(), queries.column("q").combine_chunks()])).drop_null()
+            width = max(lengths.value_counts().to_pylist(), key=lambda x: (x["counts"], x["values"]))["values"] if len(lengths) else 0
+        found, kept = [], k + 1 if skip_self else k
+        if rows.num_rows and queries.num_rows:
+            (r, bad), (q, none) = _matrix(rows.column("v"), width), _matrix(queries.column("q"), width)
+            step = max(1, CELLS // len(r))
+            for start in range(0, len(q), step):
+                own = q[start : start + step]
+                distance = 1 - own @ r.T
+                np.round(distance, 6, out=distance)
+                distance[:, bad] = np.inf
+                distance[none[start : start + step]] = np.inf
+                if kept < len(r):
+                    last = np.partition(distance, kept - 1, axis=1)[:, kept - 1 : kept]
+                    less = distance < last
+                    # rows are in order of their ids: of those at the last distance the first ones
+                    row, col = np.nonzero(distance == last)
+                    first = np.searchsorted(row, row, "left")
+                    room = (kept - less.sum(axis=1))[row]
+                    taken = np.arange(len(row)) - first < room
+                    less[row[taken], col[taken]] = True
+                    at, col = np.nonzero(less)
+                else:
+                    at, col = (x.reshape(-1) for x in np.indices(distance.shape))
+                # the sum in order, as an expression over the arrays has it
+                exact = np.empty(len(at))
+                for i in range(0, len(at), SUMMED):
+                    exact[i : i + SUMMED] = 1 - np.cumsum(own[at[i : i + SUMMED]] * r[col[i : i + SUMMED]], axis=1)[:, -1] if width else 1.0
+                missing = np.isinf(distance[at, col])
+                found.append((asked.take(pa.array(at + start)), ids.take(pa.array(col)), pa.array(exact, pa.float64(), mask=missing)))
+        pick = lambda n, t: pa.chunked_array([x[n] for x in found], t)
+        return pa.table({"query_id": pick(0, asked.type), "id": pick(1, ids.type), "distance": pick(2, pa.float64())})
+
+    return run
+
+
+def _best_of_blocks(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """query_id, id, distance: all that may be among the k nearest of a query."""
+    rows = vectors.select("id", unit(F.col("vector")).alias("v"))
+    asked = queries.select("query_id", unit(F.col("vector")).alias("q"))
+    n, m = vectors.count(), queries.count()
+    many = max(1 + n // ROWS_MOST, min(MEETINGS, 1 + n // ROWS_LEAST))
+    by = 1 + m // QUERIES_MOST
+    part = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    copies = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = rows.withColumn("rb", part("id", many)).withColumn("qb", copies(by))
+    right = asked.withColumn("b", part("query_id", by)).withColumn("a", copies(many))
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("id", vectors.schema["id"].dataType), StructField("distance", DoubleType())])
+    return left.groupBy("rb", "qb").cogroup(right.groupBy("a", "b")).applyInArrow(_block_best(k, skip_self), schema)
+
+
 def items(vectors: DataFrame, scaled: bool = True) -> DataFrame:
     """id, v: a vector for each id, at length one unless ``scaled`` is false.
 

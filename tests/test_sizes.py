@@ -6,11 +6,12 @@ import difflib
 import random
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlake.operators import chunking, consolidation, graph, ingest, lexical, ontology, references, traversal
+from skeinlake.operators import chunking, consolidation, graph, ingest, lexical, nearest, ontology, references, traversal
 
 
 def joined_rows(df) -> int:
@@ -200,3 +201,29 @@ def test_references_that_ask_the_same_are_asked_once(spark):
     told = {r.reference: (r.outcome, r.targets) for r in references.cascade(refs, [references.by_id(nodes), references.Step("entity_name", find, 1.0, True)]).collect()}
     assert told == {f"r{i:02}": ("ambiguous", 20) if i % 4 < 2 else ("unresolved", 0) for i in range(80)} | {"two": ("resolved", 1), "null": ("unresolved", 0)}
     assert seen == [{"r00", "r01", "r02", "r03", "r04", "null"}]
+
+
+@pytest.mark.parametrize("kind", ["int", "struct<a: string, b: int>"])
+def test_nearest_by_blocks_is_all_pairs_ranked(spark, monkeypatch, kind):
+    monkeypatch.setattr(nearest, "ROWS_LEAST", 16)
+    monkeypatch.setattr(nearest, "QUERIES_MOST", 8)
+    monkeypatch.setattr(nearest, "CELLS", 64)
+    rng = np.random.default_rng(4)
+    v = [list(map(float, x)) for x in rng.integers(-1, 2, (90, 3))] + [None, [1.0, None, 0.0], [0.0, 0.0, 0.0], [0.5, float("nan"), 1.0]]
+    name = (lambda i: i) if kind == "int" else (lambda i: (f"k{i % 7}", i))
+    rows = spark.createDataFrame([(name(i), x) for i, x in enumerate(v)], f"id {kind}, vector array<double>")
+    asked = spark.createDataFrame([(name(i), v[i]) for i in range(0, len(v), 4)] + [(name(1000), None)], f"query_id {kind}, vector array<double>")
+    good = lambda x: x is not None and None not in x and np.isfinite(x).all()
+    unit = lambda x: np.array(x) / (np.linalg.norm(x) or 1)
+    for k, skip in ((5, False), (4, True), (200, False)):
+        want = {}
+        for q, x in [(i, v[i]) for i in range(0, len(v), 4)] + [(1000, None)]:
+            far = [(round(1 - unit(x) @ unit(y), 6) + 0.0 if good(x) and good(y) else np.inf, name(i)) for i, y in enumerate(v) if not (skip and i == q)]
+            want[name(q)] = [(i, d) for d, i in sorted(far)[:k]]
+        got = {}
+        for r in nearest.nearest(rows, asked, k, skip).orderBy("rank").collect():
+            key = lambda x: tuple(x) if kind != "int" else x
+            got.setdefault(key(r.query_id), []).append((key(r.id), np.inf if r.distance is None else round(r.distance, 6) + 0.0))
+        assert got == want
+    plan = nearest.nearest(rows, asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
