@@ -43,6 +43,8 @@ LEAST, TOP, DROP_PERCENT = 10, 2_000, 50
 BLOCK_WORDS, BLOCK_TYPES, SLICE_BYTES = 1 << 20, 1 << 17, 1 << 20
 #: Different keys (of all blocks) that one range, or share of one, holds on average; ranges; and the blocks that bounds are taken from, every so many keys.
 RANGE_KEYS, RANGES, SAMPLE_BLOCKS, SAMPLE_STEP = 500_000, 4_096, 16, 64
+#: Pairs of a block that are packed and sorted at a time, about, and of how many one is looked at to tell the parts.
+PART_KEYS, PART_STEP = 1 << 17, 64
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
 _BREAK, _BLANK = 0, 1
@@ -164,9 +166,16 @@ def _block_keys(wide, numbers, own, width: int) -> tuple[np.ndarray, np.ndarray]
     x = table[local]
     two = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
     three = two[:-1][np.diff(two) == 1] if len(two) else two
-    none = np.zeros(len(two), np.int64)
-    keys = np.concatenate([_packed([x[two], x[two + 1], none], width), _packed([x[three], x[three + 1], x[three + 2]], width)])
-    return run_lengths(keys, np.ones(len(keys), np.int64))
+    # parts by ranges of the first number, so that a part of the keys is packed and sorted at a time
+    few = np.sort(x[two[::PART_STEP]])
+    edges = np.unique(few[np.arange(1, 1 + len(two) // PART_KEYS) * len(few) // (1 + len(two) // PART_KEYS)]) if len(two) else few
+    done = []
+    for low, high in zip(np.r_[0, edges], np.r_[edges, np.iinfo(np.int64).max], strict=True):
+        pick = lambda at: at[(x[at] >= low) & (x[at] < high)]  # noqa: B023, E731
+        p, t = pick(two), pick(three)
+        keys = np.concatenate([_packed([x[p], x[p + 1], np.zeros(len(p), np.int64)], width), _packed([x[t], x[t + 1], x[t + 2]], width)])
+        done.append(run_lengths(keys, np.ones(len(keys), np.int64)))
+    return np.concatenate([k for k, _ in done]), np.concatenate([n for _, n in done])
 
 
 def _sampled(width: int) -> Callable:
@@ -197,8 +206,10 @@ def _cut(width: int, bounds: np.ndarray, shares: int) -> Callable:
                 names, rows = [], []
                 for k in np.flatnonzero(np.diff(edges)):
                     own, n = keys[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]]
-                    mixed = (own.astype(np.uint64) * np.arange(1, own.shape[1] + 1, dtype=np.uint64) * np.uint64(2654435761)).sum(axis=1) >> np.uint64(7)
-                    share = mixed % np.uint64(shares)
+                    mixed = np.zeros(len(own), np.uint64)
+                    for c in range(own.shape[1] if shares > 1 else 0):
+                        mixed += own[:, c] * np.uint64((c + 1) * 2654435761)
+                    share = (mixed >> np.uint64(7)) % np.uint64(shares)
                     for part in np.unique(share):
                         names.append(int(k) * shares + int(part))
                         rows.append(_coded(own[share == part], n[share == part]))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,20 @@ def test_sql(spark, tmp_path):
     sql = con.sql(queries.OP12_SQL)
     found = sorted(map(tuple, queries.op12_phrase_collocations(spark, str(tmp_path)).select(*sql.columns).collect()))
     assert found == sorted(sql.fetchall()) == recounted(rows, 10, 2_000)
+
+
+def test_keys_of_a_block_are_made_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, types = 1 << 19, 20_000
+    local = np.minimum(rng.zipf(1.3, n) + 1, types).astype(np.uint16)
+    local[rng.random(n) < 0.1] = 0
+    own = pa.array([[{"k": k, "id": k * 7} for k in range(2, types + 1)]], pa.list_(pa.struct([("k", pa.int32()), ("id", pa.int64())])))
+    row = (pa.scalar(False), pa.scalar(local.tobytes(), pa.binary()), own[0], 3)
+    tracemalloc.start()
+    keys, counts = phrases._block_keys(*row)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 35_000_000
+    monkeypatch.setattr(phrases, "PART_KEYS", 1 << 30)
+    whole, n = phrases._block_keys(*row)
+    assert (keys == whole).all() and (counts == n).all() and (np.diff(phrases._as_text(keys).argsort(kind="stable")) == 1).all()
