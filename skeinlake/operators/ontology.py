@@ -24,6 +24,8 @@ from skeinlake.sources.ontologies import OWL, SUBCLASS, TYPE
 IS_A = "is_a"
 #: Letters of the longest words that meet keys by what is left without a letter.
 STRUCK = 64
+#: Tasks that the triples of one property are dealt to.
+SALTS = 64
 
 
 def key(uri: Column) -> Column:
@@ -159,7 +161,9 @@ def attached(triples: DataFrame, starts: DataFrame, category: str = "individuals
     declared = follows.where((F.col("predicate") == TYPE) & (F.col("object") == f"{OWL}ObjectProperty")).select(F.col("subject").alias("predicate")).distinct()
     up = follows.where(F.col("predicate").isin(SUBCLASS, TYPE) if category == "individuals" else F.col("predicate") == SUBCLASS)
     is_a = up.select("subject", "object", F.lit(IS_A).alias("relationship_name"))
-    by = follows.join(declared, "predicate", "left_semi").select("subject", "object", key(F.col("predicate")).alias("relationship_name"))
+    # one property may have nearly all triples: they are dealt to SALTS tasks
+    dealt = follows.withColumn("_salt", F.pmod(F.hash("subject", "object"), F.lit(SALTS)))
+    by = dealt.join(declared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["predicate", "_salt"], "left_semi").select("subject", "object", key(F.col("predicate")).alias("relationship_name"))
     step = lambda df, at, to: df.select(F.col(at).alias("uri"), F.col(to).alias("next"), "subject", "object", "relationship_name")
     steps = step(is_a.unionByName(by), "subject", "object")
     if not directed:

@@ -76,36 +76,52 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fields", F.coalesce(_fields(F.col("node")), F.create_map().cast(_FIELDS))).withColumn("subject", subject)
 
 
+def _told(level: DataFrame) -> DataFrame:
+    """file, subject, predicate, object, literal, name, inner: a triple of each value of the elements (file, ns, tag, node, above, by), or the elements inside it.
+
+    One pass: an element's type and its link to the element above it go as fields without a value.
+    """
+    nodes = _named(level)
+    own = lambda name, there: F.when(there, F.array(F.struct(F.lit(name).alias("key"), F.lit(None).cast("variant").alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:variant>>"))
+    entries = F.concat(own("", F.col("tag") != "rdf:Description"), own("/", F.col("above").isNotNull()), F.map_entries("fields"))
+    fields = nodes.select("file", "ns", "tag", "above", "by", "subject", F.explode(entries).alias("e")).select("*", F.col("e.key").alias("name"), F.col("e.value").alias("whole")).drop("e")
+    name = F.col("name")
+    attribute, own_tag, link = name.startswith("_"), name == "", name == "/"
+    many = F.when(attribute | own_tag | link, F.array("whole")).otherwise(F.coalesce(F.try_variant_get("whole", "$", "array<variant>"), F.array("whole")))
+    values = fields.select("*", F.explode(many).alias("value")).drop("whole")
+    values = values.withColumn("fields", F.when(~(attribute | own_tag | link), _fields(F.col("value"))))
+    refers = F.coalesce(_against_base(F.element_at("fields", F.lit("_rdf:resource")).cast("string")), F.concat(F.lit("_:"), F.element_at("fields", F.lit("_rdf:nodeID")).cast("string")))
+    inner = F.map_filter(F.coalesce("fields", F.create_map().cast(_FIELDS)), lambda k, v: ~k.startswith("_"))
+    values = values.withColumn("refers", refers).withColumn("inner", inner)
+    plain = attribute & (name != "_VALUE") & ~name.rlike("^_(rdf|xml|xmlns):|^_xmlns$")
+    text = F.when(F.col("fields").isNull(), _text(F.col("value"))).otherwise(F.element_at("fields", F.lit("_VALUE")).cast("string"))
+    empty, below = F.size("inner") == 0, F.col("refers").isNull() & (F.size("inner") > 0)
+    kind = F.when(own_tag, "type").when(link, "link").when(plain, "note").when(attribute, None).when(F.col("refers").isNotNull(), "name").when(empty, "text").otherwise("inner")
+    values = values.withColumn("kind", kind).where("kind is not null")
+    is_ = lambda *of: F.col("kind").isin(*of)
+    predicate = F.when(is_("type"), TYPE).when(is_("link"), _expanded(F.col("by"))).when(is_("note"), _expanded(F.substr("name", F.lit(2)))).when(is_("name", "text"), _expanded(name))
+    object_ = F.when(is_("type"), _expanded(F.col("tag"))).when(is_("link"), F.col("subject")).when(is_("note"), F.col("value").cast("string")).when(is_("name"), F.col("refers")).when(is_("text"), F.coalesce(text, F.lit("")))
+    subject = F.when(is_("link"), F.col("above")).otherwise(F.col("subject"))
+    return values.select("file", subject.alias("subject"), predicate.alias("predicate"), object_.alias("object"), is_("note", "text").alias("literal"), "name", F.when(is_("inner") & below, F.to_json("inner")).alias("inner"))
+
+
 def rdf_xml(spark: SparkSession, path: str, elements: Sequence[str] = ELEMENTS) -> DataFrame:
     """Triples of RDF/XML files. ``elements`` are the names of elements, as written, that describe something at the top.
 
     Elements inside others are read wherever they are. Each name in ``elements`` is a scan of the files.
     """
     read = lambda tag: spark.read.format("xml").option("rowTag", tag).option("singleVariantColumn", "node").load(path).select(F.col("_metadata.file_path").alias("file"), F.lit(tag).alias("tag"), "node")
-    ns = _namespaces(spark, path)
-    level = reduce(DataFrame.unionByName, [read(tag) for tag in elements]).join(ns, "file", "left").withColumn("ns", F.coalesce("ns", F.create_map().cast("map<string,string>")))
-    level = written(level.withColumn("node", F.to_json("node")), "elements").withColumn("node", F.parse_json("node"))
+    ns = written(_namespaces(spark, path), "prefixes")
+    # a row a file: its elements are not brought together in one task
+    placed = lambda df: df.join(F.broadcast(ns), "file", "left").withColumn("ns", F.coalesce("ns", F.create_map().cast("map<string,string>")))
+    none = F.lit(None).cast("string")
+    level = reduce(DataFrame.unionByName, [read(tag) for tag in elements]).withColumn("node", F.parse_json(F.to_json("node"))).select("*", none.alias("above"), none.alias("by"))
     parts = []
     while True:
-        nodes = _named(level)
-        typed = nodes.where("tag <> 'rdf:Description'").select("subject", F.lit(TYPE).alias("predicate"), _expanded(F.col("tag")).alias("object"), F.lit(False).alias("literal"))
-        fields = nodes.select("file", "ns", "subject", F.explode("fields").alias("name", "value"))
-        attribute = F.col("name").startswith("_")
-        plain = fields.where(attribute & (F.col("name") != "_VALUE") & ~F.col("name").rlike("^_(rdf|xml|xmlns):|^_xmlns$"))
-        noted = plain.select("subject", _expanded(F.substr("name", F.lit(2))).alias("predicate"), F.col("value").cast("string").alias("object"), F.lit(True).alias("literal"))
-        values = fields.where(~attribute).select("file", "ns", "subject", "name", _each(F.col("value")).alias("value")).withColumn("fields", _fields(F.col("value")))
-        refers = F.coalesce(_against_base(F.element_at("fields", F.lit("_rdf:resource")).cast("string")), F.concat(F.lit("_:"), F.element_at("fields", F.lit("_rdf:nodeID")).cast("string")))
-        inner = F.map_filter(F.coalesce("fields", F.create_map().cast(_FIELDS)), lambda k, v: ~k.startswith("_"))
-        values = values.withColumn("refers", refers).withColumn("inner", inner)
-        named = values.where("refers is not null").select("subject", _expanded(F.col("name")).alias("predicate"), F.col("refers").alias("object"), F.lit(False).alias("literal"))
-        text = F.when(F.col("fields").isNull(), _text(F.col("value"))).otherwise(F.element_at("fields", F.lit("_VALUE")).cast("string"))
-        told = values.where("refers is null and size(inner) = 0").select("subject", _expanded(F.col("name")).alias("predicate"), F.coalesce(text, F.lit("")).alias("object"), F.lit(True).alias("literal"))
-        children = values.where("refers is null").select("file", "ns", "subject", "name", F.explode("inner").alias("tag", "many"))
-        below = children.select("file", "ns", "tag", _each(F.col("many")).alias("node"), F.col("subject").alias("above"), F.col("name").alias("by"))
-        linked = _named(below).select(F.col("above").alias("subject"), _expanded(F.col("by")).alias("predicate"), F.col("subject").alias("object"), F.lit(False).alias("literal"))
-        parts.append(reduce(DataFrame.unionByName, [typed, noted, named, told, linked]))
-        level = written(below.select("file", "tag", F.to_json("node").alias("node"), "ns"), "elements")
-        if level.isEmpty():
+        told = written(_told(placed(level)), "elements")
+        parts.append(told.where("inner is null").select("subject", "predicate", "object", "literal"))
+        children = told.where("inner is not null").select("file", F.col("subject").alias("above"), F.col("name").alias("by"), F.explode(_fields(F.parse_json("inner"))).alias("tag", "many"))
+        if children.isEmpty():
             break
-        level = level.withColumn("node", F.parse_json("node"))
+        level = children.select("file", "tag", _each(F.col("many")).alias("node"), "above", "by")
     return written(reduce(DataFrame.unionByName, parts).distinct(), "triples")

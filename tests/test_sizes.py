@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinlake.operators import chunking, consolidation, graph, ingest, lexical, nearest, ontology, references, traversal
+from skeinlake.sources import ontologies
 
 
 def joined_rows(df) -> int:
@@ -227,3 +228,20 @@ def test_nearest_by_blocks_is_all_pairs_ranked(spark, monkeypatch, kind):
         assert got == want
     plan = nearest.nearest(rows, asked, 5)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_elements_of_a_file_and_triples_of_a_property_are_dealt_out(spark, tmp_path, monkeypatch):
+    body = "".join(f'<rdf:Description rdf:about="#a{i}"><p rdf:resource="#b{i}"/></rdf:Description>' for i in range(9))
+    (tmp_path / "one.xml").write_text(f'<rdf:RDF xmlns:rdf="{ontologies.RDF}" xmlns="x#" xml:base="y"><rdf:Description rdf:about="x#p"><rdf:type rdf:resource="{ontologies.OWL}ObjectProperty"/></rdf:Description>{body}</rdf:RDF>')
+    plans, put = [], ontologies.written
+    keep = lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), put(df, name))[1]
+    for module in (ontologies, ontology):
+        monkeypatch.setattr(module, "written", keep)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        told = ontology.attached(ontologies.rdf_xml(spark, str(tmp_path), ("rdf:Description",)), spark.createDataFrame([(f"y#a{i}",) for i in range(9)], "uri string"))
+        assert {(r.source_id, r.relationship_name, r.target_id) for r in told.edges.collect()} == {(f"a{i}", "p", f"b{i}") for i in range(9)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joined = [x for plan in plans for x in re.findall(r"SortMergeJoin \[(\w+)#\d+L?(.*)", plan)]
+    assert joined and not [x for x in joined if x[0] == "file" or x[0] == "predicate" and "_salt" not in x[1]]
