@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlake.operators import chunking, consolidation, graph, ingest, lexical, nearest, ontology, references, traversal
+from skeinlake.operators import chunking, consolidation, graph, ingest, lexical, nearest, ontology, overlap, references, traversal
 from skeinlake.sources import ontologies
 
 
@@ -245,3 +245,13 @@ def test_elements_of_a_file_and_triples_of_a_property_are_dealt_out(spark, tmp_p
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     joined = [x for plan in plans for x in re.findall(r"SortMergeJoin \[(\w+)#\d+L?(.*)", plan)]
     assert joined and not [x for x in joined if x[0] == "file" or x[0] == "predicate" and "_salt" not in x[1]]
+
+
+def test_placing_writes_no_set_again(spark, monkeypatch):
+    ids = [f"s{i:02}" for i in range(32)]
+    rows = [(i, f"{i}/{k}", 1.0) for i in ids for k in range(6)]
+    sizes, put = [], overlap.written
+    monkeypatch.setattr(overlap, "written", lambda df, name: (out := put(df, name), sizes.append(out.count()) if name in ("sets", "placed", "best") else None)[0])
+    found = overlap.placed(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(rows, "id string, entity string, weight double"), 4, 0.2, block=8)
+    # four blocks: with all sets written after each it is 480 rows more
+    assert sum(sizes) == 32 and found.sets.count() == len(rows) and {(r.id, r.bucket) for r in found.links.collect()} == {(i, f"0/{i}") for i in ids}
