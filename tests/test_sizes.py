@@ -255,3 +255,12 @@ def test_placing_writes_no_set_again(spark, monkeypatch):
     found = overlap.placed(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(rows, "id string, entity string, weight double"), 4, 0.2, block=8)
     # four blocks: with all sets written after each it is 480 rows more
     assert sum(sizes) == 32 and found.sets.count() == len(rows) and {(r.id, r.bucket) for r in found.links.collect()} == {(i, f"0/{i}") for i in ids}
+
+
+def test_walks_keep_no_set_of_steps(spark, monkeypatch):
+    frame = spark.createDataFrame([("a", "b", r) for r in "xyz"] + [("c", "b", "x"), ("c", "d", "x")], "source_id string, target_id string, relationship_name string")
+    plans, put = [], traversal.written
+    monkeypatch.setattr(traversal, "written", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), put(df, name))[1])
+    found = traversal.reached(frame, spark.createDataFrame([("a",)], "id string"), 2)
+    assert {(r.id, r.hops) for r in found.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    assert len(plans) == 2 and not any(re.search(r"keys=\[a#\d+, b#\d+\]", plan) for plan in plans)
