@@ -63,19 +63,20 @@ def context_evidence(triplets: DataFrame, nodes: DataFrame, segments: DataFrame
     First the nodes as they appear (a triplet's source before its target), then the edges, then, where ``segments``
     (artifact_id of an edge, chunk_id, chunk_index) are given, the chunks that support the edges, as kind ``segment``.
     """
-    rows = _read(triplets)
+    # a triplet goes to its query's task once, instead of both ends and the edge one by one
+    rows = _read(triplets).repartition("query_id")
     ends = rows.select("query_id", F.explode(F.array(F.struct(F.col("rank"), F.lit(0).alias("side"), F.col("source_id").alias("artifact_id")), F.struct("rank", F.lit(1).alias("side"), F.col("target_id").alias("artifact_id")))).alias("e")).select("query_id", "e.*")
     shown = ends.groupBy("query_id", "artifact_id").agg(F.min(F.struct("rank", "side")).alias("first"))
     labels = nodes.select(F.col("id").alias("artifact_id"), F.col("name").alias("label")).dropDuplicates(["artifact_id"])
     none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
-    of_nodes = shown.join(labels, "artifact_id", "left").select("query_id", F.lit(0).alias("part"), F.struct("first.rank", "first.side", F.lit(0).alias("at"), "artifact_id").alias("order"), F.lit("graph_node").alias("kind"), "artifact_id", F.nullif(F.trim("label"), F.lit("")).alias("label"), *none("source_id", "target_id", "relationship_name"))
+    of_nodes = shown.join(labels, "artifact_id", "left").select("query_id", F.lit(0).alias("part"), F.struct("first.rank", "first.side", F.lit(0).alias("at")).alias("order"), *none("tie"), F.lit("graph_node").alias("kind"), "artifact_id", F.nullif(F.trim("label"), F.lit("")).alias("label"), *none("source_id", "target_id", "relationship_name"))
     own = F.col("edge_object_id") if "edge_object_id" in triplets.columns else F.lit(None).cast("string")
     edges = rows.where(F.trim("relationship_name") != "").select("query_id", "rank", "source_id", "target_id", "relationship_name", F.coalesce(own, edge_id(F.col("source_id"), F.col("relationship_name"), F.col("target_id"))).alias("artifact_id"))
     once = edges.groupBy("query_id", "artifact_id").agg(F.min(F.struct("rank", "source_id", "target_id", "relationship_name")).alias("e"))
-    of_edges = once.select("query_id", F.lit(1).alias("part"), F.struct(F.col("e.rank"), F.lit(0).alias("side"), F.lit(0).alias("at"), "artifact_id").alias("order"), F.lit("graph_edge").alias("kind"), "artifact_id", *none("label"), "e.source_id", "e.target_id", "e.relationship_name")
+    of_edges = once.select("query_id", F.lit(1).alias("part"), F.struct(F.col("e.rank"), F.lit(0).alias("side"), F.lit(0).alias("at")).alias("order"), *none("tie"), F.lit("graph_edge").alias("kind"), "artifact_id", *none("label"), "e.source_id", "e.target_id", "e.relationship_name")
     parts = of_nodes.unionByName(of_edges)
     if segments is not None:
         supports = once.join(segments.dropna(subset=["artifact_id", "chunk_id"]).select("artifact_id", "chunk_id", "chunk_index").distinct(), "artifact_id")
-        parts = parts.unionByName(supports.select("query_id", F.lit(2).alias("part"), F.struct(F.col("e.rank"), F.lit(0).alias("side"), F.col("chunk_index").alias("at"), F.concat_ws(" ", "artifact_id", "chunk_id").alias("artifact_id")).alias("order"), F.lit("segment").alias("kind"), F.col("chunk_id").alias("artifact_id"), *none("label", "source_id", "target_id", "relationship_name")))
-    w = Window.partitionBy("query_id").orderBy("part", "order")
+        parts = parts.unionByName(supports.select("query_id", F.lit(2).alias("part"), F.struct(F.col("e.rank"), F.lit(0).alias("side"), F.col("chunk_index").alias("at")).alias("order"), F.concat_ws(" ", "artifact_id", "chunk_id").alias("tie"), F.lit("segment").alias("kind"), F.col("chunk_id").alias("artifact_id"), *none("label", "source_id", "target_id", "relationship_name")))
+    w = Window.partitionBy("query_id").orderBy("part", "order", "tie", "artifact_id")
     return parts.select("query_id", (F.row_number().over(w) - 1).alias("rank"), "kind", "artifact_id", "label", "source_id", "target_id", "relationship_name")

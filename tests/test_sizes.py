@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinlake.operators import chunking, consolidation, graph, ingest, lexical, nearest, ontology, overlap, references, traversal
+from skeinlake.plans import evidence
 from skeinlake.sources import ontologies
 
 
@@ -264,3 +265,10 @@ def test_walks_keep_no_set_of_steps(spark, monkeypatch):
     found = traversal.reached(frame, spark.createDataFrame([("a",)], "id string"), 2)
     assert {(r.id, r.hops) for r in found.collect()} == {("a", 0), ("b", 1), ("c", 2)}
     assert len(plans) == 2 and not any(re.search(r"keys=\[a#\d+, b#\d+\]", plan) for plan in plans)
+
+
+def test_evidence_of_a_query_is_brought_together_once(spark):
+    triplets = spark.createDataFrame([(1, 0, "a", "b", "r"), (1, 1, "b", "c", "s"), (2, 0, "a", "b", "r")], "query_id int, rank int, source_id string, target_id string, relationship_name string")
+    df = evidence.context_evidence(triplets, spark.createDataFrame([("a", "A")], "id string, name string"))
+    assert [(r.query_id, r["rank"], r.kind, r.label) for r in df.orderBy("query_id", "rank").collect()] == [(1, 0, "graph_node", "A"), (1, 1, "graph_node", None), (1, 2, "graph_node", None), (1, 3, "graph_edge", None), (1, 4, "graph_edge", None), (2, 0, "graph_node", "A"), (2, 1, "graph_node", None), (2, 2, "graph_edge", None)]
+    assert not re.search(r"hashpartitioning\(query_id#\d+, artifact_id#", df._jdf.queryExecution().executedPlan().toString())
