@@ -24,9 +24,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector at length one; a zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    """The vector at length one; a zero vector stays. Its length is bound to a name, or it would be summed anew for each component."""
+    scaled = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return F.transform(F.array(norm(a)), scaled)[0]
 
 
 def unit_cosine(a: Column, b: Column) -> Column:

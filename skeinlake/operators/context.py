@@ -200,7 +200,7 @@ def gathered(items: DataFrame, level: int, most: int, seeds: int = 256) -> DataF
 def _vector(total: str = "total"):
     """What stands for a bucket one level up: its members' mean at length one."""
     size = F.sqrt(F.aggregate(total, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(total, lambda x: F.when(size > 0, x / size).otherwise(0.0))
+    return F.transform(F.array(size), lambda n: F.transform(total, lambda x: F.when(n > 0, x / n).otherwise(0.0)))[0]
 
 
 def _summed(links: DataFrame, vectors: DataFrame, width: int) -> DataFrame:

@@ -19,8 +19,10 @@ from skeinlake.functions.shared import written
 from skeinlake.functions.vector import cosine, unit, unit_cosine
 from skeinlake.operators.traversal import component_labels
 
-#: Vectors of a block when every row is a query.
-BLOCK_ROWS = 4_096
+#: Vectors of a block when every row is a query: at least, at most, and blocks of a table between.
+BLOCK_LEAST, BLOCK_MOST, BLOCKS = 4_096, 65_536, 8
+#: Queries and rows whose products are held at once there, and what single precision and six digits may hide of a distance.
+QUERIES_TILE, ROWS_TILE, SLACK = 512, 4_096, 2e-5
 #: Rows of a block that meets a block of queries (at most; at least, up to MEETINGS blocks), and queries of one.
 ROWS_MOST, ROWS_LEAST, MEETINGS, QUERIES_MOST = 65_536, 2_048, 48, 8_192
 #: Distances that a task holds at once, and pairs whose products it sums at once.
@@ -149,26 +151,61 @@ def _side(t: pa.Table) -> tuple[pa.Array, np.ndarray]:
     return t.column("id").combine_chunks(), t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 0))
 
 
-def _block_nearest(k: int, kind: pa.DataType):
-    def run(key: tuple, queries: pa.Table, rows: pa.Table) -> pa.Table:
+def _candidates(q: np.ndarray, r: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of a query and a row that are within the query's limit: single precision, so some more."""
+    at, col = [], []
+    least = (1 - limit - SLACK).astype(np.float32)[:, None]
+    for start in range(0, len(r), ROWS_TILE):
+        tile = r[start : start + ROWS_TILE]
+        hit = np.flatnonzero(q @ tile.T >= least)
+        at.append(hit // len(tile))
+        col.append(hit % len(tile) + start)
+    return np.concatenate(at), np.concatenate(col)
+
+
+def _block_nearest(k: int, kind: pa.DataType, alone: bool = False):
+    """The k nearest rows of each query within its bound, of equally near ones the first; ``alone`` compares a block with itself.
+
+    Products in single precision tell which pairs can be within the bound, and only these are compared in full. A query
+    without a bound takes the k-th distance among the block's first rows.
+    """
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         (qi, q), (ri, r) = _side(queries), _side(rows)
         out: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
         if len(qi) and len(ri):
-            ids = np.array(ri.to_pylist())
-            order = np.argsort(ids, kind="stable")
-            ri, r, ids = ri.take(pa.array(order)), r[order], ids[order]
-            own = np.array(qi.to_pylist())
-            for start in range(0, len(qi), 512):
-                distance = np.round(1 - q[start : start + 512] @ r.T, 6)
-                distance[own[start : start + 512, None] == ids] = np.inf
-                best = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                at, found = np.repeat(np.arange(start, start + len(distance)), best.shape[1]), np.take_along_axis(distance, best, 1).reshape(-1)
-                there = found < np.inf
-                out.append((qi.take(pa.array(at[there])), ri.take(pa.array(best.reshape(-1)[there])), found[there]))
+            order = _id_order(ri)
+            ri, r = ri.take(pa.array(order)), r[order]
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            bound = queries.column("bound").combine_chunks().fill_null(np.inf).to_numpy(zero_copy_only=False)
+            thin, light = r.astype(np.float32), q.astype(np.float32)
+            for start in range(0, len(qi), QUERIES_TILE):
+                stop = min(start + QUERIES_TILE, len(qi))
+                limit, own = bound[start:stop].copy(), light[start:stop]
+                wanted = k + 1 if alone else k
+                if np.isinf(limit).any() and len(r) > wanted:
+                    some = 1 - own @ thin[:ROWS_TILE].T
+                    if some.shape[1] >= wanted:
+                        limit = np.minimum(limit, np.partition(some, wanted - 1, axis=1)[:, wanted - 1] + SLACK)
+                at, col = _candidates(own, thin, limit)
+                if alone:
+                    other = col != place[start + at]
+                    at, col = at[other], col[other]
+                exact = np.empty(len(at))
+                for i in range(0, len(at), SUMMED):
+                    exact[i : i + SUMMED] = np.einsum("ij,ij->i", q[start + at[i : i + SUMMED]], r[col[i : i + SUMMED]])
+                distance = np.round(1 - exact, 6) + 0.0
+                there = distance <= bound[start:stop][at]
+                at, col, distance = at[there], col[there], distance[there]
+                sort = np.lexsort((col, distance, at))
+                at, col, distance = at[sort], col[sort], distance[sort]
+                best = np.arange(len(at)) - np.searchsorted(at, at, "left") < k
+                out.append((qi.take(pa.array(at[best] + start)), ri.take(pa.array(col[best])), distance[best]))
         pick = lambda n, t: pa.chunked_array([x[n] if n < 2 else pa.array(x[n]) for x in out], t)
         return pa.table({"query_id": pick(0, kind), "id": pick(1, kind), "distance": pick(2, pa.float64())})
 
-    return run
+    return (lambda key, rows: run(rows, rows)) if alone else (lambda key, queries, rows: run(queries, rows))
 
 
 def _learnt(sample: np.ndarray, n: int) -> np.ndarray:
@@ -215,22 +252,33 @@ def _asked(centres: np.ndarray, radius: np.ndarray, parts: np.ndarray):
                 row, c, p = np.repeat(row, many), np.repeat(c, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 other = (c != piece.column(2).to_numpy()[row]) | (p != piece.column(3).to_numpy()[row])
                 taken = piece.take(pa.array(row[other]))
-                yield pa.record_batch([*taken.columns[:4], pa.array(c[other], pa.int32()), pa.array(p[other], pa.int32())], ["id", "v", "c", "part", "rc", "rp"])
+                yield pa.record_batch([*taken.columns[:4], pa.array(c[other], pa.int32()), pa.array(p[other], pa.int32()), taken.columns[4]], ["id", "v", "c", "part", "rc", "rp", "bound"])
+
+    return run
+
+
+def _asked_blocks(centres: np.ndarray, radius: np.ndarray, parts: np.ndarray):
+    """(qc, qp, mc, mp): the blocks that some row of a block asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _asked(centres, radius, parts)(batches):
+            pairs = pa.Table.from_batches([batch]).select(["c", "part", "rc", "rp"])
+            yield from pairs.group_by(pairs.column_names).aggregate([]).rename_columns(["qc", "qp", "mc", "mp"]).to_batches()
 
     return run
 
 
-def nearest_of_all(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_of_all(vectors: DataFrame, k: int, block_rows: int | None = None, within: float | None = None) -> DataFrame:
     """query_id, id, distance (6 digits), rank of the k nearest others of every item (see ``items``); ties by id.
 
-    Every item is a query, and the result is exact. Equal vectors are compared once. The different
-    ones are dealt to the nearest of up to CENTRES centres, learnt from SAMPLE_ROWS of them, and a
+    Every item is a query, and the result is exact; ``within`` leaves out what is farther away. Equal vectors are compared
+    once. The different ones are dealt to the nearest of up to CENTRES centres, learnt from SAMPLE_ROWS of them, and a
     centre's rows to blocks of about ``block_rows``. First each block is compared with itself; the
     k-th distance found is a bound for its rows. A row then meets only the blocks of centres whose
     rows may be within its bound: by the triangle inequality none is nearer than the distance to
     the centre less the centre's radius. Where that excludes nothing (vectors without clusters)
     all blocks are met, which is every comparison and, in rows shuffled, the vectors times the
-    blocks. A task holds two blocks; what is broadcast are the centres with their radii.
+    blocks; so blocks are large. A task holds two blocks; what is broadcast are the centres with their radii.
     """
     kind = vectors.schema["id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
@@ -240,6 +288,7 @@ def nearest_of_all(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) ->
     groups = written(firsts.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "groups")
     reps = groups.select(F.col("ids")[0].alias("id"), "v")
     n = reps.count()
+    block_rows = block_rows or min(BLOCK_MOST, max(BLOCK_LEAST, 1 + n // BLOCKS))
     sample = np.array([r["v"] for r in reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()], np.float64)
     if not n:
         return reps.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
@@ -250,11 +299,12 @@ def nearest_of_all(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) ->
         parts[row["c"]], radius[row["c"]] = 1 + (row["n"] - 1) // block_rows, row["r"]
     split = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("c") + 1)
     rows = dealt.withColumn("part", F.pmod(F.xxhash64("id"), split).cast("int")).select("id", "v", "c", "part")
-    schema = f"query_id {kind}, id {kind}, distance double"
-    own = written(rows.groupBy("c", "part").cogroup(rows.toDF("id", "v", "qc", "qp").groupBy("qc", "qp")).applyInArrow(_block_nearest(k, arrow), schema), "own")
+    schema, most = f"query_id {kind}, id {kind}, distance double", F.lit(within).cast("double")
+    own = written(rows.withColumn("bound", most).groupBy("c", "part").applyInArrow(_block_nearest(k, arrow, alone=True), schema), "own")
     bound = own.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
-    asked = written(rows.join(bound, "id", "left").select("id", "v", "c", "part", "bound").mapInArrow(_asked(centres, radius, parts), f"id {kind}, v array<double>, c int, part int, rc int, rp int"), "asked")
-    pairs = asked.select("c", "part", "rc", "rp").distinct().toDF("qc", "qp", "mc", "mp")
+    bounded = written(rows.join(bound, "id", "left").select("id", "v", "c", "part", F.coalesce("bound", most).alias("bound")), "bounded")
+    asked = bounded.mapInArrow(_asked(centres, radius, parts), f"id {kind}, v array<double>, c int, part int, rc int, rp int, bound double")
+    pairs = written(bounded.mapInArrow(_asked_blocks(centres, radius, parts), "qc int, qp int, mc int, mp int").distinct(), "pairs")
     met = pairs.join(rows.toDF("id", "v", "mc", "mp"), ["mc", "mp"]).select("id", "v", "qc", "qp", "mc", "mp")
     found = own.unionByName(asked.groupBy("c", "part", "rc", "rp").cogroup(met.groupBy("qc", "qp", "mc", "mp")).applyInArrow(_block_nearest(k, arrow), schema))
     best = lambda *by: Window.partitionBy(*by).orderBy("distance", "id")
@@ -270,7 +320,7 @@ def nearest_of_all(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) ->
 
 def similarity_classes(vectors: DataFrame, k: int, least: float) -> DataFrame:
     """id, cluster (smallest id), links: classes of vectors joined by neighbours at ``least`` or more."""
-    pairs = written(nearest_of_all(vectors, k).where(F.round(1 - F.col("distance"), 6) >= least).select(F.col("query_id").alias("u"), F.col("id").alias("v")), "similar")
+    pairs = written(nearest_of_all(vectors, k, within=1 - least + 1e-6).where(F.round(1 - F.col("distance"), 6) >= least).select(F.col("query_id").alias("u"), F.col("id").alias("v")), "similar")
     roots = component_labels(pairs)
     links = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     return vectors.select("id").join(roots, F.col("id") == F.col("node"), "left").join(links, "id", "left").select("id", F.coalesce("root", "id").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"))

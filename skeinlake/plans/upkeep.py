@@ -176,7 +176,7 @@ def incremental_regions(spark: SparkSession, sf: str) -> DataFrame:
 def similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest of every vector, at 0.2 or more: each row is a query."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    found = nearest.nearest_of_all(vectors, 10)
+    found = nearest.nearest_of_all(vectors, 10, within=0.800001)
     return found.select("query_id", "id", F.round(1 - F.col("distance"), 6).alias("similarity")).where("similarity >= 0.2")
 
 

@@ -63,6 +63,30 @@ def test_bounds_leave_out_blocks_of_other_clusters(spark):
     assert met < 640 * (len(own) - 1) / 3  # of the pairs of rows and other blocks
 
 
+@pytest.mark.parametrize("block_rows", [9, 64, None])
+def test_nearest_within_a_distance(spark, block_rows):
+    rng = np.random.default_rng(4)
+    rows = [(i, np.round(x, 2).tolist()) for i, x in enumerate(rng.normal(size=(150, 4)))] + [(500 + i, [0.5, 0.5, 0.0, 1.0]) for i in range(8)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    found = {(r.query_id, r.id, r.distance, r.rank) for r in nearest.nearest_of_all(df, 5, block_rows, within=0.05).collect()}
+    assert found == {x for x in _nearest_by_hand(rows, 5) if x[2] <= 0.05} and found
+
+
+def test_a_block_gives_only_what_is_within_the_bound():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(5_000, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    q, r = v[:600], v[600:]
+    distance = np.round(1 - q @ r.T, 6)
+    bound = np.sort(distance, axis=1)[:, 1]
+    bound[::7] = np.nan
+    queries = pa.table({"id": pa.array(range(600)), "v": pa.array(q.tolist()), "bound": pa.array(bound, mask=np.isnan(bound))})
+    rows = pa.table({"id": pa.array(range(600, 5_000)), "v": pa.array(r.tolist())})
+    found = nearest._block_nearest(4, pa.int64())((), queries, rows).to_pylist()
+    best = {(a, int(b) + 600) for a in range(600) for b in np.argsort(distance[a], kind="stable")[:4] if not distance[a, b] > bound[a]}
+    assert {(x["query_id"], x["id"]) for x in found} == best and len(found) == len(best)
+
+
 def test_similarity_classes(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.02]), (5, [0.0, 2.0])]
     found = nearest.similarity_classes(spark.createDataFrame(rows, "id long, vector array<double>"), 3, 0.9).collect()
