@@ -37,6 +37,15 @@ def test_components_keep_lone_nodes(spark):
     assert values(traversal.components(g), "id", "component") == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("z", "z")]
 
 
+def test_components_are_contracted_before_rounds_of_stars(spark, monkeypatch):
+    monkeypatch.setattr(traversal, "_starred", None)  # never asked for: two contractions leave nothing
+    monkeypatch.setattr(traversal, "HUB", 8)
+    edges = [(f"p{i % 40}", f"s{i % 40 // 10}") for i in range(80)] + [(f"s{i}", f"n{i % 2}") for i in range(4)] + [("z", "z")]
+    found = traversal.component_labels(spark.createDataFrame(edges, "u string, v string")).collect()
+    want = {"z": "z"} | {f"s{i}": f"n{i % 2}" for i in range(4)} | {f"n{i}": f"n{i}" for i in range(2)} | {f"p{i}": f"n{i // 10 % 2}" for i in range(40)}
+    assert {r.node: r.root for r in found} == want and len(found) == len(want)
+
+
 def test_components_of_a_long_chain(spark):
     n = 60
     g = made(spark, [(f"{i:03}", f"{i + 1:03}") for i in range(n)])
