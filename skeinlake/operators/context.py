@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from skeinlake.functions.shared import numbered, release, written
 from skeinlake.operators.nearest import items as usable
 
-#: Items that are placed together, and the candidates that each takes into the replay.
-BLOCK, KEPT = 2_048, 8
+#: Items that are placed together, the candidates that each takes into the replay, and the items scored at once.
+BLOCK, KEPT, SCORED = 8_192, 16, 256
 _BUCKET = "bucket string, born long, size int, total array<double>"
 
 
@@ -56,16 +56,20 @@ def _candidates(block: list, most: int, threshold: float, kept: int):
             if not batch.num_rows:
                 continue
             size, born = batch.column(2).to_numpy(), batch.column(1).to_numpy()
-            mean = np.round(1 - v @ (_matrix(batch.column(3), batch.num_rows) / size[:, None]).T, 9)
-            mean[:, size >= most] = np.inf
-            mean[mean > threshold] = np.inf
             order = np.lexsort((born, size))  # ties: the smaller bucket, then the older
-            best = order[np.argsort(mean[:, order], axis=1, kind="stable")[:, :kept]]
-            row = np.repeat(np.arange(len(v)), best.shape[1])
-            score, at = np.take_along_axis(mean, best, 1).reshape(-1), best.reshape(-1)
-            there = score < np.inf
-            taken = batch.take(pa.array(at[there]))
-            yield pa.record_batch([pa.array(numbers[row[there]]), pa.array(score[there]), *taken.columns], ["n", "mean", *batch.schema.names])
+            batch, size = batch.take(pa.array(order)), size[order]
+            centre = (_matrix(batch.column(3), batch.num_rows) / size[:, None]).T
+            for start in range(0, len(v), SCORED):
+                mean = np.round(1 - v[start : start + SCORED] @ centre, 9)
+                mean[:, size >= most] = np.inf
+                mean[mean > threshold] = np.inf
+                row, at = np.nonzero(mean < np.inf)
+                score = mean[row, at]
+                best = np.lexsort((at, score, row))
+                row, at, score = row[best], at[best], score[best]
+                first = np.arange(len(row)) - np.searchsorted(row, row, "left") < kept
+                taken = batch.take(pa.array(at[first]))
+                yield pa.record_batch([pa.array(numbers[start + row[first]]), pa.array(score[first]), *taken.columns], ["n", "mean", *batch.schema.names])
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skeinlake.operators import context
@@ -113,3 +114,15 @@ def test_empty_and_odd(spark):
     assert context.build(none, 3, 0.2).links.count() == 0
     odd = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (None, [1.0, 1.0]), (4, [1.0])], VECTORS)
     assert sorted(map(tuple, context.build(odd, 3, 0.2).links.collect())) == [(0, "2", "0/2"), (0, "3", "0/3"), (1, "0/2", "root"), (1, "0/3", "root")]
+
+
+def test_candidates_of_a_large_block_are_scored_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    v, total, size = rng.normal(size=(70, 6)), rng.normal(size=(50, 6)), rng.integers(1, 5, 50)
+    batch = pa.record_batch({"bucket": pa.array([f"b{i}" for i in range(50)]), "born": pa.array(range(50), pa.int64()), "size": pa.array(size, pa.int32()), "total": pa.array(total.tolist())})
+    monkeypatch.setattr(context, "SCORED", 16)
+    pieces = list(context._candidates([{"n": i, "v": x.tolist()} for i, x in enumerate(v)], 4, 0.9, 3)([batch]))
+    assert len(pieces) == 5
+    mean = np.round(1 - v @ (total / size[:, None]).T, 9)
+    want = [(i, f"b{j}") for i in range(70) for _, _, j in sorted((mean[i, j], size[j], j) for j in range(50) if size[j] < 4 and mean[i, j] <= 0.9)[:3]]
+    assert [(r["n"], r["bucket"]) for p in pieces for r in p.to_pylist()] == want
