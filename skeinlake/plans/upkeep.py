@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlake.functions.shared import written
 from skeinlake.operators import chunking, incremental, lexical, nearest, store
 from skeinlake.plans.catalogue import query
 from skeinlake.plans.derived import graph as derived_graph
@@ -152,15 +151,15 @@ def _edited(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     half = F.floor(F.length("text") / 2).cast("int")
     new = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nOne more sentence."))).when(F.col("doc_id") % 3 == 1, F.concat(F.substring("text", F.lit(1), half), F.lit(" INSERTED "), F.substring("text", half + 1, F.length("text")))).otherwise(F.col("text"))
     docs = table(spark, sf, "documents").where("length(text) > 1").select(F.col("doc_id").alias("id"), F.col("text").alias("old_text"), new.alias("new_text"))
-    return docs, written(chunking.paragraph_chunks(docs.select("id", F.col("old_text").alias("text")), 100), "chunks")
+    return docs, chunking.paragraph_chunks(docs.select("id", F.col("old_text").alias("text")), 100)
 
 
 @query(f"SELECT doc_id AS id, sha256({_EDITED}) AS content FROM documents WHERE length(text) > 1")
 def incremental_rejoined(spark: SparkSession, sf: str) -> DataFrame:
     """The updated chunks of each edited document join to its new text."""
-    found = incremental.updated(*_edited(spark, sf), 100)
-    joined = found.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "").alias("t"))
-    return joined.select("id", F.sha2(F.encode("t", "UTF-8"), 256).alias("content"))
+    found = incremental.updated_documents(*_edited(spark, sf), 100)
+    joined = F.array_join(F.transform("chunks", lambda x: x["text"]), "")
+    return found.select("id", F.sha2(F.encode(joined, "UTF-8"), 256).alias("content"))
 
 
 @query("SELECT doc_id AS id, 1::BIGINT AS regions FROM documents WHERE length(text) > 1 AND doc_id % 3 <> 2")
