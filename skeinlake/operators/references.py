@@ -1,10 +1,10 @@
 """Resolving references: quotes found in passages through word positions, and an ordered cascade of steps.
 
 Passages become rows (passage, piece, position, word). A quote is looked up by one of its words, the rarest of
-those that have to occur whole; the rows it meets there say where the quote would start, and a join on
-(passage, piece, position) holds each of its words against the row it has to be. So a passage's text travels
-with no candidate, a common word of a quote is never looked up where a rarer one is there, and rows on
-(passage, piece, position) cannot be hot. The first word of a quote may be the end of a longer one, and the last
+those that have to occur whole; the rows it meets there say where the quote would start. Those places are brought back to
+their passage, each text once, and the words that lie there are held against the quote. So only rows that meet an
+anchor leave their task, a common word of a quote is never looked up where a rarer one is there, and what is looked up is
+written first, so that Spark sees how small it is. The first word of a quote may be the end of a longer one, and the last
 word the start of one, as in a search for a part of a text; quotes of one or two words have no whole word and
 meet the passages' vocabulary by letters first, each distinct word once.
 
@@ -32,11 +32,9 @@ WHOLE, END, START, PART = "whole", "end", "start", "part"
 GRAM = 3
 
 
-def word_positions(passages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """passage, piece, position, word, and the columns of ``by``: the folded words of passages (passage, text)."""
-    folded = folded_quote(F.col("text"))
-    rows = passages.where("passage is not null").select(*by, "passage", F.xxhash64("text").alias("piece"), F.posexplode(F.split(folded, " ")).alias("position", "word"))
-    return rows.where("word <> ''")
+def word_positions(folded: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """passage, piece, position, word, and the columns of ``by``, of passages as lists of words."""
+    return folded.select(*by, "passage", "piece", F.posexplode("words").alias("position", "word")).where("word <> ''")
 
 
 def _phrase_words(phrases: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -57,9 +55,12 @@ def _letters(role: Column, word: Column, size: Column) -> Column:
     return F.when(n < size, F.array().cast("array<string>")).when(role == END, F.array(F.substring(word, n - size + 1, size))).when(role == START, F.array(F.substring(word, F.lit(1), size))).otherwise(F.array_distinct(anywhere))
 
 
-def _anchors(words: DataFrame, vocabulary: DataFrame, by: Sequence[str]) -> DataFrame:
+def _anchors(words: DataFrame, index: DataFrame, by: Sequence[str]) -> DataFrame:
     """phrase, offset, word, and the columns of ``by``: where to look each phrase up. Phrases with a whole word that occurs nowhere have none."""
-    whole = words.where(F.col("role") == WHOLE).join(vocabulary, [*by, "word"], "left")
+    whole = words.where(F.col("role") == WHOLE)
+    # only words that are asked for are counted
+    counted = index.select(*by, "word").join(whole.select(*by, "word").distinct(), [*by, "word"], "left_semi").groupBy(*by, "word").agg(F.count("*").alias("frequency"))
+    whole = whole.join(counted, [*by, "word"], "left")
     w = Window.partitionBy(*by, "phrase").orderBy(F.coalesce("frequency", F.lit(0)), "offset")
     rarest = whole.withColumn("k", F.row_number().over(w)).where("k = 1 and frequency is not null").select(*by, "phrase", "offset", "word")
     longest = Window.partitionBy(*by, "phrase").orderBy(F.desc(F.length("word")), "offset")
@@ -68,12 +69,13 @@ def _anchors(words: DataFrame, vocabulary: DataFrame, by: Sequence[str]) -> Data
     at = F.when(F.col("role") == END, F.length("asked") - size + 1).otherwise(1)
     short = short.withColumn("size", size).withColumn("gram", F.substring("asked", at, size))
     # three roles by three sizes at most, so words are cut only as something asks for them
-    kinds = short.select(*by, "role", "size").distinct().groupBy(*by).agg(F.collect_list(F.struct("role", "size")).alias("kinds"))
-    known = vocabulary.select(*by, "word").join(kinds, list(by)) if by else vocabulary.select("word").crossJoin(F.broadcast(kinds))
+    kinds = short.select(*by, "role", "size").distinct().groupBy(*by).agg(F.collect_list(F.struct("role", "size")).alias("kinds")).where("size(kinds) > 0")
+    met = lambda df: df.join(kinds, list(by)) if by else df.crossJoin(F.broadcast(kinds))
+    known = met(met(index.select(*by, "word")).select(*by, "word").distinct())
     known = known.select(*by, "word", F.explode("kinds").alias("kind")).select(*by, "word", "kind.role", "kind.size")
     known = known.select(*by, "word", "role", "size", F.explode(_letters(F.col("role"), F.col("word"), F.col("size"))).alias("gram"))
-    met = short.join(known, [*by, "role", "size", "gram"]).where(_fits(F.col("role"), F.col("asked"), F.col("word")))
-    return rarest.unionByName(met.select(*by, "phrase", "offset", "word").distinct())
+    fitting = short.join(known, [*by, "role", "size", "gram"]).where(_fits(F.col("role"), F.col("asked"), F.col("word")))
+    return rarest.unionByName(fitting.select(*by, "phrase", "offset", "word").distinct())
 
 
 def phrase_matches(passages: DataFrame, phrases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -81,14 +83,18 @@ def phrase_matches(passages: DataFrame, phrases: DataFrame, by: Sequence[str] =
 
     Of columns ``by`` passages and phrases have equal values: a phrase is looked up among the words of its own ones only.
     """
-    index = written(word_positions(passages, by), "positions")
-    words = _phrase_words(phrases.select(*by, folded_quote(F.col("text")).alias("phrase")).where("phrase <> ''").distinct(), by)
-    anchors = _anchors(words, index.groupBy(*by, "word").agg(F.count("*").alias("frequency")), by)
-    starts = anchors.join(index, [*by, "word"]).select(*by, "phrase", "passage", "piece", (F.col("position") - F.col("offset")).alias("start")).where("start >= 0").distinct()
-    wanted = starts.join(words, [*by, "phrase"]).select(*by, "phrase", "passage", "piece", "start", "size", "offset", "role", F.col("word").alias("asked"), (F.col("start") + F.col("offset")).alias("position"))
-    held = wanted.join(index, [*by, "passage", "piece", "position"]).where(_fits(F.col("role"), F.col("asked"), F.col("word")))
-    whole = held.groupBy(*by, "phrase", "passage", "piece", "start").agg(F.count_distinct("offset").alias("n"), F.first("size").alias("size")).where("n = size")
-    return whole.select(*by, "passage", "phrase").distinct()
+    words = F.split(folded_quote(F.col("text")), " ").alias("words")
+    folded = written(passages.where("passage is not null").select(*by, "passage", F.xxhash64("text").alias("piece"), words), "folded")
+    index = word_positions(folded, by)
+    asked = written(_phrase_words(phrases.select(*by, folded_quote(F.col("text")).alias("phrase")).where("phrase <> ''").distinct(), by), "phrases")
+    anchors = written(_anchors(asked, index, by), "anchors")
+    starts = index.join(anchors, [*by, "word"]).select(*by, "passage", "piece", F.struct("phrase", (F.col("position") - F.col("offset")).alias("start")).alias("at")).where("at.start >= 0")
+    places = written(starts.groupBy(*by, "passage", "piece").agg(F.collect_set("at").alias("places")), "starts")
+    # as many words as the quote has: it can only lie in them with its blanks on theirs
+    there = lambda at: F.array_join(F.slice("words", at["start"] + 1, F.size(F.split(at["phrase"], " "))), " ")
+    held = F.filter("places", lambda at: F.contains(there(at), at["phrase"]))
+    found = folded.join(places, [*by, "passage", "piece"]).select(*by, "passage", F.explode(F.array_distinct(F.transform(held, lambda at: at["phrase"]))).alias("phrase"))
+    return found.distinct()
 
 
 def anchored(spans: DataFrame, assertions: DataFrame) -> DataFrame:
@@ -168,14 +174,21 @@ def by_words(passages: DataFrame, least: float = 0.5, confidence: float = 0.6) -
     only these are looked up, and common words only where a passage has been met already.
     """
     def find(refs: DataFrame) -> DataFrame:
-        held = written(passages.where("passage is not null").select("passage", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).distinct(), "held")
         asked = refs.select("reference", F.array_distinct(tokens(F.col("text"))).alias("w")).groupBy("reference").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("w"))
+        asked = written(asked, "asked")
         words = asked.select("reference", F.size("w").alias("size"), F.explode("w").alias("word"))
+        known = written(words.select("word").distinct(), "words")
+        # of each passage the words that some reference has
+        told = passages.where("passage is not null").select("passage", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).join(known, "word", "left_semi")
+        held = written(told.groupBy("passage").agg(F.collect_set("word").alias("held")), "held")
+        each = held.select("passage", F.explode("held").alias("word"))
         need = F.ceil(F.col("size") * F.lit(least) - 1e-9)
         w = Window.partitionBy("reference").orderBy(F.coalesce("frequency", F.lit(0)), "word")
-        rare = words.join(held.groupBy("word").agg(F.count("*").alias("frequency")), "word", "left").withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("size") - need + 1)
-        met = rare.join(held, "word").select("reference", "passage").distinct()
-        shared = met.join(words, "reference").join(held, ["passage", "word"]).groupBy("reference", "passage", "size").agg(F.count("*").alias("n")).where(F.col("n") >= need)
+        rare = words.join(each.groupBy("word").agg(F.count("*").alias("frequency")), "word", "left").withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("size") - need + 1)
+        rare = written(rare.select("reference", "word"), "rare")
+        met = each.join(rare, "word").groupBy("passage").agg(F.collect_set("reference").alias("references"))
+        pairs = held.join(met, "passage").select("passage", "held", F.explode("references").alias("reference")).join(asked, "reference")
+        shared = pairs.select("reference", "passage", F.size("w").alias("size"), F.size(F.array_intersect("held", "w")).alias("n")).where(F.col("n") >= need)
         return shared.groupBy("reference").agg(F.min_by("passage", F.struct(-F.col("n"), "passage")).alias("target"))
 
     return Step("lexical", find, confidence)

@@ -272,3 +272,14 @@ def test_evidence_of_a_query_is_brought_together_once(spark):
     df = evidence.context_evidence(triplets, spark.createDataFrame([("a", "A")], "id string, name string"))
     assert [(r.query_id, r["rank"], r.kind, r.label) for r in df.orderBy("query_id", "rank").collect()] == [(1, 0, "graph_node", "A"), (1, 1, "graph_node", None), (1, 2, "graph_node", None), (1, 3, "graph_edge", None), (1, 4, "graph_edge", None), (2, 0, "graph_node", "A"), (2, 1, "graph_node", None), (2, 2, "graph_edge", None)]
     assert not re.search(r"hashpartitioning\(query_id#\d+, artifact_id#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_lookups_write_only_what_meets_an_anchor(spark, monkeypatch):
+    passages = spark.createDataFrame([(f"p{i:02}", " ".join(f"w{i}x{k}" for k in range(200)) + (" the blue Ring rolls on" if i % 3 == 0 else " on rolls blue")) for i in range(12)] + [("p00", "other text"), (None, "the blue ring")], "passage string, text string")
+    refs = spark.createDataFrame([("q", "E  blue ring ro"), ("w", "rolls blue sky on"), ("n", "nowhere at all, no")], "reference string, text string")
+    sizes, put = {}, references.written
+    monkeypatch.setattr(references, "written", lambda df, name: (out := put(df, name), sizes.update({name: sizes.get(name, 0) + out.count()}))[0])
+    told = {r.reference: (r.strategy, r.target, r.targets) for r in references.cascade(refs, [references.by_quote(passages), references.by_words(passages)]).collect()}
+    assert told == {"q": ("quote", "p00", 4), "w": ("lexical", "p00", 1), "n": (None, None, 0)}
+    # the passages have some 2,400 words
+    assert sum(sizes.values()) < 120
