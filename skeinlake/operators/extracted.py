@@ -1,8 +1,9 @@
 """Graphs extracted from chunks: matched with an ontology, brought together, and without containers.
 
 nodes(chunk, id, name, type) and edges(chunk, source_id, target_id, relationship_name) are what a model read in each
-chunk. All steps are joins on keys; a name or container that a third of all chunks have is one row of the
-side it is joined to, so Spark can broadcast or split it.
+chunk. A chunk's nodes and edges are brought together once, as lists, and what is asked within a chunk is asked there; the
+ontology is written before it is joined, so that Spark sees its size. All else are joins on keys; a name or container that a
+third of all chunks have is one row of the side it is joined to, so Spark can broadcast or split it.
 
 Defined cases: nodes without an id and edges with a null end or relation are left out; names are compared
 folded (``folded_quote``), and blank ones match nothing; repeated rows count once; empty tables give empty results.
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlake.functions.shared import release, written
@@ -22,11 +23,25 @@ from skeinlake.operators.graph import KEY, Graph
 
 @dataclass(frozen=True)
 class Canonical:
-    """``nodes`` and ``edges`` under their canonical ids, and ``counts``: chunk, nodes, dropped_nodes, edges, dropped_edges."""
+    """``nodes`` and ``edges`` under their canonical ids, and ``counts``: chunk, nodes, dropped_nodes, edges, dropped_edges.
+
+    ``chunks`` has the first two as lists, a row for each chunk.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     counts: DataFrame
+    chunks: DataFrame
+
+
+def _gathered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """chunk, nodes, edges: the distinct nodes (chunk, node) and edges (chunk, edge) of each chunk. Those without a chunk don't meet."""
+    rows = nodes.withColumn("apart", F.lit(False)).unionByName(edges.withColumn("apart", F.col("chunk").isNull()), allowMissingColumns=True)
+    return rows.groupBy("chunk", "apart").agg(F.collect_set("node").alias("nodes"), F.collect_set("edge").alias("edges")).drop("apart")
+
+
+def _edges(edges: DataFrame) -> DataFrame:
+    return edges.dropna(subset=list(KEY)).select("chunk", F.struct(*KEY).alias("edge"))
 
 
 def canonical(nodes: DataFrame, edges: DataFrame, ontology: DataFrame, strict: bool = False) -> Canonical:
@@ -36,21 +51,26 @@ def canonical(nodes: DataFrame, edges: DataFrame, ontology: DataFrame, strict: b
     Edges follow their nodes within a chunk; ends that the chunk has no node for stay as they are, and go when strict.
     """
     known = ontology.where("id is not null").select(folded_quote(F.col("name")).alias("key"), F.struct("id", "name").alias("entry")).where("key <> ''").groupBy("key").agg(F.min("entry").alias("entry"))
-    read = nodes.where("id is not null").select("chunk", "id", "name", "type").distinct()
-    told = read.withColumn("key", folded_quote(F.col("name"))).join(known, "key", "left")
-    matched = told.select("chunk", F.col("id").alias("old"), F.coalesce("entry.id", "id").alias("id"), F.when(F.col("entry").isNull(), F.col("name")).otherwise(F.col("entry.name")).alias("name"), "type", F.col("entry").isNotNull().alias("ontology_valid"))
-    kept = matched.where("ontology_valid") if strict else matched
-    names = kept.groupBy("chunk", "old").agg(F.min(F.struct(~F.col("ontology_valid"), "id"))["id"].alias("new"))
-    plain = edges.select("chunk", *KEY).dropna(subset=list(KEY)).distinct()
-    end = lambda c: names.select("chunk", F.col("old").alias(c), F.col("new").alias(f"_{c}"))
-    how = "inner" if strict else "left"
-    moved = plain.join(end("source_id"), ["chunk", "source_id"], how).join(end("target_id"), ["chunk", "target_id"], how)
-    out = moved.select("chunk", F.coalesce("_source_id", "source_id").alias("source_id"), F.coalesce("_target_id", "target_id").alias("target_id"), "relationship_name")
-    side = lambda df, total, gone: df.groupBy("chunk").agg(F.count("*").alias(total), gone.alias(f"dropped_{total}"))
+    read = nodes.where("id is not null").withColumn("key", folded_quote(F.col("name"))).join(written(known, "ontology"), "key", "left")
+    told = _gathered(read.select("chunk", F.struct("id", "name", "type", "entry").alias("node")), _edges(edges))
+    valid = lambda n: n["entry"].isNotNull()
+    kept = F.filter("nodes", valid) if strict else F.col("nodes")
+    told = told.withColumn("kept", kept)
+    # a node of several rows goes to the first entry, else it stays
+    ways = F.array_sort(F.transform("kept", lambda n: F.struct(n["id"].alias("old"), (~valid(n)).alias("bare"), F.coalesce(n["entry"]["id"], n["id"]).alias("new"))))
+    told = told.withColumn("ways", ways)
+    first = F.filter("ways", lambda w, i: (i == 0) | (F.get("ways", i - 1)["old"] != w["old"]))
+    told = told.withColumn("names", F.map_from_entries(F.transform(first, lambda w: F.struct(w["old"], w["new"]))))
+    to = lambda end: F.try_element_at("names", end)
+    both = F.filter("edges", lambda e: to(e["source_id"]).isNotNull() & to(e["target_id"]).isNotNull()) if strict else F.col("edges")
+    told = told.withColumn("moved", F.transform(both, lambda e: F.struct(F.coalesce(to(e["source_id"]), e["source_id"]).alias("source_id"), F.coalesce(to(e["target_id"]), e["target_id"]).alias("target_id"), e["relationship_name"].alias("relationship_name"))))
     # edges are counted before ends meet under one id
-    lost = plain.join(out.groupBy("chunk").agg(F.count("*").alias("_kept")), "chunk", "left")
-    counts = side(matched, "nodes", F.count_if(~F.col("ontology_valid")) if strict else F.lit(0).cast("long")).join(side(lost, "edges", F.count("*") - F.coalesce(F.max("_kept"), F.lit(0))), "chunk", "full").na.fill(0)
-    return Canonical(kept.select("chunk", "id", "name", "type", "ontology_valid").distinct(), out.distinct(), counts)
+    size = lambda c: F.size(c).cast("long")
+    counts = told.select("chunk", size("nodes").alias("nodes"), (size("nodes") - size("kept")).alias("dropped_nodes"), size("edges").alias("edges"), (size("edges") - size("moved")).alias("dropped_edges"))
+    named: Column = F.transform("kept", lambda n: F.struct(F.coalesce(n["entry"]["id"], n["id"]).alias("id"), F.when(valid(n), n["entry"]["name"]).otherwise(n["name"]).alias("name"), n["type"].alias("type"), valid(n).alias("ontology_valid")))
+    chunks = told.select("chunk", F.array_distinct(named).alias("nodes"), F.array_distinct("moved").alias("edges"))
+    each = lambda c: chunks.select("chunk", F.explode(c).alias("x")).select("chunk", "x.*")
+    return Canonical(each("nodes"), each("edges"), counts, chunks)
 
 
 def integrated(nodes: DataFrame, edges: DataFrame, existing: DataFrame) -> tuple[Graph, DataFrame]:
@@ -59,12 +79,19 @@ def integrated(nodes: DataFrame, edges: DataFrame, existing: DataFrame) -> tuple
     A node that several chunks have is taken from the first of them. Edges need both ends among the chunk's own nodes. Each
     chunk contains its nodes. Edges that the graph has already (``existing``) are not added again, but are owned.
     """
-    had = nodes.where("id is not null and chunk is not null").select("chunk", "id", "name", "type").distinct()
-    first = had.groupBy("id").agg(F.min(F.struct("chunk", "name", "type")).alias("n")).select("id", "n.name", "n.type")
-    ends = had.select("chunk", "id").distinct()
-    both = edges.select("chunk", *KEY).dropna().distinct().join(ends.withColumnRenamed("id", "source_id"), ["chunk", "source_id"], "left_semi").join(ends.withColumnRenamed("id", "target_id"), ["chunk", "target_id"], "left_semi").select("chunk", *KEY)
-    contains = ends.select("chunk", F.col("chunk").cast("string").alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("relationship_name"))
-    owners = both.unionByName(contains)
+    had = nodes.where("id is not null").select("chunk", F.struct("id", "name", "type").alias("node"))
+    return integrated_chunks(_gathered(had, _edges(edges)), existing)
+
+
+def integrated_chunks(chunks: DataFrame, existing: DataFrame) -> tuple[Graph, DataFrame]:
+    """``integrated`` of chunks with lists of their nodes and edges (chunk, nodes, edges), a row for each."""
+    told = chunks.where("chunk is not null")
+    had = told.select("chunk", F.explode("nodes").alias("n"))
+    first = had.groupBy("n.id").agg(F.min(F.struct("chunk", "n.name", "n.type")).alias("n")).select("id", "n.name", "n.type")
+    told = told.select("chunk", "edges", F.array_distinct("nodes.id").alias("ends"))
+    within = F.filter("edges", lambda e: F.array_contains("ends", e["source_id"]) & F.array_contains("ends", e["target_id"]))
+    contains = F.transform("ends", lambda i: F.struct(F.col("chunk").cast("string").alias("source_id"), i.alias("target_id"), F.lit("contains").alias("relationship_name")))
+    owners = told.select("chunk", F.explode(F.concat(within, contains)).alias("e")).select("chunk", "e.*")
     new = owners.select(*KEY).distinct().join(existing.select(*KEY).distinct(), list(KEY), "left_anti")
     return Graph(first, new), owners
 

@@ -211,12 +211,13 @@ def session_page(spark: SparkSession, sf: str) -> DataFrame:
 
 def _read_graphs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes and edges that each order tells (supplier ships part), and an ontology of the large parts' names."""
-    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("source_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target_id"), F.lit("ships").alias("relationship_name"), "l_suppkey", "l_partkey")
+    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chunk"), "l_suppkey", "l_partkey")
     suppliers, parts = table(spark, sf, "supplier"), table(spark, sf, "part")
-    nodes = items.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select("chunk", F.col("source_id").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("type"))
-    nodes = nodes.unionByName(items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("chunk", F.col("target_id").alias("id"), F.col("p_name").alias("name"), F.lit("part").alias("type")))
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    nodes = items.select("chunk", "l_suppkey").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select("chunk", key("supplier", "l_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("type"))
+    nodes = nodes.unionByName(items.select("chunk", "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey")).select("chunk", key("part", "l_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("part").alias("type")))
     ontology = parts.where("p_size > 25").select(F.concat(F.lit("term:"), F.col("p_partkey").cast("string")).alias("id"), F.upper("p_name").alias("name"))
-    return nodes, items.select("chunk", "source_id", "target_id", "relationship_name"), ontology
+    return nodes, items.select("chunk", key("supplier", "l_suppkey").alias("source_id"), key("part", "l_partkey").alias("target_id"), F.lit("ships").alias("relationship_name")), ontology
 
 
 _READ = """
@@ -243,7 +244,7 @@ def integrated_edges(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges, ontology = _read_graphs(spark, sf)
     told = extracted.canonical(nodes, edges, ontology)
     old = table(spark, sf, "lineitem").where("l_shipdate < timestamp'1995-01-01'").select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("source_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target_id"), F.lit("ships").alias("relationship_name"))
-    return extracted.integrated(told.nodes, told.edges, old)[0].edges
+    return extracted.integrated_chunks(told.chunks, old)[0].edges
 
 
 @query("""

@@ -128,3 +128,20 @@ def test_values_end_with_the_watermark(spark, tmp_path):
     ended = {(r.key, r.value, r.ends_at) for r in found.where("expired").collect()}
     assert ended == {("b", "x", ms(2)), ("a", "3", ms(45))}
     assert {(r.key, r.value) for r in found.where("not expired").collect()} == {("a", "2"), ("b", "x"), ("c", "stays"), ("d", "later"), ("a", "3"), ("d", "older"), ("e", "end")}
+
+
+def test_a_chunk_is_brought_together_once(spark):
+    nodes, edges, ontology = _graphs(spark)
+    had = spark.createDataFrame([("T1", "3", "pays")], "source_id string, target_id string, relationship_name string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        told = extracted.canonical(nodes, edges, ontology)
+        dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+        assert dealt(told.edges) == 1 and dealt(told.nodes) == 1 and dealt(told.counts) == 1
+        graph, owners = extracted.integrated_chunks(told.chunks, had)
+        assert dealt(owners) == 1 and dealt(graph.edges) <= 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    again, _ = extracted.integrated(told.nodes, told.edges, had)
+    rows = sorted(tuple(r) for r in graph.edges.collect())
+    assert rows == sorted(tuple(r) for r in again.edges.collect()) == [("3", "4", "is"), ("c1", "3", "contains"), ("c1", "T1", "contains"), ("c2", "3", "contains"), ("c2", "4", "contains")]
