@@ -283,3 +283,21 @@ def test_lookups_write_only_what_meets_an_anchor(spark, monkeypatch):
     assert told == {"q": ("quote", "p00", 4), "w": ("lexical", "p00", 1), "n": (None, None, 0)}
     # the passages have some 2,400 words
     assert sum(sizes.values()) < 120
+
+
+def test_links_go_to_their_neighbour_and_back_once(spark):
+    rows = [(i % 7, i % 5) for i in range(60)] + [(None, 1), (3, None), (8, 1), (8, 1)]
+    links = spark.createDataFrame(rows, "item int, entity long")
+    df = consolidation.weighted_sets(links, "item", "entity")
+    told, weight = {}, {r.entity: r.idf for r in consolidation.idf(links, "item", "entity").collect()}
+    for i, e in rows:
+        if e is not None:
+            told.setdefault(i, {})[e] = weight[e]
+    assert {r["item"]: r.entities for r in df.collect()} == told
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = consolidation.weighted_sets(links, "item", "entity")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # the third one counts the items
+    assert plan.count("Exchange hashpartitioning(") == 3 and "Join" in plan and "SortMergeJoin" not in plan
