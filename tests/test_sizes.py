@@ -301,3 +301,14 @@ def test_links_go_to_their_neighbour_and_back_once(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     # the third one counts the items
     assert plan.count("Exchange hashpartitioning(") == 3 and "Join" in plan and "SortMergeJoin" not in plan
+
+
+def test_a_dataset_goes_to_all_users_before_the_next(spark, tmp_path):
+    n = 300
+    grants = spark.range(400).selectExpr("'g' as principal", "(id * 7919) % 1000003 as dataset")
+    membership = spark.range(n).selectExpr("concat('u', id) as user", "'g' as principal")
+    df = ingest.readable(grants, membership)
+    rows = [r.dataset for r in df.collect()]
+    assert len(rows) == 400 * n and sum(a != b for a, b in zip(rows, rows[1:], strict=False)) < 2 * 400
+    df.write.parquet(str(tmp_path / "told"))
+    assert sum(p.stat().st_size for p in (tmp_path / "told").glob("*.parquet")) < 400 * n / 5
